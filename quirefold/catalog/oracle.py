@@ -128,7 +128,7 @@ CTE["vechits"] = f"""SELECT query_id, rank, document_id, ordinal, score FROM (
     round(list_cosine_similarity(q.embedding, e.embedding::DOUBLE[]), 6) AS score
   FROM queries q JOIN embeddings e ON q.embedding IS NOT NULL)) WHERE rank <= least(k, {K_MAX})"""
 
-CTE["fused"] = f"""SELECT query_id, document_id, ordinal, coalesce({KEYWORD_WEIGHT}::DOUBLE / k.rank, 0) + coalesce({VECTOR_WEIGHT}::DOUBLE / v.rank, 0) AS score
+CTE["fused"] = f"""SELECT query_id, document_id, ordinal, coalesce({KEYWORD_WEIGHT}::DOUBLE * (1.0::DOUBLE / k.rank), 0) + coalesce({VECTOR_WEIGHT}::DOUBLE * (1.0::DOUBLE / v.rank), 0) AS score
   FROM kwhits k FULL OUTER JOIN vechits v USING (query_id, document_id, ordinal)"""
 
 CTE["hybrid"] = f"""SELECT query_id, rank, document_id, ordinal, score FROM (

@@ -7,7 +7,23 @@ from pyspark.sql import functions as F
 
 
 def score_label(score: Column) -> Column:
-    return F.format_string("%.3f", score)
+    """Three decimals of the exact binary value, halves to even, as C prints them.
+
+    The formatter of the JVM rounds the shortest decimal form half up and so gives
+    0.063 for 1/16. Here the score is taken as a whole number of 2**-60, which is
+    exact for the sizes scores have; others go through the formatter.
+    """
+    size = F.abs(score)
+    unit = F.lit(str(2**60)).cast("decimal(19,0)")
+    thousandths = (size * F.lit(float(2**60))).cast("bigint").cast("decimal(19,0)") * F.lit(1000).cast("decimal(4,0)")
+    rest = thousandths % unit
+    whole = ((thousandths - rest) / unit).cast("bigint")
+    above = rest * 2
+    up = (above > unit) | ((above == unit) & (whole % 2 == 1))
+    rounded = whole + up.cast("bigint")
+    sign = F.when(score < 0, F.lit("-")).otherwise(F.lit(""))
+    exact = F.concat(sign, F.format_string("%d.%03d", F.floor(rounded / 1000), rounded % 1000))
+    return F.when((size < 4) & (size >= 2.0**-8), exact).otherwise(F.format_string("%.3f", score))
 
 
 def page_label(source_page_index: Column) -> Column:

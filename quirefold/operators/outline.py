@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirefold.functions import text as X
 
@@ -22,6 +23,8 @@ DEFAULT_SYSTEM_PROMPT = (
 DEFAULT_USER_TEMPLATE = "Section: %s\nText:\n%s\n\nList the key points of this section as child nodes."
 DEFAULT_SCHEMA_NAME = "mindmap_children"
 
+# A type object, since a type string can be parsed only while a session runs.
+PLACES_TYPE = T.ArrayType(T.StructType([T.StructField("parent", T.IntegerType()), T.StructField("path", T.StringType())]))
 CHILDREN_TYPE = "array<struct<topic:string,details:array<string>>>"
 
 
@@ -65,7 +68,7 @@ def _with_content(lines: Column, headings: Column) -> Column:
     return X.let(F.struct(lines.alias("lines"), headings.alias("headings")), body)
 
 
-@F.pandas_udf("array<struct<parent:int,path:string>>")
+@F.pandas_udf(PLACES_TYPE)
 def _places(levels: pd.Series) -> pd.Series:
     """Parent position and path id of each heading, from the heading levels of a document."""
 
