@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions.report import clamp_progress
 from quirefold.operators import chunking as C
-from quirefold.session import spread
+from quirefold.session import cut_lineage, spread
 
 EPOCH = 1704067200  # 2024-01-01 in seconds
 K_MAX = 30
@@ -49,6 +49,12 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.sections_of(pieces(spark, sf_dir))
 
 
+def outline_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Chunk keys and sections from one pass over the text, written out without it."""
+    narrow = cut_lineage(pieces(spark, sf_dir).select("document_id", "ordinal", "title", "level"))
+    return narrow.select("document_id", "ordinal"), C.sections_of(narrow)
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small page table: turns of conversations."""
     return table(spark, sf_dir, "conversations").select(
@@ -100,10 +106,11 @@ def record_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records without chunk counts, for queries that do not look at them."""
     low = C.low_page_lists(C.low_pages(paged_pages(spark, sf_dir)))
     none = F.array().cast("array<int>")
-    return document_rows(spark, sf_dir).join(low, "document_id", "left").select(
+    joined = document_rows(spark, sf_dir).join(low, "document_id", "left").select(
         "document_id", "source_path", "title", "source_type",
         F.coalesce("low_quality_pages", none).alias("low_quality_pages"), imported_at().alias("imported_at"),
     )
+    return cut_lineage(joined)
 
 
 def still_low(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +127,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search queries: a few literal rows and one per benchmark item (its first word)."""
-    literal = spark.createDataFrame(LITERAL_QUERIES, "query_id bigint, keyword string, vec_id bigint, k int")
+    rows = ", ".join(f"({q}L, '{keyword}', {vec}L, {k})" for q, keyword, vec, k in LITERAL_QUERIES)
+    literal = spark.sql(f"SELECT * FROM VALUES {rows} AS t(query_id, keyword, vec_id, k)")
     derived = table(spark, sf_dir, "benchmark").select(
         (F.col("item_id") + 100).alias("query_id"),
         F.concat(F.lit(" "), F.substring_index("text", " ", 1)).alias("keyword"),
@@ -128,6 +136,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("item_id") % 20 + 5).cast("int").alias("k"),
     )
     stored = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    # Both sides are short lists; AQE measures them.
     return literal.unionByName(derived).join(stored, "vec_id", "left").select(
         "query_id", "keyword", F.coalesce("embedding", F.array().cast("array<float>")).alias("embedding"), "k"
     )
@@ -206,9 +215,8 @@ def viewports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def responses(nodes: DataFrame) -> DataFrame:
     """Scorer answers for the heading nodes: a JSON list, or broken JSON for every fourth node."""
-    nodes = skeleton(spark, sf_dir)
     topic = F.regexp_replace("topic", r'["\\]', "")
     good = F.concat(F.lit('[{"topic":"'), topic, F.lit('","details":["one","two"]},{"topic":"more","details":[]}]'))
     bad = F.concat(F.lit('[{"topic":"'), topic)

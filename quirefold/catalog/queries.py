@@ -365,13 +365,13 @@ def rect_contains_(spark, sf_dir):
 
 @query
 def chunk_section_asof(spark, sf_dir):
-    found = S.chunk_section_asof(X.chunks(spark, sf_dir).select("document_id", "ordinal"), X.sections(spark, sf_dir))
-    return longs(found)
+    return longs(S.chunk_section_asof(*X.outline_tables(spark, sf_dir)))
 
 
 @query
 def docs_with_sections(spark, sf_dir):
-    joined = S.docs_with_sections(X.record_heads(spark, sf_dir), X.sections(spark, sf_dir).where(F.col("document_id") % 4 != 1))
+    _, sections = X.outline_tables(spark, sf_dir)
+    joined = S.docs_with_sections(X.record_heads(spark, sf_dir), sections.where(F.col("document_id") % 4 != 1))
     return longs(joined.select("document_id", F.col("source_path"), "level", "chunk_start_ordinal"))
 
 
@@ -413,13 +413,14 @@ def viewport_join(spark, sf_dir):
 
 @query
 def import_summary(spark, sf_dir):
-    pieces = X.pieces(spark, sf_dir)
+    chunks, sections = X.outline_tables(spark, sf_dir)
     low = C.low_pages(X.paged_pages(spark, sf_dir))
-    return longs(C.import_summary(X.document_rows(spark, sf_dir), C.chunks_of(pieces), C.sections_of(pieces), low))
+    return longs(C.import_summary(X.document_rows(spark, sf_dir), chunks, sections, low))
 
 
-def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reparse.resolved_pages(X.record_heads(spark, sf_dir), X.still_low(spark, sf_dir))
+def _resolved(spark: SparkSession, sf_dir: str, records: DataFrame | None = None) -> DataFrame:
+    records = X.record_heads(spark, sf_dir) if records is None else records
+    return reparse.resolved_pages(records, X.still_low(spark, sf_dir))
 
 
 @query
@@ -428,21 +429,22 @@ def resolved_pages(spark, sf_dir):
     return longs(found.select("document_id", "source_type", _json("low_quality_pages", "requested"), _json("resolved_pages", "resolved")))
 
 
-def _applied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ran = _resolved(spark, sf_dir).where(F.size("low_quality_pages") > 0)
-    return reparse.reparse_apply(X.record_heads(spark, sf_dir), ran, F.timestamp_seconds(F.lit(X.EPOCH + 10**8)))
+def _applied(spark: SparkSession, sf_dir: str, records: DataFrame) -> DataFrame:
+    ran = _resolved(spark, sf_dir, records).where(F.size("low_quality_pages") > 0)
+    return reparse.reparse_apply(records, ran, F.timestamp_seconds(F.lit(X.EPOCH + 10**8)))
 
 
 @query
 def reparse_apply(spark, sf_dir):
-    return longs(_applied(spark, sf_dir).select(
+    return longs(_applied(spark, sf_dir, X.record_heads(spark, sf_dir)).select(
         "document_id", "title", _json("low_quality_pages", "low_pages"), F.unix_seconds("imported_at").alias("imported")
     ))
 
 
 def _comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = X.record_heads(spark, sf_dir).select("document_id", F.col("low_quality_pages").alias("page_indices"))
-    return reparse.reparse_comparison(_applied(spark, sf_dir).join(before, "document_id"))
+    records = X.record_heads(spark, sf_dir)
+    before = records.select("document_id", F.col("low_quality_pages").alias("page_indices"))
+    return reparse.reparse_comparison(_applied(spark, sf_dir, records).join(before, "document_id"))
 
 
 @query
@@ -482,7 +484,8 @@ def recency_index(spark, sf_dir):
 
 @query
 def section_index(spark, sf_dir):
-    return longs(S.with_section_index(X.sections(spark, sf_dir)).select("document_id", "chunk_start_ordinal", "section_index"))
+    _, sections = X.outline_tables(spark, sf_dir)
+    return longs(S.with_section_index(sections).select("document_id", "chunk_start_ordinal", "section_index"))
 
 
 # --- top-k -------------------------------------------------------------------
@@ -630,8 +633,8 @@ def import_outcomes(spark, sf_dir):
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = X.sections(spark, sf_dir).where(F.col("document_id") % 4 != 1)
-    return layout.mindmap_nodes(X.record_heads(spark, sf_dir), kept)
+    _, sections = X.outline_tables(spark, sf_dir)
+    return layout.mindmap_nodes(X.record_heads(spark, sf_dir), sections.where(F.col("document_id") % 4 != 1))
 
 
 @query
@@ -686,17 +689,18 @@ def refine_prompts(spark, sf_dir):
 
 @query
 def attach_children(spark, sf_dir):
-    attached = outline.attach_children(X.skeleton(spark, sf_dir), X.responses(spark, sf_dir))
+    nodes = X.skeleton(spark, sf_dir)
+    attached = outline.attach_children(nodes, X.responses(nodes))
     return longs(attached.select("document_id", "node_id", "parent_id", "level", "topic", _json("details")))
 
 
 @query
 def rejected_responses(spark, sf_dir):
-    return outline.rejected_responses(X.responses(spark, sf_dir)).select("document_id", "node_id")
+    return outline.rejected_responses(X.responses(X.skeleton(spark, sf_dir))).select("document_id", "node_id")
 
 
 @query
 def tree_markdown(spark, sf_dir):
     nodes = X.skeleton(spark, sf_dir)
-    children = outline.attach_children(nodes, X.responses(spark, sf_dir))
+    children = outline.attach_children(nodes, X.responses(nodes))
     return outline.tree_markdown(outline.tree_lines(nodes, children))

@@ -15,9 +15,11 @@ FALLBACK_THRESHOLD = 0.65
 
 
 def page_quality(trimmed: Column, unit: str = "grapheme") -> Column:
+    """Score by length; a page of few code points is short in any unit."""
     length = text_length(trimmed, unit)
     return (
-        F.when(length > LONG_PAGE, F.lit(LONG_PAGE_SCORE))
+        F.when(F.char_length(trimmed) <= MEDIUM_PAGE, F.lit(SHORT_PAGE_SCORE))
+        .when(length > LONG_PAGE, F.lit(LONG_PAGE_SCORE))
         .when(length > MEDIUM_PAGE, F.lit(MEDIUM_PAGE_SCORE))
         .otherwise(F.lit(SHORT_PAGE_SCORE))
     )

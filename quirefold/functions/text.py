@@ -32,6 +32,8 @@ _NOT_STANDALONE = (
     r"\x{2030}-\x{205E}\x{3001}-\x{3029}\x{3031}-\x{3096}\x{30A0}-\x{312F}"
     r"\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}]"
 )
+# A quick first test: no Latin text without CR holds one of these.
+_BEYOND_LATIN = r"[\x0D\x{300}-\x{10FFFF}]"
 # A space followed by one of these is part of a longer cluster, not a separator.
 _JOINS_LEFT = r"[\p{M}\x{200C}\x{200D}\x{1F3FB}-\x{1F3FF}]"
 
@@ -106,8 +108,12 @@ def heading_level(segment: Column) -> Column:
 
 
 def has_clusters(text: Column) -> Column:
-    """True if the text may hold grapheme clusters of more than one code point."""
-    return text.rlike(_NOT_STANDALONE)
+    """True if the text may hold grapheme clusters of more than one code point.
+
+    Three tests from cheap to exact: plain ASCII, Latin, and the list above.
+    """
+    beyond_ascii = (F.octet_length(text) > F.char_length(text)) | F.contains(text, F.lit("\r"))
+    return beyond_ascii & text.rlike(_BEYOND_LATIN) & text.rlike(_NOT_STANDALONE)
 
 
 def text_length(text: Column, unit: str = "grapheme") -> Column:
@@ -124,7 +130,10 @@ def _fill(text: Column, space: str, character: str, limit: int) -> Column:
     that ends at a word end, or else one over-long word whole.
     """
     joined = F.regexp_replace(text, f"{space}{{2,}}", " ")
-    joined = F.regexp_replace(joined, f"^{space}|{space}$", "")
+    if space == " ":
+        joined = F.btrim(joined, F.lit(" "))
+    else:
+        joined = F.regexp_replace(joined, f"^{space}|{space}$", "")
     word = rf"(?:(?!{space})\X)++" if character == r"\X" else "[^ ]+"
     pattern = rf"(?s)({character}{{1,{limit}}}(?={space}|\z)|{word})(?:{space}|\z)"
     return F.regexp_extract_all(joined, F.lit(pattern), F.lit(1))

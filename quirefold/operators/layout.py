@@ -26,8 +26,9 @@ NODE_COLUMNS = ["node_id", "title", "x", "y", "width", "height"]
 
 # A broadcast viewport table has at most this many viewports.
 BROADCAST_VIEWPORTS = 1000
-# Rectangles are filed by size in grids of cell size 2**level.
-TOP_LEVEL = 60
+# Rectangles are filed by size in grids of cell size 4**level.
+CELL_BASE = 4.0
+TOP_LEVEL = 30
 
 
 def _node(node_id: Column, title: Column, x: Column, y: Column, width: float, height: float) -> list[Column]:
@@ -88,11 +89,11 @@ def mindmap_nodes(documents: DataFrame, sections: DataFrame, limit: int = RECENT
 def _level(rect: Rect) -> Column:
     """Smallest grid whose cells are at least as long as the rectangle, so it meets at most 2 x 2."""
     longest = F.greatest(rect.width, rect.height, F.lit(1.0))
-    return F.least(F.ceil(F.log2(longest)).cast("int"), F.lit(TOP_LEVEL))
+    return F.least(F.ceil(F.log(CELL_BASE, longest)).cast("int"), F.lit(TOP_LEVEL))
 
 
 def _cell(value: Column, level: Column) -> Column:
-    return F.floor(value / F.pow(F.lit(2.0), level)).cast("long")
+    return F.floor(value / F.pow(F.lit(CELL_BASE), level)).cast("long")
 
 
 def _filed(df: DataFrame, rect: Rect, levels: Column) -> DataFrame:

@@ -7,6 +7,7 @@ hits by ``ordinal, document_id``; scored hits by ``score desc, document_id, ordi
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,9 +52,16 @@ def like_pattern(keyword: Column) -> Column:
 
 
 def _match(text: Column, keyword: Column, mode: str) -> Column:
-    if mode == "like":
-        return F.like(fold_ascii(text), like_pattern(keyword))
-    return F.contains(text, keyword)
+    """Test of a normalized keyword against text prepared by ``_prepared``."""
+    if mode != "like":
+        return F.contains(text, keyword)
+    # Without wildcards the pattern is a plain substring, which needs no regular expression.
+    wild = F.contains(keyword, F.lit("%")) | F.contains(keyword, F.lit("_"))
+    return F.when(wild, F.like(text, like_pattern(keyword))).otherwise(F.contains(text, fold_ascii(keyword)))
+
+
+def _prepared(text: Column, mode: str) -> Column:
+    return fold_ascii(text) if mode == "like" else F.lower(text)
 
 
 def keyword_filter(chunks: DataFrame, keyword: str, text_lc: str | None = None) -> DataFrame:
@@ -69,7 +77,7 @@ def keyword_filter(chunks: DataFrame, keyword: str, text_lc: str | None = None)
 def keyword_like(chunks: DataFrame, keyword: str) -> DataFrame:
     """Wildcard variant: ``%`` and ``_`` in the keyword are wildcards, ASCII letters fold."""
     wanted = normalize_keyword(F.lit(keyword))
-    return chunks.where((wanted != "") & _match(F.col("text"), wanted, "like"))
+    return chunks.where((wanted != "") & _match(_prepared(F.col("text"), "like"), wanted, "like"))
 
 
 def keyword_topk(chunks: DataFrame, keyword: str, limit: int = DEFAULT_LIMIT, mode: str = "contains") -> DataFrame:
@@ -83,27 +91,25 @@ def keyword_matches(
 ) -> DataFrame:
     """All (query, chunk) hits of a query table: ``(query_id, k, document_id, ordinal)``.
 
-    Each chunk is tested against the keywords of a slice inside its own row, so the
-    text is read once per slice and never shuffled.
+    Each chunk meets the distinct keywords of a slice inside its own row, so the text
+    is read once per slice and never shuffled; queries that share a keyword share
+    its test.
     """
     wanted = queries.select(
         F.col("query_id").cast("long"), normalize_keyword(F.col("keyword")).alias("keyword"), F.col("k").cast("int")
     ).where(F.col("keyword") != "")
 
     def run(rows) -> DataFrame:
-        terms = F.array(*[
-            F.struct(
-                F.lit(row["query_id"]).cast("long").alias("query_id"),
-                F.lit(row["keyword"]).alias("keyword"),
-                F.lit(row["k"]).cast("int").alias("k"),
-            )
-            for row in rows
-        ]).cast("array<struct<query_id:bigint,keyword:string,k:int>>")
-        text = F.col("text") if mode == "like" else F.lower("text")
-        found = chunks.select(*CHUNK_KEY, text.alias("_text")).select(
-            *CHUNK_KEY, F.explode(F.filter(terms, lambda term: _match(F.col("_text"), term["keyword"], mode))).alias("q")
-        )
-        return found.select("q.query_id", "q.k", *CHUNK_KEY)
+        asked: dict[str, list] = {}
+        for row in rows:
+            asked.setdefault(row["keyword"], []).append({"query_id": row["query_id"], "k": row["k"]})
+        listed = [{"keyword": keyword, "queries": members} for keyword, members in asked.items()]
+        # One constant, which the optimizer evaluates once.
+        terms = F.from_json(F.lit(json.dumps(listed)), "array<struct<keyword:string,queries:array<struct<query_id:bigint,k:int>>>>")
+        folded = chunks.select(*CHUNK_KEY, _prepared(F.col("text"), mode).alias("_text"))
+        hits = F.filter(terms, lambda term: _match(F.col("_text"), term["keyword"], mode))
+        found = folded.select(*CHUNK_KEY, F.explode(F.flatten(F.transform(hits, lambda term: term["queries"]))).alias("_query"))
+        return found.select("_query.query_id", "_query.k", *CHUNK_KEY)
 
     return for_each_slice(wanted, bound, run)
 

@@ -43,8 +43,9 @@ def parse_batch(
 ) -> ParsedBatch:
     """``files(source_path, text, reject_reason)``, ``pages(source_path, page_index, text)``.
 
-    ``files`` lists paged files too, with null text. Parsed Markdown is written out
-    once, since chunks, sections and records all come from it.
+    ``files`` lists paged files too, with null text. The text is read twice: once for
+    the verdict and title of each file, once for its pieces. Both results are written
+    out, since all three tables come from them.
     """
     listed = (
         route_source_type(files.withColumnRenamed("reject_reason", "_given"))
@@ -52,28 +53,36 @@ def parse_batch(
         .drop("_given")
         .withColumn("document_id", ids.document_id(F.lit(workspace_id), F.col("source_path"), F.lit(import_batch_id)))
     )
-    blank = (F.col("source_type") == "markdown") & F.col("reject_reason").isNull() & C.is_blank_markdown(F.col("text"))
-    listed = listed.withColumn("reject_reason", F.when(blank, F.lit(C.EMPTY_MARKDOWN)).otherwise(F.col("reject_reason")))
-
-    markdown = listed.where(F.col("reject_reason").isNull() & (F.col("source_type") == "markdown"))
-    paged = listed.where(F.col("reject_reason").isNull() & (F.col("source_type") == "pdf")).drop("text")
+    open_markdown = (F.col("source_type") == "markdown") & F.col("reject_reason").isNull()
+    heading = X.first_heading(X.normalize_newlines(F.col("text")))
+    judged = cut_lineage(
+        listed.withColumn("heading", F.when(open_markdown, heading))
+        .withColumn(
+            "reject_reason",
+            F.when(open_markdown & C.is_blank_markdown(F.col("text")), F.lit(C.EMPTY_MARKDOWN)).otherwise(F.col("reject_reason")),
+        )
+        .drop("text")
+    )
+    accepted = judged.where(F.col("reject_reason").isNull())
+    markdown = accepted.where(F.col("source_type") == "markdown")
+    paged = accepted.where(F.col("source_type") == "pdf")
 
-    pieces = cut_lineage(C.md_pieces(markdown, "text", limit))
+    # Blank texts have no pieces, so the verdict is not needed here.
+    pieces = cut_lineage(C.md_pieces(listed.where(open_markdown), "text", limit))
     page_rows = pages.join(paged.select("source_path", "document_id"), "source_path").select("document_id", "page_index", "text")
-    with_text = page_rows.where(X.trim_unicode(F.col("text")) != "").select("document_id").distinct()
+    from_pages = cut_lineage(C.page_chunks(page_rows, limit))
+    # A paged document without chunks has no page with text.
+    with_text = from_pages.select("document_id").distinct()
     readable = paged.join(with_text, "document_id", "left_semi")
     unreadable = paged.join(with_text, "document_id", "left_anti").withColumn("reject_reason", F.lit(C.NO_PAGE_TEXT))
 
-    from_pages = cut_lineage(C.page_chunks(page_rows, limit))
     chunks = C.chunks_of(pieces).unionByName(from_pages)
     sections = C.sections_of(pieces).unionByName(C.page_sections(readable))
-    # Pages of a rejected document do not count.
-    low = C.low_pages(page_rows.join(with_text, "document_id", "left_semi"), threshold)
+    low = C.low_pages(page_rows, threshold)
 
-    columns = ["document_id", "source_path", "source_type", "title"]
-    headed = markdown.withColumn("title", X.document_title(X.normalize_newlines(F.col("text")), F.col("source_path")))
-    named = readable.withColumn("title", X.file_stem(F.col("source_path")))
-    documents = C.document_record(headed.select(*columns).unionByName(named.select(*columns)), chunks, low, imported_at)
+    title = F.coalesce("heading", X.file_stem(F.col("source_path")))
+    rows = markdown.unionByName(readable)
+    documents = cut_lineage(C.document_record(rows, chunks, low, imported_at, title))
 
     def with_id(df: DataFrame, name: str, kind: str, number: str) -> DataFrame:
         return df.withColumn(name, ids.part_id(F.col("document_id"), kind, F.col(number))).withColumn(
@@ -84,7 +93,7 @@ def parse_batch(
         documents=documents.withColumn("workspace_id", F.lit(workspace_id)),
         chunks=with_id(chunks, "chunk_id", "chunk", "ordinal"),
         sections=with_id(sections, "section_id", "section", "chunk_start_ordinal"),
-        rejects=listed.where(F.col("reject_reason").isNotNull())
+        rejects=judged.where(F.col("reject_reason").isNotNull())
         .select("source_path", "reject_reason")
         .unionByName(unreadable.select("source_path", "reject_reason")),
     )
@@ -106,7 +115,7 @@ def import_batch(
     if imported_at is None:
         imported_at = F.current_timestamp()
     batch = parse_batch(files, pages, workspace_id, import_batch_id, imported_at, **options)
-    store.upsert_chunks(batch.chunks.withColumn("position", F.col("ordinal").cast("long")))
+    store.upsert_chunks(batch.chunks.withColumn("position", F.col("ordinal").cast("long")), unique=True)
     records = batch.documents.drop("fallback_page_count").withColumn("position", F.lit(0).cast("long"))
     store.upsert_documents(records, batch.sections)
     store.mark_commit(import_batch_id, workspace_id)

@@ -85,21 +85,26 @@ class CorpusStore:
         tests = [(F.col("workspace_id") == w) & F.col("bucket").isin(b) for w, b in by_workspace.items()]
         return reduce(lambda a, b: a | b, tests) if tests else None
 
-    def upsert_chunks(self, batch: DataFrame, position: str = "position", now: Column | None = None) -> None:
-        """``batch``: chunk columns without timestamps, ``workspace_id`` and an order column."""
+    def upsert_chunks(
+        self, batch: DataFrame, position: str = "position", now: Column | None = None, unique: bool = False
+    ) -> None:
+        """``batch``: chunk columns without timestamps, ``workspace_id`` and an order column.
+
+        With ``unique`` the caller vouches for distinct ids in the batch, as an import
+        does; new rows are then written without an aggregation.
+        """
         now = F.current_timestamp() if now is None else now
         filed = self._filed(batch, "chunks")
         conflict = self._conflicts(filed, "chunks")
-        none_yet = self._stored("chunks").limit(0)
         fresh = filed if conflict is None else filed.where(~conflict)
         if conflict is not None:
-            merged = self._merge_chunks(self._stored("chunks").where(conflict), filed.where(conflict), position, now)
+            merged = upsert_chunks(self._stored("chunks").where(conflict), filed.where(conflict), position, now)
             self._write(merged, "chunks", "overwrite")
-        self._write(self._merge_chunks(none_yet, fresh, position, now), "chunks", "append")
-
-    @staticmethod
-    def _merge_chunks(old: DataFrame, new: DataFrame, position: str, now: Column) -> DataFrame:
-        return upsert_chunks(old, new, position, now)
+        if unique:
+            fresh = fresh.withColumn("created_at", now).withColumn("updated_at", now)
+        else:
+            fresh = upsert_chunks(self._stored("chunks").limit(0), fresh, position, now)
+        self._write(fresh, "chunks", "append")
 
     def upsert_documents(self, batch: DataFrame, sections: DataFrame, position: str = "position") -> None:
         """Document records and their sections; sections of a batch document are replaced as a whole."""
