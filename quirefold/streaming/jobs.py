@@ -40,7 +40,8 @@ def admit_stream(log: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Admission of re-parse requests with one boolean of state per document.
 
     ``log(document_id bigint, seq bigint, kind string, has_low_pages boolean)``. With
-    ``idle_ms`` the state of a document that has been silent so long is dropped.
+    ``idle_ms`` the state of a document that has been silent so long is dropped; such
+    a query needs a processing-time trigger, since it goes on to look for timeouts.
     """
 
     def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

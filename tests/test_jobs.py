@@ -92,7 +92,7 @@ def test_admission_stream_over_micro_batches(spark):
     for start in range(0, 600, 200):
         spark.createDataFrame(log[start : start + 200], SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/in")
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", "1").parquet(f"{root}/in")
-    writer = stream_jobs.admit_stream(stream, idle_ms=3600000).writeStream.format("parquet").option("path", f"{root}/out")
+    writer = stream_jobs.admit_stream(stream).writeStream.format("parquet").option("path", f"{root}/out")
     writer.option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start().awaitTermination()
     got = {r["seq"]: r["admitted"] for r in spark.read.parquet(f"{root}/out").collect()}
     assert got == expected
