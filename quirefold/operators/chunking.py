@@ -72,6 +72,33 @@ def md_pieces(
     return exploded.select("document_id", "ordinal", "piece.text", "piece.title", "piece.level")
 
 
+def md_outline(
+    docs: DataFrame,
+    text: str = "md",
+    limit: int = X.DEFAULT_CHUNK_LIMIT,
+    unit: str = "grapheme",
+    first_line_only: bool = False,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """Per document: ``chunk_count`` and ``sections`` as an array, without any chunk text."""
+
+    def summary(pieces: Column) -> Column:
+        starts = F.transform(
+            pieces,
+            lambda piece, no: F.struct(
+                piece["level"].alias("level"), piece["title"].alias("title"), no.alias("chunk_start_ordinal")
+            ),
+        )
+        return F.struct(
+            F.size(pieces).alias("chunk_count"),
+            F.filter(starts, lambda start: start["title"].isNotNull()).alias("sections"),
+        )
+
+    return docs.select(
+        "document_id", *keep, X.let(_pieces(F.col(text), limit, unit, first_line_only), summary).alias("_o")
+    ).select("document_id", *keep, "_o.chunk_count", "_o.sections")
+
+
 def chunks_of(pieces: DataFrame) -> DataFrame:
     return pieces.select("document_id", "ordinal", "text", F.lit(None).cast("int").alias("source_page_index"))
 
@@ -147,6 +174,13 @@ def page_sections(docs: DataFrame, path: str = "source_path") -> DataFrame:
     )
 
 
+def page_piece_counts(pages: DataFrame, limit: int = X.DEFAULT_CHUNK_LIMIT, unit: str = "grapheme") -> DataFrame:
+    """Chunks per paged document; documents without any text give no row."""
+    texts = page_source(pages).where(~F.col("is_empty"))
+    sizes = texts.select("document_id", F.size(X.pack_words(F.col("text"), limit, unit)).alias("n"))
+    return sizes.groupBy("document_id").agg(F.sum("n").cast("int").alias("chunk_count"))
+
+
 def low_pages(pages: DataFrame, threshold: float = P.FALLBACK_THRESHOLD) -> DataFrame:
     """Pages routed to the fallback, one row each."""
     routed = route_pages(page_scores(pages), threshold)
@@ -173,8 +207,14 @@ def low_page_lists(low: DataFrame, block: int = 1 << 16) -> DataFrame:
 def document_record(
     docs: DataFrame, chunks: DataFrame, low: DataFrame, imported_at: Column, title: Column | None = None
 ) -> DataFrame:
-    """Document rows ``(document_id, source_path, title, source_type)`` with counts and page lists."""
-    counts = chunks.groupBy("document_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
+    """Document rows ``(document_id, source_path, title, source_type)`` with counts and page lists.
+
+    ``chunks`` are chunk rows, or one row per document with its ``chunk_count``.
+    """
+    if "chunk_count" in chunks.columns:
+        counts = chunks.select("document_id", "chunk_count")
+    else:
+        counts = chunks.groupBy("document_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
     no_pages = F.array().cast("array<int>")
     return (
         docs.join(counts, "document_id", "left")

@@ -111,7 +111,7 @@ def keyword_matches(
         found = folded.select(*CHUNK_KEY, F.explode(F.flatten(F.transform(hits, lambda term: term["queries"]))).alias("_query"))
         return found.select("_query.query_id", "_query.k", *CHUNK_KEY)
 
-    return for_each_slice(wanted, bound, run)
+    return for_each_slice(wanted, bound, run, F.octet_length("keyword"))
 
 
 def keyword_topk_many(
@@ -178,7 +178,7 @@ def vector_matches(vectors: DataFrame, queries: DataFrame, k_max: int, bound: in
             result = part if result is None else result.unionByName(part)
         return result
 
-    return for_each_slice(wanted, bound, run)
+    return for_each_slice(wanted, bound, run, F.size("embedding") * 8)
 
 
 def _scorer(rows: list, size: int, k_max: int):

@@ -43,9 +43,10 @@ def parse_batch(
 ) -> ParsedBatch:
     """``files(source_path, text, reject_reason)``, ``pages(source_path, page_index, text)``.
 
-    ``files`` lists paged files too, with null text. The text is read twice: once for
-    the verdict and title of each file, once for its pieces. Both results are written
-    out, since all three tables come from them.
+    ``files`` lists paged files too, with null text. A first pass over the text gives
+    the verdict, title, chunk count and outline of each file; this narrow result is
+    written out and records, sections and rejects come from it. Chunks are a second
+    pass, made when they are stored, so no text is written to the side.
     """
     listed = (
         route_source_type(files.withColumnRenamed("reject_reason", "_given"))
@@ -54,35 +55,39 @@ def parse_batch(
         .withColumn("document_id", ids.document_id(F.lit(workspace_id), F.col("source_path"), F.lit(import_batch_id)))
     )
     open_markdown = (F.col("source_type") == "markdown") & F.col("reject_reason").isNull()
-    heading = X.first_heading(X.normalize_newlines(F.col("text")))
-    judged = cut_lineage(
-        listed.withColumn("heading", F.when(open_markdown, heading))
-        .withColumn(
-            "reject_reason",
-            F.when(open_markdown & C.is_blank_markdown(F.col("text")), F.lit(C.EMPTY_MARKDOWN)).otherwise(F.col("reject_reason")),
-        )
-        .drop("text")
+    texts = listed.where(open_markdown)
+    parsed = C.md_outline(
+        texts.withColumn("title", X.document_title(X.normalize_newlines(F.col("text")), F.col("source_path"))),
+        "text", limit, keep=("source_path", "source_type", "title"),
     )
-    accepted = judged.where(F.col("reject_reason").isNull())
-    markdown = accepted.where(F.col("source_type") == "markdown")
-    paged = accepted.where(F.col("source_type") == "pdf")
+    # A text gives no chunk only if it is blank.
+    blank = F.when(F.col("chunk_count") == 0, F.lit(C.EMPTY_MARKDOWN))
+    judged = cut_lineage(parsed.withColumn("reject_reason", blank))
+    markdown = judged.where(F.col("reject_reason").isNull())
 
-    # Blank texts have no pieces, so the verdict is not needed here.
-    pieces = cut_lineage(C.md_pieces(listed.where(open_markdown), "text", limit))
+    paged = listed.where(F.col("reject_reason").isNull() & (F.col("source_type") == "pdf")).select(
+        "document_id", "source_path", "source_type", X.file_stem(F.col("source_path")).alias("title")
+    )
     page_rows = pages.join(paged.select("source_path", "document_id"), "source_path").select("document_id", "page_index", "text")
-    from_pages = cut_lineage(C.page_chunks(page_rows, limit))
-    # A paged document without chunks has no page with text.
-    with_text = from_pages.select("document_id").distinct()
-    readable = paged.join(with_text, "document_id", "left_semi")
-    unreadable = paged.join(with_text, "document_id", "left_anti").withColumn("reject_reason", F.lit(C.NO_PAGE_TEXT))
-
-    chunks = C.chunks_of(pieces).unionByName(from_pages)
-    sections = C.sections_of(pieces).unionByName(C.page_sections(readable))
-    low = C.low_pages(page_rows, threshold)
-
-    title = F.coalesce("heading", X.file_stem(F.col("source_path")))
-    rows = markdown.unionByName(readable)
-    documents = cut_lineage(C.document_record(rows, chunks, low, imported_at, title))
+    counts = cut_lineage(C.page_piece_counts(page_rows, limit))
+    readable = paged.join(counts.select("document_id"), "document_id", "left_semi")
+    unreadable = paged.join(counts.select("document_id"), "document_id", "left_anti")
+
+    chunks = C.chunks_of(C.md_pieces(texts, "text", limit)).unionByName(C.page_chunks(page_rows, limit))
+    outlines = markdown.select("document_id", F.inline("sections"))
+    sections = outlines.unionByName(C.page_sections(readable))
+    columns = ["document_id", "source_path", "source_type", "title"]
+    documents = cut_lineage(C.document_record(
+        markdown.select(*columns).unionByName(readable.select(*columns)),
+        markdown.select("document_id", "chunk_count").unionByName(counts),
+        C.low_pages(page_rows, threshold),
+        imported_at,
+    ))
+    rejects = (
+        listed.where(F.col("reject_reason").isNotNull()).select("source_path", "reject_reason")
+        .unionByName(judged.where(F.col("reject_reason").isNotNull()).select("source_path", "reject_reason"))
+        .unionByName(unreadable.select("source_path", F.lit(C.NO_PAGE_TEXT).alias("reject_reason")))
+    )
 
     def with_id(df: DataFrame, name: str, kind: str, number: str) -> DataFrame:
         return df.withColumn(name, ids.part_id(F.col("document_id"), kind, F.col(number))).withColumn(
@@ -93,9 +98,7 @@ def parse_batch(
         documents=documents.withColumn("workspace_id", F.lit(workspace_id)),
         chunks=with_id(chunks, "chunk_id", "chunk", "ordinal"),
         sections=with_id(sections, "section_id", "section", "chunk_start_ordinal"),
-        rejects=judged.where(F.col("reject_reason").isNotNull())
-        .select("source_path", "reject_reason")
-        .unionByName(unreadable.select("source_path", "reject_reason")),
+        rejects=rejects,
     )
 
 
@@ -115,7 +118,8 @@ def import_batch(
     if imported_at is None:
         imported_at = F.current_timestamp()
     batch = parse_batch(files, pages, workspace_id, import_batch_id, imported_at, **options)
-    store.upsert_chunks(batch.chunks.withColumn("position", F.col("ordinal").cast("long")), unique=True)
+    chunks = batch.chunks.withColumn("position", F.col("ordinal").cast("long"))
+    store.upsert_chunks(chunks, unique=True, documents=batch.documents.select("workspace_id", "document_id"))
     records = batch.documents.drop("fallback_page_count").withColumn("position", F.lit(0).cast("long"))
     store.upsert_documents(records, batch.sections)
     store.mark_commit(import_batch_id, workspace_id)

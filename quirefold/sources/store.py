@@ -72,13 +72,13 @@ class CorpusStore:
             .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(self._path(table))
         )
 
-    def _conflicts(self, keys: DataFrame, table: str) -> Column | None:
+    def _conflicts(self, keys: DataFrame, table: str, on: list[str]) -> Column | None:
         """Predicate for the partitions that hold a key of the batch, None if there are none.
 
-        Collects partition names, at most workspaces of the batch times buckets.
+        Collects partition names, at most workspaces of the batch times buckets; the
+        file listing holds as many on the driver.
         """
-        on = [*PARTITION, KEYS[table]]
-        hit = self._stored(table).select(*on).join(keys.select(*on), on, "left_semi").select(*PARTITION).distinct().collect()
+        hit = self._stored(table).join(keys.select(*on), on, "left_semi").select(*PARTITION).distinct().collect()
         by_workspace: dict[str, list[int]] = {}
         for row in hit:
             by_workspace.setdefault(row["workspace_id"], []).append(row["bucket"])
@@ -86,16 +86,26 @@ class CorpusStore:
         return reduce(lambda a, b: a | b, tests) if tests else None
 
     def upsert_chunks(
-        self, batch: DataFrame, position: str = "position", now: Column | None = None, unique: bool = False
+        self,
+        batch: DataFrame,
+        position: str = "position",
+        now: Column | None = None,
+        unique: bool = False,
+        documents: DataFrame | None = None,
     ) -> None:
         """``batch``: chunk columns without timestamps, ``workspace_id`` and an order column.
 
         With ``unique`` the caller vouches for distinct ids in the batch, as an import
-        does; new rows are then written without an aggregation.
+        does; new rows are then written without an aggregation. ``documents(workspace_id,
+        document_id)`` names the documents of a batch whose chunk ids depend on the
+        document; stored ids are then looked up by document, without making the batch.
         """
         now = F.current_timestamp() if now is None else now
         filed = self._filed(batch, "chunks")
-        conflict = self._conflicts(filed, "chunks")
+        if documents is None:
+            conflict = self._conflicts(filed, "chunks", [*PARTITION, "chunk_id"])
+        else:
+            conflict = self._conflicts(documents, "chunks", ["workspace_id", "document_id"])
         fresh = filed if conflict is None else filed.where(~conflict)
         if conflict is not None:
             merged = upsert_chunks(self._stored("chunks").where(conflict), filed.where(conflict), position, now)
@@ -109,7 +119,7 @@ class CorpusStore:
     def upsert_documents(self, batch: DataFrame, sections: DataFrame, position: str = "position") -> None:
         """Document records and their sections; sections of a batch document are replaced as a whole."""
         filed = self._filed(batch, "documents")
-        conflict = self._conflicts(filed, "documents")
+        conflict = self._conflicts(filed, "documents", [*PARTITION, "document_id"])
         fresh = filed if conflict is None else filed.where(~conflict)
         if conflict is not None:
             merged = upsert_documents(self._stored("documents").where(conflict), filed.where(conflict), position)
@@ -120,7 +130,7 @@ class CorpusStore:
     def _replace_sections(self, batch: DataFrame, sections: DataFrame) -> None:
         documents = self._filed(batch.select("document_id", "workspace_id").distinct(), "sections")
         new = self._filed(sections, "sections")
-        conflict = self._conflicts(documents, "sections")
+        conflict = self._conflicts(documents, "sections", [*PARTITION, "document_id"])
         if conflict is None:
             self._write(new, "sections", "append")
             return

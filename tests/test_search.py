@@ -120,11 +120,11 @@ def test_app_search_and_page_filter(spark, chunks):
     sections = spark.createDataFrame([(d, 1, f"s{d}", 1) for d in range(30)], "document_id long, level int, title string, chunk_start_ordinal int")
     vectors = spark.createDataFrame([], "document_id long, ordinal int, embedding array<float>")
     queries = spark.createDataFrame([(1, "kiwi", [], 30)], "query_id long, keyword string, embedding array<float>, k int")
-    found = search_many(chunks, sections, vectors, queries, 30, 1, keyword_weight=1.0, vector_weight=0.0).orderBy("rank").collect()
+    found = search_many(chunks, sections, vectors, queries, 30, keyword_weight=1.0, vector_weight=0.0).orderBy("rank").collect()
     assert len(found) == 30
     assert [r["score_label"] for r in found[:3]] == ["1.000", "0.500", "0.333"] and found[15]["score_label"] == "0.062"
     assert all(r["section_title"] == (f"s{r['document_id']}" if r["ordinal"] >= 1 else None) for r in found)
-    paged = search_many(chunks, sections, vectors, queries, 30, 1, page=0, keyword_weight=1.0, vector_weight=0.0).collect()
+    paged = search_many(chunks, sections, vectors, queries, 30, page=0, keyword_weight=1.0, vector_weight=0.0).collect()
     assert {r["source_page_index"] for r in paged} == {0} and len(paged) < 30
     assert {r["page_label"] for r in paged} == {"P1"}
     one = keyword_search_with_sections(chunks, sections, "kiwi", 30).count()
