@@ -478,7 +478,7 @@ def reciprocal_rank(spark, sf_dir):
 
 @query
 def recency_index(spark, sf_dir):
-    recent = S.with_recency_index(S.recent_documents(X.record_heads(spark, sf_dir)))
+    recent = S.recent_with_index(X.record_heads(spark, sf_dir))
     return longs(recent.select("document_id", "recency_index"))
 
 

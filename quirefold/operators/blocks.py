@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirefold.session import cut_lineage
+
 BLOCK = 4096
 TOP_K_FAN = 32
 
@@ -104,6 +106,26 @@ def last_before(
     )
 
 
+def global_index(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """Add ``out``: 0-based place of the row in the whole table by ``order``, a total order.
+
+    The rows are range-partitioned and written out, numbered within their range, and
+    shifted by the sizes of the ranges before, one small row each.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    # As many rows as there are shuffle partitions.
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy("_range").orderBy(*order)
+    return (
+        ranged.withColumn("_place", F.row_number().over(inside) - 1)
+        .join(F.broadcast(shifts), "_range")
+        .withColumn(out, F.col("_shift") + F.col("_place"))
+        .drop("_range", "_place", "_shift")
+    )
+
+
 def top_k(
     df: DataFrame,
     keys: Sequence[str],

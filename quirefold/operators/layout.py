@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions.geometry import Rect, rects_intersect
 from quirefold.functions.report import quality_badge
-from quirefold.operators.sections import RECENT_LIMIT, recent_documents, with_recency_index, with_section_index
+from quirefold.operators.sections import RECENT_LIMIT, few, recent_with_index, with_section_index
 
 # Node positions and sizes, in world units.
 ROOT_X, ROOT_WIDTH, ROOT_HEIGHT = 70.0, 260.0, 62.0
@@ -39,9 +39,11 @@ def _node(node_id: Column, title: Column, x: Column, y: Column, width: float, he
 def mindmap_nodes(documents: DataFrame, sections: DataFrame, limit: int = RECENT_LIMIT) -> DataFrame:
     """Positions of the recent documents and their sections, or placeholders without documents.
 
-    The documents are cut to ``limit`` first; they are the broadcast side everywhere.
+    The documents are cut to ``limit`` first; while it is small they are the broadcast
+    side everywhere.
     """
-    recent = with_recency_index(recent_documents(documents, limit))
+    recent = recent_with_index(documents, limit)
+    keys = few(recent.select("document_id"), limit)
     placed = recent.select(
         "document_id",
         "title",
@@ -54,10 +56,9 @@ def mindmap_nodes(documents: DataFrame, sections: DataFrame, limit: int = RECENT
         F.lit(ROOT_X), F.col("base_y"), ROOT_WIDTH, ROOT_HEIGHT,
     ))
 
-    bases = F.broadcast(placed.select("document_id", "base_y"))
-    own = with_section_index(
-        sections.join(F.broadcast(recent.select("document_id")), "document_id", "left_semi")
-    ).join(bases, "document_id")
+    bases = few(placed.select("document_id", "base_y"), limit)
+    shown = sections.join(keys, "document_id", "left_semi")
+    own = with_section_index(shown).join(bases, "document_id")
     section_nodes = own.select(*_node(
         F.concat(key, F.lit("/"), F.col("section_index").cast("string")), F.col("title"),
         F.lit(SECTION_X) + F.greatest(F.lit(0), F.col("level") - 1) * LEVEL_STEP,
@@ -65,9 +66,7 @@ def mindmap_nodes(documents: DataFrame, sections: DataFrame, limit: int = RECENT
         SECTION_WIDTH, SECTION_HEIGHT,
     ))
 
-    with_outline = sections.join(
-        F.broadcast(recent.select("document_id")), "document_id", "left_semi"
-    ).select("document_id").distinct()
+    with_outline = shown.select("document_id").distinct()
     orphans = placed.join(with_outline, "document_id", "left_anti").select(*_node(
         F.concat(key, F.lit("/none")), F.lit(NO_OUTLINE_TITLE),
         F.lit(SECTION_X), F.col("base_y") + NO_OUTLINE_OFFSET, NO_OUTLINE_WIDTH, SECTION_HEIGHT,

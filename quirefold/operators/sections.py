@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.operators.blocks import last_before, row_index
+from quirefold.operators.blocks import global_index, last_before, row_index
 from quirefold.operators.search import BROADCAST_HITS
 
 # Fixed value: documents shown by recency.
@@ -17,17 +17,25 @@ def recent_documents(documents: DataFrame, limit: int = RECENT_LIMIT) -> DataFra
     return documents.orderBy(F.desc("imported_at"), F.asc("document_id")).limit(max(0, limit))
 
 
-def with_recency_index(recent: DataFrame, workspace: str | None = None) -> DataFrame:
-    """0-based place by import time among the rows a limit has let through.
+_NEWEST = ((F.desc, "imported_at"), (F.asc, "document_id"))
 
-    The input is the result of ``recent_documents``, so the window holds at most
-    that many rows (per workspace).
+
+def recent_with_index(documents: DataFrame, limit: int = RECENT_LIMIT) -> DataFrame:
+    """Newest documents with their 0-based place as ``recency_index``.
+
+    A usual limit is cut first and its few rows are numbered in one window; a limit
+    beyond what can be broadcast is numbered over ranges.
     """
-    from pyspark.sql import Window
+    order = [direction(name) for direction, name in _NEWEST]
+    if limit > BROADCAST_HITS:
+        return global_index(documents, order, "recency_index").where(F.col("recency_index") < limit)
+    window = Window.partitionBy(F.lit(0)).orderBy(*order)
+    return recent_documents(documents, limit).withColumn("recency_index", F.row_number().over(window) - 1)
+
 
-    keys = [F.col(workspace)] if workspace else [F.lit(0)]
-    window = Window.partitionBy(*keys).orderBy(F.desc("imported_at"), F.asc("document_id"))
-    return recent.withColumn("recency_index", F.row_number().over(window) - 1)
+def few(df: DataFrame, bound: int) -> DataFrame:
+    """``df`` marked for broadcast if its proven row bound is small."""
+    return F.broadcast(df) if bound <= BROADCAST_HITS else df
 
 
 def sections_of_document(sections: DataFrame, document_id) -> DataFrame:
@@ -42,7 +50,7 @@ def docs_with_sections(documents: DataFrame, sections: DataFrame, limit: int = R
     """
     recent = recent_documents(documents, limit)
     keys = recent.select("document_id")
-    wanted = sections.join(F.broadcast(keys) if limit <= BROADCAST_HITS else keys, "document_id", "left_semi")
+    wanted = sections.join(few(keys, limit), "document_id", "left_semi")
     return recent.join(wanted, "document_id", "left")
 
 
@@ -81,9 +89,8 @@ def section_of_hits(hits: DataFrame, sections: DataFrame, hit_bound: int) -> Dat
     very many sections does not gather in one task.
     """
     keys = hits.select("document_id", "ordinal").distinct()
-    few = F.broadcast(keys) if hit_bound <= BROADCAST_HITS else keys
     best = (
-        sections.join(few, "document_id")
+        sections.join(few(keys, hit_bound), "document_id")
         .where(F.col("chunk_start_ordinal") <= F.col("ordinal"))
         .groupBy("document_id", "ordinal")
         .agg(F.max(F.struct("chunk_start_ordinal", "title", "level")).alias("_best"))
@@ -95,4 +102,4 @@ def section_of_hits(hits: DataFrame, sections: DataFrame, hit_bound: int) -> Dat
         F.col("_best.level").alias("section_level"),
         F.col("_best.chunk_start_ordinal").alias("section_start"),
     )
-    return hits.join(F.broadcast(found) if hit_bound <= BROADCAST_HITS else found, ["document_id", "ordinal"], "left")
+    return hits.join(few(found, hit_bound), ["document_id", "ordinal"], "left")

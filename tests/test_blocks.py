@@ -53,3 +53,10 @@ def test_top_k(spark):
     expected = df.withColumn("rank", F.row_number().over(window)).where((F.col("rank") <= 3) & (F.col("rank") <= F.col("k")))
     same(B.top_k(df, ["g"], [F.col("n"), F.col("p")], 3, ["p"], k=F.col("k"), fan=4), expected)
     assert B.top_k(df, ["g"], [F.col("n")], -1, ["p"]).count() == 0
+
+
+def test_global_index(spark):
+    df = skewed(spark).withColumn("n", F.lit(1))
+    order = [F.desc("n"), F.asc("g"), F.asc("p")]
+    expected = df.withColumn("i", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1).cast("long"))
+    same(B.global_index(df, order, "i"), expected)

@@ -56,6 +56,8 @@ def test_mindmap(spark):
     docs = spark.createDataFrame([("a", "A", [], 10), ("b", "B", [1, 2], 20), ("c", "C", [], 5)], DOCS)
     sections = spark.createDataFrame([("a", 2, "second", 4), ("a", 0, "first", 1), ("c", 3, "late", 0)], SECTIONS)
     nodes = {r["node_id"]: tuple(r)[1:] for r in L.mindmap_nodes(docs, sections, limit=2).collect()}
+    every = {r["node_id"]: tuple(r)[1:] for r in L.mindmap_nodes(docs, sections, limit=10**9).collect()}
+    assert len(every) == 7 and nodes.items() <= every.items() and every["c/0"] == ("late", 820.0, 762.0, 210.0, 52.0)
     assert nodes == {
         "b/root": ("B • LQ 2", 70.0, 80.0, 260.0, 62.0), "b/none": ("(no outline)", 380.0, 160.0, 180.0, 52.0),
         "a/root": ("A • Clean", 70.0, 380.0, 260.0, 62.0), "a/0": ("first", 380.0, 462.0, 210.0, 52.0), "a/1": ("second", 600.0, 534.0, 210.0, 52.0),
