@@ -5,7 +5,7 @@ Each Spark function has a SQL twin in ``oracle.py`` under the same name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.functions.report import clamp_progress
@@ -55,6 +55,12 @@ def outline_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return narrow.select("document_id", "ordinal"), C.sections_of(narrow)
 
 
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of the Markdown documents; the paged ones stay without an outline."""
+    _, found = outline_tables(spark, sf_dir)
+    return found.where(~is_paged(F.col("document_id")))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small page table: turns of conversations."""
     return table(spark, sf_dir, "conversations").select(
@@ -75,9 +81,14 @@ def repaired_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).withColumn("text", F.when(F.col("page_index") % 2 == 0, doubled).otherwise(F.col("text")))
 
 
+def is_paged(document: Column) -> Column:
+    """The source type in this fixture: every third document is paged, the others are Markdown."""
+    return document % 3 == 0
+
+
 def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source path and type per document; every third one is paged."""
-    paged = F.col("doc_id") % 3 == 0
+    """Source path and type per document."""
+    paged = is_paged(F.col("doc_id"))
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("document_id"),
         F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.when(paged, F.lit(".pdf")).otherwise(F.lit(".md"))).alias("source_path"),
@@ -91,12 +102,12 @@ def imported_at():
 
 
 def paged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).where(F.col("document_id") % 3 == 0)
+    return pages(spark, sf_dir).where(is_paged(F.col("document_id")))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document records with chunk counts and low pages."""
-    md = C.chunks_of(C.md_pieces(markdown(spark, sf_dir).where(F.col("document_id") % 3 != 0)))
+    md = C.chunks_of(C.md_pieces(markdown(spark, sf_dir).where(~is_paged(F.col("document_id")))))
     paged = C.page_chunks(paged_pages(spark, sf_dir))
     low = C.low_pages(paged_pages(spark, sf_dir))
     return C.document_record(document_rows(spark, sf_dir), md.unionByName(paged), low, imported_at())
@@ -114,7 +125,7 @@ def record_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def still_low(spark: SparkSession, sf_dir: str) -> DataFrame:
-    repaired = repaired_pages(spark, sf_dir).where(F.col("document_id") % 3 == 0)
+    repaired = repaired_pages(spark, sf_dir).where(is_paged(F.col("document_id")))
     return C.low_page_lists(C.low_pages(repaired)).withColumnRenamed("low_quality_pages", "still_low")
 
 

@@ -138,7 +138,7 @@ CTE["hybrid"] = f"""SELECT query_id, rank, document_id, ordinal, score FROM (
 CTE["recent"] = """SELECT *, row_number() OVER (ORDER BY imported DESC, document_id) - 1 AS recency_index FROM recs
   ORDER BY imported DESC, document_id LIMIT 80"""
 
-CTE["some_sections"] = "SELECT * FROM sections WHERE document_id % 4 <> 1"
+CTE["some_sections"] = "SELECT * FROM sections JOIN (SELECT document_id FROM docs WHERE source_type = 'markdown') USING (document_id)"
 
 CTE["nodes"] = """SELECT document_id || '/root' AS node_id,
     title || ' • ' || CASE WHEN len(pages) = 0 THEN 'Clean' ELSE 'LQ ' || len(pages) END AS title,
@@ -212,7 +212,7 @@ _NEEDS = {
     "tchunks": ["turns"], "docs": [], "low": ["pages"], "low2": ["pages2"], "recs": ["docs", "low"], "still": ["low2"],
     "resolved": ["recs", "still"], "applied": ["resolved"], "compared": ["applied"], "ratios": ["compared"], "queries": [],
     "kwhits": ["queries", "chunks"], "vechits": ["queries"], "fused": ["kwhits", "vechits"], "hybrid": ["fused", "queries"],
-    "recent": ["recs"], "some_sections": ["sections"], "nodes": ["recent", "some_sections"], "jobs": [], "rjobs": [],
+    "recent": ["recs"], "some_sections": ["sections", "docs"], "nodes": ["recent", "some_sections"], "jobs": [], "rjobs": [],
     "latest": ["rjobs"], "files": [], "corpus": ["files"], "mdlines": ["md"], "sk": ["mdlines"], "parents": ["sk"],
     "siblings": ["parents"], "paths": ["siblings"], "content": ["mdlines"], "content2": ["mdlines"],
     "tree": ["paths", "sk", "content"], "answers": ["tree"],

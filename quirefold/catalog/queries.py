@@ -139,7 +139,7 @@ def upsert_documents(spark, sf_dir):
 
 @query
 def replace_sections(spark, sf_dir):
-    ids = X.document_rows(spark, sf_dir).where(F.col("document_id") % 3 == 0)
+    ids = X.document_rows(spark, sf_dir).where(F.col("source_type") == "pdf")
     new = ids.where(F.col("document_id") % 2 == 0).select(
         "document_id", F.lit(1).alias("level"), F.lit("Redone").alias("title"), F.lit(0).alias("chunk_start_ordinal")
     )
@@ -370,8 +370,7 @@ def chunk_section_asof(spark, sf_dir):
 
 @query
 def docs_with_sections(spark, sf_dir):
-    _, sections = X.outline_tables(spark, sf_dir)
-    joined = S.docs_with_sections(X.record_heads(spark, sf_dir), sections.where(F.col("document_id") % 4 != 1))
+    joined = S.docs_with_sections(X.record_heads(spark, sf_dir), X.markdown_sections(spark, sf_dir))
     return longs(joined.select("document_id", F.col("source_path"), "level", "chunk_start_ordinal"))
 
 
@@ -633,8 +632,7 @@ def import_outcomes(spark, sf_dir):
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, sections = X.outline_tables(spark, sf_dir)
-    return layout.mindmap_nodes(X.record_heads(spark, sf_dir), sections.where(F.col("document_id") % 4 != 1))
+    return layout.mindmap_nodes(X.record_heads(spark, sf_dir), X.markdown_sections(spark, sf_dir))
 
 
 @query

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quirefold.functions.geometry import Rect, rects_intersect
 from quirefold.functions.report import quality_badge
 from quirefold.operators.sections import RECENT_LIMIT, few, recent_with_index, with_section_index
+from quirefold.session import cut_lineage
 
 # Node positions and sizes, in world units.
 ROOT_X, ROOT_WIDTH, ROOT_HEIGHT = 70.0, 260.0, 62.0
@@ -42,7 +43,10 @@ def mindmap_nodes(documents: DataFrame, sections: DataFrame, limit: int = RECENT
     The documents are cut to ``limit`` first; while it is small they are the broadcast
     side everywhere.
     """
-    recent = recent_with_index(documents, limit)
+    # The few documents and their sections are used several times; the big tables are read once.
+    recent = cut_lineage(
+        recent_with_index(documents, limit).select("document_id", "title", "low_quality_pages", "recency_index")
+    )
     keys = few(recent.select("document_id"), limit)
     placed = recent.select(
         "document_id",
@@ -57,7 +61,7 @@ def mindmap_nodes(documents: DataFrame, sections: DataFrame, limit: int = RECENT
     ))
 
     bases = few(placed.select("document_id", "base_y"), limit)
-    shown = sections.join(keys, "document_id", "left_semi")
+    shown = cut_lineage(sections.join(keys, "document_id", "left_semi"))
     own = with_section_index(shown).join(bases, "document_id")
     section_nodes = own.select(*_node(
         F.concat(key, F.lit("/"), F.col("section_index").cast("string")), F.col("title"),
@@ -72,16 +76,12 @@ def mindmap_nodes(documents: DataFrame, sections: DataFrame, limit: int = RECENT
         F.lit(SECTION_X), F.col("base_y") + NO_OUTLINE_OFFSET, NO_OUTLINE_WIDTH, SECTION_HEIGHT,
     ))
 
-    spark = documents.sparkSession
-    any_document = recent.select(F.lit(1).alias("one")).limit(1)
-    placeholders = (
-        spark.createDataFrame(
-            [(1, f"placeholder/{i}", *row) for i, row in enumerate(PLACEHOLDERS)],
-            "one int, node_id string, title string, x double, y double, width double, height double",
-        )
-        .join(any_document, "one", "left_anti")
-        .select(*NODE_COLUMNS)
-    )
+    fixed = F.array(*[
+        F.struct(*[F.lit(value).alias(name) for name, value in zip(NODE_COLUMNS, (f"placeholder/{i}", *row))])
+        for i, row in enumerate(PLACEHOLDERS)
+    ])
+    counted = recent.agg(F.count(F.lit(1)).alias("n"))
+    placeholders = counted.where(F.col("n") == 0).select(F.inline(fixed))
     return roots.unionByName(section_nodes).unionByName(orphans).unionByName(placeholders)
 
 

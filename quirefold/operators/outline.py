@@ -6,6 +6,8 @@ that row, so building the tree needs no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,6 +161,13 @@ def refine_prompts(
     )
 
 
+def refine(prompts: DataFrame, answer: Callable[[Column, Column], Column]) -> DataFrame:
+    """Responses of a scorer, given as a function of the two prompt columns (any Column, also a pandas UDF)."""
+    return prompts.select(
+        "document_id", "node_id", answer(F.col("system_prompt"), F.col("user_prompt")).alias("response")
+    )
+
+
 def parse_responses(responses: DataFrame) -> DataFrame:
     """Responses with their list of children; null where the JSON cannot be read."""
     return responses.withColumn("children", F.from_json("response", CHILDREN_TYPE, {"mode": "PERMISSIVE"}))

@@ -5,7 +5,7 @@ from quirefold.operators import sections as S
 
 
 def test_small_markdown(spark):
-    """The reference's parser case: three paragraphs, one of them a heading."""
+    """Three paragraphs, one of them a heading."""
     docs = spark.createDataFrame([(1, "# Title\n\nParagraph one.\n\nParagraph two is here.")], "document_id long, md string")
     assert [tuple(r) for r in C.md_chunks(docs).orderBy("ordinal").select("ordinal", "text").collect()] == [
         (0, "# Title"), (1, "Paragraph one."), (2, "Paragraph two is here."),

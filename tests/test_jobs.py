@@ -17,7 +17,7 @@ def records(spark, rows):
 
 
 def test_import_states(spark):
-    """The reference's queue cases: success ends indexed at 1.0, failure ends failed."""
+    """Success ends indexed at 1.0, failure ends failed."""
     rows = [(2, 10, "queued"), (1, 11, "queued"), (1, 12, "parsing"), (2, 13, "parsing"), (1, 14, "indexed"), (2, 15, "failed")]
     events = spark.createDataFrame(rows, "job_id long, seq long, status string").withColumn("progress", J.state_progress(F.col("status"), J.IMPORT_PROGRESS))
     snapshot = [tuple(r) for r in J.job_snapshot(events).orderBy("enqueued").select("job_id", "status", "progress").collect()]
@@ -27,7 +27,7 @@ def test_import_states(spark):
 
 
 def test_reparse_updates_the_record(spark):
-    """The reference's case: low pages [0, 2, 3], resolved [0, 2], one page left."""
+    """Low pages [0, 2, 3], resolved [0, 2], one page left."""
     docs = records(spark, [(1, "pdf", "t", 7, [0, 2, 3], 5), (2, "markdown", "m", 1, [1], 5), (3, "pdf", "u", 2, [4, 4, 1], 5)])
     still = spark.createDataFrame([(1, [3]), (2, []), (3, [1, 9])], "document_id long, still_low array<int>")
     resolved = R.resolved_pages(docs, still)
@@ -56,7 +56,7 @@ def test_comparison(spark):
 
 
 def test_second_request_is_refused(spark):
-    """The reference's case: enqueued twice, taken once."""
+    """Enqueued twice, taken once."""
     log = spark.createDataFrame([(1, 1, "enqueue", True), (1, 2, "enqueue", True), (2, 3, "enqueue", False)], "document_id long, seq long, kind string, has_low_pages boolean")
     assert {r["seq"]: r["admitted"] for r in J.admit_reparse(log).collect()} == {1: True, 2: False, 3: False}
 

@@ -11,7 +11,7 @@ VIEWS = "viewport_id int, x double, y double, width double, height double"
 
 
 def test_rectangles(spark):
-    """The reference's cases for overlap and containment; touching edges count."""
+    """Overlap and containment; touching edges count."""
     a = Rect.literal(0, 0, 100, 100)
     row = spark.range(1).select(
         rects_intersect(a, Rect.literal(80, 80, 20, 20)), rects_intersect(a, Rect.literal(150, 150, 20, 20)),

@@ -72,4 +72,6 @@ def test_children_and_markdown(spark):
     assert [r["node_id"] for r in O.rejected_responses(responses).collect()] == ["1.1"]
     text = O.tree_markdown(O.tree_lines(nodes, children), block=2).first()["markdown"]
     assert text == "# A\n## p\n- d1\n- d2\n## q\n## B\n# C"
+    answered = O.refine(O.refine_prompts(nodes), lambda system, user: F.lit('[{"topic":"t","details":["d"]}]'))
+    assert O.attach_children(nodes, answered).count() == 3
     assert O.tree_markdown(O.tree_lines(nodes)).first()["markdown"] == "# A\n## B\n# C"

@@ -17,7 +17,7 @@ def chunks(spark):
     return spark.createDataFrame(rows, "document_id long, ordinal int, text string, source_page_index int").cache()
 
 
-def test_reference_case(spark):
+def test_substring_case(spark):
     chunks = spark.createDataFrame([(1, 0, "apple banana"), (1, 1, "orange kiwi"), (1, 2, "banana pear")], "document_id long, ordinal int, text string")
     assert [r["ordinal"] for r in S.keyword_topk(chunks, "banana", 10).collect()] == [0, 2]
 

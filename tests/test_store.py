@@ -9,6 +9,7 @@ from quirefold.operators import audit, upsert
 from quirefold.operators import sections as S
 from quirefold.operators.search import keyword_topk
 from quirefold.plans.importing import import_batch
+from quirefold.plans.reparsing import reparse_batch
 from quirefold.schemas import CHUNKS
 from quirefold.sources import corpus, export
 from quirefold.sources.store import CorpusStore
@@ -29,7 +30,7 @@ def files_of(folder):
 
 
 def test_persist_and_search(spark, tmp_path):
-    """The reference's storage case: three chunks, one record, two sections in order."""
+    """Three chunks, one record, two sections in order."""
     store = CorpusStore(spark, str(tmp_path / "s"), buckets=4)
     chunks = [(f"c{i}", "d", i, t, None, "w", i) for i, t in enumerate(["apple banana", "orange kiwi", "banana pear"])]
     store.upsert_chunks(spark.createDataFrame(chunks, CHUNK))
@@ -217,3 +218,19 @@ def test_text_exports(spark, tmp_path):
     lines = spark.createDataFrame([("b", 0, 0, "# b"), ("a", 2, 0, "## a2"), ("a", 0, 0, "# a"), ("a", 0, 1, "## child")], "document_id string, line_no int, child_no int, line string")
     export.write_tree_lines(lines, str(tmp_path / "t"))
     assert [r[0] for r in spark.read.text(str(tmp_path / "t")).collect()] == ["# a", "## child", "## a2", "# b"]
+
+
+def test_reparse_job(spark, tmp_path):
+    store = CorpusStore(spark, str(tmp_path / "s"), buckets=2)
+    rows = [("p", "p", "P", "pdf", 4, [0, 2, 3], 5, "w", 0), ("m", "m", "M", "markdown", 1, [1], 5, "w", 0), ("e", "e", "E", "pdf", 1, [0], 5, "w", 0), ("c", "c", "C", "pdf", 1, [], 5, "w", 0)]
+    sections = spark.createDataFrame([("s1", "p", 1, "P", 0, "w"), ("s2", "c", 1, "C", 0, "w")], SECTION)
+    store.upsert_documents(record(spark, rows), sections)
+    pages = spark.createDataFrame([("p", 0, "x"), ("p", 2, "y" * 90), ("p", 3, "z"), ("e", 0, " "), ("c", 0, "x")], "document_id string, page_index int, text string")
+    better = lambda df: df.withColumn("text", F.when(F.col("page_index") == 0, F.repeat("text", 100)).otherwise(F.col("text")))
+    requests = spark.createDataFrame([(d,) for d in "pmec"], "document_id string")
+    states = {r["document_id"]: (r["status"], r["message"]) for r in reparse_batch(store, "w", requests, pages, F.timestamp_seconds(F.lit(99)), better).collect()}
+    assert states == {"p": ("completed", "Resolved 2, remaining 1"), "m": ("completed", "Resolved 0, remaining 1"), "e": ("failed", "PDF has no extractable text")}
+    stored = {r["document_id"]: (r["low_quality_pages"], r["at"], r["chunk_count"]) for r in store.table("documents").withColumn("at", F.unix_seconds("imported_at")).collect()}
+    assert stored == {"p": ([3], 99, 4), "m": ([1], 99, 1), "e": ([0], 5, 1), "c": ([], 5, 1)}
+    assert {(r["document_id"], r["title"]) for r in store.table("sections").collect()} == {("p", "P"), ("c", "C")}
+    assert S.recent_documents(store.table("documents"), 1).first()["document_id"] == "m"
