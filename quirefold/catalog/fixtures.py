@@ -205,7 +205,7 @@ def reparse_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as rectangles."""
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         F.concat_ws("/", "l_orderkey", "l_linenumber").alias("node_id"),
         (F.col("l_partkey") * 7.0).alias("x"),
         (F.col("l_suppkey") * 131.0).alias("y"),

@@ -58,15 +58,15 @@ def admit_reparse(log: DataFrame) -> DataFrame:
     request counts if the document has low pages; it is taken if the entry before it
     is a finish or there is none, since any other entry means a job is active.
     """
-    counted = log.where((F.col("kind") == FINISH) | F.col("has_low_pages"))
-    seen = last_before(counted.select("document_id", "seq", "kind"), ["document_id"], "seq", F.col("kind"), "previous")
-    taken = seen.where(F.col("kind") == REQUEST).select(
-        "document_id", "seq", (F.col("previous").isNull() | (F.col("previous") == FINISH)).alias("admitted")
+    counts = (F.col("kind") == FINISH) | F.col("has_low_pages")
+    seen = last_before(
+        log.select("document_id", "seq", "kind", "has_low_pages"),
+        ["document_id"], "seq", F.when(counts, F.col("kind")), "previous",
     )
-    refused = log.where((F.col("kind") == REQUEST) & ~F.col("has_low_pages")).select(
-        "document_id", "seq", F.lit(False).alias("admitted")
+    free = F.col("previous").isNull() | (F.col("previous") == FINISH)
+    return seen.where(F.col("kind") == REQUEST).select(
+        "document_id", "seq", (F.col("has_low_pages") & free).alias("admitted")
     )
-    return taken.unionByName(refused)
 
 
 def import_outcomes(good: DataFrame, rejects: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.operators.blocks import global_index, last_before, row_index
@@ -12,12 +12,13 @@ from quirefold.operators.search import BROADCAST_HITS
 RECENT_LIMIT = 80
 
 
-def recent_documents(documents: DataFrame, limit: int = RECENT_LIMIT) -> DataFrame:
-    """Newest documents first; ties by id."""
-    return documents.orderBy(F.desc("imported_at"), F.asc("document_id")).limit(max(0, limit))
+def _newest_first() -> list[Column]:
+    return [F.desc("imported_at"), F.asc("document_id")]
 
 
-_NEWEST = ((F.desc, "imported_at"), (F.asc, "document_id"))
+def recent_documents(documents: DataFrame, limit: int = RECENT_LIMIT) -> DataFrame:
+    """Newest documents first; ties by id."""
+    return documents.orderBy(*_newest_first()).limit(max(0, limit))
 
 
 def recent_with_index(documents: DataFrame, limit: int = RECENT_LIMIT) -> DataFrame:
@@ -26,7 +27,7 @@ def recent_with_index(documents: DataFrame, limit: int = RECENT_LIMIT) -> DataFr
     A usual limit is cut first and its few rows are numbered in one window; a limit
     beyond what can be broadcast is numbered over ranges.
     """
-    order = [direction(name) for direction, name in _NEWEST]
+    order = _newest_first()
     if limit > BROADCAST_HITS:
         return global_index(documents, order, "recency_index").where(F.col("recency_index") < limit)
     window = Window.partitionBy(F.lit(0)).orderBy(*order)

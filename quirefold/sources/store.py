@@ -19,9 +19,9 @@ from pyspark.sql import types as T
 
 from quirefold import schemas
 from quirefold.operators.upsert import evolve_schema, replace_sections, upsert_chunks, upsert_documents
-from quirefold.session import cut_lineage
 
 KEYS = {"chunks": "chunk_id", "documents": "document_id", "sections": "document_id"}
+ROW_IDS = {"chunks": "chunk_id", "documents": "document_id", "sections": "section_id"}
 SCHEMAS = {"chunks": schemas.CHUNKS, "documents": schemas.DOCUMENTS, "sections": schemas.SECTIONS}
 PARTITION = ["workspace_id", "bucket"]
 COMMITS = T.StructType([
@@ -50,7 +50,8 @@ class CorpusStore:
         schema = T.StructType([*SCHEMAS[table].fields, T.StructField("workspace_id", T.StringType()), T.StructField("bucket", T.IntegerType())])
         try:
             # Files written before a nullable column existed are read with null there.
-            return self.spark.read.schema(schema).parquet(self._path(table))
+            rows = self.spark.read.schema(schema).parquet(self._path(table))
+            return rows.where(F.col(ROW_IDS[table]).isNotNull())
         except AnalysisException:
             return self.spark.createDataFrame([], schema)
 
@@ -134,23 +135,14 @@ class CorpusStore:
         if conflict is None:
             self._write(new, "sections", "append")
             return
-        # A bucket that loses all its rows would keep its files under a dynamic
-        # overwrite, so its last rows are dropped by an explicit empty-file write.
         old = self._stored("sections").where(conflict)
         kept = replace_sections(old, documents, new.where(conflict))
-        kept = cut_lineage(kept.select(*[f.name for f in SCHEMAS["sections"]], *PARTITION))
-        self._clear_empty("sections", old, kept)
-        self._write(kept, "sections", "overwrite")
+        # A dynamic overwrite leaves a bucket alone that gets no row. One that loses its
+        # last section gets a row without an id, which readers skip.
+        emptied = old.select(*PARTITION).distinct().join(kept.select(*PARTITION).distinct(), PARTITION, "left_anti")
+        self._write(kept.unionByName(emptied, allowMissingColumns=True), "sections", "overwrite")
         self._write(new.where(~conflict), "sections", "append")
 
-    def _clear_empty(self, table: str, old: DataFrame, kept: DataFrame) -> None:
-        gone = old.select(*PARTITION).distinct().join(kept.select(*PARTITION).distinct(), PARTITION, "left_anti").collect()
-        jvm = self.spark._jvm
-        for row in gone:
-            name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(row["workspace_id"])
-            path = jvm.org.apache.hadoop.fs.Path(f"{self._path(table)}/workspace_id={name}/bucket={row['bucket']}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
     def evolve(self, table: str, rows: DataFrame) -> DataFrame:
         """Rows written under an earlier version, with today's columns."""
         return evolve_schema(rows, SCHEMAS[table])
