@@ -42,6 +42,7 @@ def quality_badge(title: Column, low_page_count: Column) -> Column:
     return F.concat(title, F.lit(" • "), state)
 
 
+# The texts of the next two functions are fixed values.
 def import_message(chunk_count: Column, fallback_pages: Column) -> Column:
     hint = F.when(
         fallback_pages > 0,

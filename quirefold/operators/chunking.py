@@ -13,6 +13,7 @@ from quirefold.functions import pages as P
 from quirefold.functions import text as X
 from quirefold.operators.blocks import running_offset
 
+# Reject reasons.
 EMPTY_MARKDOWN = "Empty markdown document"
 NO_PAGE_TEXT = "PDF has no extractable text"
 

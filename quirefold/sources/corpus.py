@@ -10,6 +10,7 @@ from quirefold.functions.text import file_extension
 # Extension -> source type.
 EXTENSIONS = {"md": "markdown", "markdown": "markdown", "txt": "markdown", "pdf": "pdf"}
 
+# Fixed value: reject reason for bad bytes; the other one is our own.
 BAD_ENCODING = "Unsupported text encoding"
 TOO_LARGE = "File exceeds the size of one value"
 # A file is one value of a row, and a value holds less than 2 GB.
