@@ -4,7 +4,9 @@ from pathlib import Path
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from quirefold.catalog.oracle import ORACLE
+from quirefold.catalog.queries import REGISTRY
 from tests.compare import difference, open_oracle
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -18,13 +20,13 @@ def oracle():
 
 
 def test_every_query_has_a_twin():
-    assert set(queries()) == set(oracle_sql())
+    assert set(REGISTRY) == set(ORACLE)
 
 
 def test_entry(spark):
     assert entry(spark).count() == 30
 
 
-@pytest.mark.parametrize("key", list(queries()))
+@pytest.mark.parametrize("key", list(REGISTRY))
 def test_query(spark, oracle, key):
-    assert difference(spark, oracle, queries()[key], oracle_sql()[key], SF_DIR) is None
+    assert difference(spark, oracle, REGISTRY[key], ORACLE[key], SF_DIR) is None
