@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import bpe, packing
+from quirefold.llm import bpe, chat, packing, quality
 from quirefold.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,10 @@ def query(function: Callable[[SparkSession, str], DataFrame]):
     return function
 
 
+def sha256(text) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's file."""
     import public_tokenizers
@@ -43,3 +47,90 @@ def op6_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op1_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "\\### Assistant: </turn> ok"
+    added = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(tricky).alias("text"),
+    )
+    messages = said.unionByName(added).withColumn("parts", chat.text_parts(F.col("text")))
+    formatted = chat.format_chat(messages)
+    turns = chat.read_chat(F.col("formatted"))
+    loss = F.array_join(chat.loss_texts(F.col("formatted"), F.col("loss_mask")), "")
+    return formatted.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss")).select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        sha256(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        sha256(F.col("loss")).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+ORACLE["op1_chat_parts"] = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *, length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'))
+    + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) + 15 AS chars
+  FROM said
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+@query
+def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), ["doc_id"])
+    return judged.select("row.doc_id", *quality.MEASURES, "base_failed", "kept")
+
+
+ORACLE["op4_host_rules"] = r"""
+WITH texts AS (
+  SELECT doc_id, lower(coalesce(source, '')) AS host, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM texts WHERE len(w) > 5
+), grams AS (SELECT doc_id, i, w[i:i + 4] AS g FROM windows
+), twice AS (SELECT doc_id, g FROM grams GROUP BY ALL HAVING count(*) > 1
+), covered AS (
+  SELECT doc_id, count(*) AS n FROM (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 5)) AS place FROM grams JOIN twice USING (doc_id, g)) GROUP BY doc_id
+), measured AS (
+  SELECT doc_id, host, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM texts LEFT JOIN covered USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    100 * n_symbols > 10 * n_words AS symbols_failed FROM measured
+), hosts AS (
+  SELECT host, count(*) AS n, avg((base_failed OR symbols_failed)::INT) AS f, avg(symbols_failed::INT) AS s FROM judged GROUP BY host
+), moments AS (
+  SELECT least(greatest(avg(f), 1e-6), 1 - 1e-6) AS fm, var_pop(f) AS fv,
+    least(greatest(avg(s), 1e-6), 1 - 1e-6) AS sm, var_pop(s) AS sv FROM hosts
+), prior AS (
+  SELECT *, CASE WHEN fv > 0 THEN least(greatest(fm * (1 - fm) / fv - 1, 1), 1e6) ELSE 1e6 END AS ft,
+    CASE WHEN sv > 0 THEN least(greatest(sm * (1 - sm) / sv - 1, 1), 1e6) ELSE 1e6 END AS st FROM moments
+), verdicts AS (
+  SELECT host, (f * n + fm * ft) / (n + ft) > 0.8 AS rejected, (s * n + sm * st) / (n + st) > 0.01 AS strict FROM hosts, prior
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT rejected AND NOT (strict AND symbols_failed) AS kept
+FROM judged JOIN verdicts USING (host)
+"""
