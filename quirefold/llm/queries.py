@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import bpe, chat, packing, quality
-from quirefold.llm.common import table
+from quirefold.llm import bpe, chat, packing, quality, toxicity
+from quirefold.llm.common import crc_fold, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -134,3 +134,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND NOT rejected AND NOT (strict AND symbols_failed) AS kept
 FROM judged JOIN verdicts USING (host)
 """
+
+
+@query
+def op8_toxic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(crc_fold("doc_id", 3) != 1)
+    scored = toxicity.score_documents(documents, toxicity.train(documents, labels), ["doc_id"])
+    return scored.select(
+        "row.doc_id",
+        (crc_fold("row.doc_id", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        "offending",
+    )
