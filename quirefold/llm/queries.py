@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import bpe, chat, packing, quality, toxicity
+from quirefold.llm import bpe, chat, interpolation, packing, quality, toxicity
 from quirefold.llm.common import crc_fold, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,13 @@ def op8_toxic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
         "offending",
     )
+
+
+@query
+def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = crc_fold("doc_id", 10)
+    role = F.when(fold == 0, interpolation.TEST).when(fold == 1, interpolation.HELD).otherwise(interpolation.TRAIN)
+    scored = interpolation.score_documents(table(spark, sf_dir, "documents"), role)
+    return scored.select(
+        "doc_id", (F.col("tag") == interpolation.TEST).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
