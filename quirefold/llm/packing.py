@@ -36,6 +36,8 @@ END = END_ID.to_bytes(4, "little")
 SLACK = 1 / 128
 CACHED = 400_000
 LONGEST = 96
+GROUP = 64
+MARK = b"\x01"
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -54,15 +56,32 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memory = Memory(CACHED)
+        mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def encoded(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word. The library is given many words at a time with a mark between them that has one id."""
+        groups = [words[i : i + GROUP] for i in range(0, len(words), GROUP)]
+        if self.mark is None or any(MARK in w for w in words):
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+            return [np.array(e.ids, "<u4").tobytes() for e in found]
+        between = b" " + MARK + b" "
+        result = []
+        for encoding in self.tokenizer.encode_batch_fast([between.join(g).decode() for g in groups], add_special_tokens=False):
+            ids = np.array(encoding.ids, "<u4")
+            cuts = [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            held = ids.tobytes()
+            result += [held[4 * a + 4 : 4 * b] for a, b in zip(cuts, cuts[1:])]
+        return result
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words that the young memory does not have."""
         found = {w: self.memory.found(w) for w in words}
         new = [w for w, ids in found.items() if ids is None]
-        for word, encoded in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            found[word] = np.array(encoded.ids, "<u4").tobytes()
+        for word, ids in zip(new, self.encoded(new)):
+            found[word] = ids
             if len(word) <= LONGEST:
-                self.memory.put(word, found[word])
+                self.memory.put(word, ids)
         return found
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
