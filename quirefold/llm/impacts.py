@@ -37,7 +37,7 @@ SHARD = 8192
 BLOCK = 256
 GROUP = 64  # blocks that a task holds beside a shard
 LEVELS = 16
-PHASES = (0.15, 0.3, 0.45, 0.6, 0.75, 0.9, 1.0)  # of all postings, after which the proof is tried
+PHASES = (0.5, 0.7, 0.8, 0.9, 1.0)  # of all postings, after which the proof is tried
 FEW = 0.04
 PROBED = 16
 
