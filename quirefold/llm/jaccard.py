@@ -276,8 +276,8 @@ def search(left: SignatureTree, right: SignatureTree, groups: Groups, shift: int
     stack = [(len(left.levels) - 1, 0, len(right.levels) - 1, 0)]
     while stack:
         up, i, vp, j = stack.pop()
-        if up == 0 and vp == 0:
-            continue  # a single set each: handled by the pair of their nodes
+        if up == 0 and left is right:
+            continue  # one set alone
         if up > 1 or vp > 1:
             pairs = [(up - 1 if up > 1 else up, x, vp - 1 if vp > 1 else vp, y) for x in (range(*left.below(up, i).indices(1 << 62)) if up > 1 else (i,)) for y in (range(*right.below(vp, j).indices(1 << 62)) if vp > 1 else (j,))]
             for pair in pairs:
