@@ -7,8 +7,8 @@ go out as sorted blocks, one for each bucket of the key range; a bucket adds up
 blocks and sends every block's totals back in the block's own order. Buckets are as many
 as the keys need to fit a task (``BUCKET_KEYS``), so a task is bounded at any size.
 
-Blocks hold differences of sorted keys, bytes of equal weight together: nothing is lost,
-and the shuffle's compression removes the empty bytes.
+Blocks hold differences of sorted keys, bytes of equal weight together and compressed;
+nothing is lost.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import row_slices, text_of
 
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 19
 BUCKET_KEYS = 1 << 21
 
 CHUNK = "chunk bigint, rows array<struct<doc_id:bigint,tag:bigint,n:bigint>>, n_words bigint, codes binary, words binary"
@@ -43,12 +44,25 @@ def from_planes(held: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(held, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of equal length, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(map(planes, columns)))
+
+
+def unpack(held: bytes, *kinds: str) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(held)
+    widths = [np.dtype(kind).itemsize for kind in kinds]
+    length = len(data) // sum(widths)
+    ends = np.cumsum(widths) * length
+    return [from_planes(data[e - w * length : e], kind) for e, w, kind in zip(ends.tolist(), widths, kinds)]
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
-    return planes(np.diff(keys, prepend=np.uint64(0)))
+    return pack(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpack_sorted(held: bytes) -> np.ndarray:
-    return np.cumsum(from_planes(held, "<u8"), dtype=np.uint64)
+    return np.cumsum(unpack(held, "<u8")[0], dtype=np.uint64)
 
 
 def mix(*parts: np.ndarray) -> np.ndarray:
@@ -87,7 +101,7 @@ def code_chunks(df: DataFrame, key: str, text: str, tag: Column, size: int = CHU
                     pa.array([base + made], pa.int64()),
                     pa.array([rows], ROW),
                     pa.array([held], pa.int64()),
-                    pa.array([planes(joined)], pa.binary()),
+                    pa.array([pack(joined)], pa.binary()),
                     pa.array([words.tobytes()], pa.binary()),
                 ],
                 names=["chunk", "rows", "n_words", "codes", "words"],
@@ -116,7 +130,7 @@ class Chunk:
         self.doc_ids = [r["doc_id"] for r in row["rows"]]
         self.tags = np.array([r["tag"] for r in row["rows"]], np.int64)
         self.lengths = np.array([r["n"] for r in row["rows"]], np.int64)
-        self.codes = from_planes(row["codes"], "<i4")
+        (self.codes,) = unpack(row["codes"], "<i4")
         self.words = np.frombuffer(row["words"], "<u8")
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
@@ -142,7 +156,7 @@ def send_keys(chunks: DataFrame, keys_of: Callable[[Chunk], tuple[np.ndarray, li
                     pa.array([row["chunk"]] * len(full), pa.int64()),
                     pa.array(full, pa.int64()),
                     pa.array([pack_sorted(keys[c]) for c in cut], pa.binary()),
-                    pa.array([b"".join(planes(n[c].astype("<i4")) for n in counts) for c in cut], pa.binary()),
+                    pa.array([pack(*(n[c].astype("<i4") for n in counts)) for c in cut], pa.binary()),
                 ],
                 names=["chunk", "bucket", "keys", "counts"],
             )
@@ -156,14 +170,11 @@ def add_up(blocks: DataFrame, columns: int) -> DataFrame:
     def total(group: pa.Table) -> pa.Table:
         keys = [unpack_sorted(k) for k in group["keys"].to_pylist()]
         sizes = [len(k) for k in keys]
-        counts = [from_planes(c, "<i4").reshape(-1) if columns == 1 else np.concatenate([from_planes(c[i * 4 * n : (i + 1) * 4 * n], "<i4") for i in range(columns)]) for c, n in zip(group["counts"].to_pylist(), sizes)]
+        counts = [unpack(c, *["<i4"] * columns) for c in group["counts"].to_pylist()]
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
         ends = np.cumsum(sizes)
-        sums = []
-        for i in range(columns):
-            part = np.concatenate([c[i * n : (i + 1) * n] for c, n in zip(counts, sizes)])
-            sums.append(np.bincount(place, part).astype("<i8")[place])
-        held = [b"".join(planes(s[e - n : e]) for s in sums) for e, n in zip(ends, sizes)]
+        sums = [np.bincount(place, np.concatenate([c[i] for c in counts])).astype("<i8")[place] for i in range(columns)]
+        held = [pack(*(s[e - n : e] for s in sums)) for e, n in zip(ends, sizes)]
         return pa.table({"chunk": group["chunk"], "bucket": group["bucket"], "totals": pa.array(held, pa.binary())})
 
     return blocks.groupBy("bucket").applyInArrow(total, "chunk bigint, bucket bigint, totals binary")
@@ -177,9 +188,5 @@ def with_totals(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def totals_of(row: dict, columns: int) -> list[np.ndarray]:
     """Totals of a row of ``with_totals`` in the order of the chunk's sorted keys."""
-    parts: list[list[np.ndarray]] = [[np.empty(0, "<i8")] for _ in range(columns)]
-    for block in row["blocks"] or []:
-        size = len(block["totals"]) // columns
-        for i in range(columns):
-            parts[i].append(from_planes(block["totals"][i * size : (i + 1) * size], "<i8"))
-    return [np.concatenate(p) for p in parts]
+    blocks = [unpack(block["totals"], *["<i8"] * columns) for block in row["blocks"] or []]
+    return [np.concatenate([np.empty(0, "<i8"), *(b[i] for b in blocks)]) for i in range(columns)]

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import row_slices
-from quirefold.llm.exchange import Chunk, add_up, bucket_bits, code_chunks, mix, planes, from_planes, send_keys, totals_of, with_totals
+from quirefold.llm.exchange import Chunk, add_up, bucket_bits, code_chunks, mix, pack, send_keys, totals_of, unpack, unpack_sorted, with_totals
 from quirefold.session import cut_lineage
 
 TEST, HELD, TRAIN = 0, 1, 2
@@ -112,7 +112,7 @@ def _counted(chunks: DataFrame, held_documents: int, documents: int) -> DataFram
                 [
                     part.column("rows"),
                     *(
-                        pa.array([planes(a)], pa.binary())
+                        pa.array([pack(a)], pa.binary())
                         for a in (
                             train[single].astype("<i8"),
                             train[pair].astype("<i8"),
@@ -141,7 +141,7 @@ def learn_weights(counted: DataFrame, total: int, words: int) -> np.ndarray:
             sums, gain = np.zeros((CONTEXTS, 3)), 0.0
             for part in row_slices(batches, 1):
                 row = part.to_pylist()[0]
-                bucket, ratio, single = (from_planes(row[c], k) for c, k in (("held_bucket", "<i4"), ("held_pair", "<f4"), ("held_single", "<i8")))
+                bucket, ratio, single = (unpack(row[c], k)[0] for c, k in (("held_bucket", "<i4"), ("held_pair", "<f4"), ("held_single", "<i8")))
                 estimates = np.stack([ratio.astype(float), single / max(total, 1), np.full(len(ratio), 1.0 / (words + 1))], axis=1)
                 parts = mixed(at, bucket, estimates)
                 probability = parts.sum(axis=1)
@@ -189,7 +189,7 @@ def score_documents(df: DataFrame, role: Column, key: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_slices(batches, 1):
             row = part.to_pylist()[0]
-            single, pair = from_planes(row["single"], "<i8"), from_planes(row["pair"], "<i8")
+            single, pair = unpack(row["single"], "<i8")[0], unpack(row["pair"], "<i8")[0]
             lengths = np.array([r["n"] for r in row["rows"]], np.int64) + 1
             first = np.cumsum(lengths) - lengths
             context = np.roll(single, 1)
@@ -221,7 +221,7 @@ def _distinct_words(chunks: DataFrame, bits: int) -> int:
         return keys, [np.ones(len(keys))]
 
     def count(group: pa.Table) -> pa.Table:
-        keys = [np.cumsum(from_planes(k, "<u8"), dtype=np.uint64) for k in group["keys"].to_pylist()]
+        keys = [unpack_sorted(k) for k in group["keys"].to_pylist()]
         return pa.table({"n": pa.array([len(np.unique(np.concatenate(keys)))], pa.int64())})
 
     found = send_keys(chunks, used, bits).groupBy("bucket").applyInArrow(count, "n bigint").agg(F.sum("n").alias("n")).first()["n"] or 0

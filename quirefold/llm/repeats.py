@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import row_slices, text_of
-from quirefold.llm.exchange import from_planes, mix, planes
+from quirefold.llm.exchange import mix, pack, unpack
 from quirefold.session import cut_lineage
 
 WIDTH = 100
@@ -168,8 +168,8 @@ def shared_triggers(texts: DataFrame, bits: int, width: int) -> DataFrame:
                         "bucket": pa.array([b], pa.int64()),
                         "ids": pa.array([[rows[d][0] for d in used]], pa.list_(pa.int64())),
                         "hashes": pa.array([[rows[d][1] for d in used]], pa.list_(pa.int64())),
-                        "document": pa.array([planes(local.astype("<i4"))], pa.binary()),
-                        "trigger": pa.array([planes(np.diff((short[c] & np.uint64(0xFFFFFFFF)).astype("<u4"), prepend=np.uint32(0)))], pa.binary()),
+                        "document": pa.array([pack(local.astype("<i4"))], pa.binary()),
+                        "trigger": pa.array([pack(np.diff((short[c] & np.uint64(0xFFFFFFFF)).astype("<u4"), prepend=np.uint32(0)))], pa.binary()),
                         "twice": pa.array([np.packbits(twice[c]).tobytes()], pa.binary()),
                     }
                 )
@@ -177,12 +177,12 @@ def shared_triggers(texts: DataFrame, bits: int, width: int) -> DataFrame:
     def reduce(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         bucket = np.uint64(rows[0]["bucket"]) << np.uint64(32)
-        trigger = [np.cumsum(from_planes(r["trigger"], "<u4"), dtype=np.uint32) for r in rows]
+        trigger = [np.cumsum(unpack(r["trigger"], "<u4")[0], dtype=np.uint32) for r in rows]
         sizes = [len(t) for t in trigger]
         twice = np.concatenate([np.unpackbits(np.frombuffer(r["twice"], np.uint8), count=n).astype(bool) for r, n in zip(rows, sizes)])
         ids, hashes = (np.array([v for r in rows for v in r[c]], np.int64) for c in ("ids", "hashes"))
         shift = np.cumsum([0] + [len(r["ids"]) for r in rows])
-        owner = np.concatenate([from_planes(r["document"], "<i4").astype(np.int64) + s for r, s in zip(rows, shift)])
+        owner = np.concatenate([unpack(r["document"], "<i4")[0].astype(np.int64) + s for r, s in zip(rows, shift)])
         joined = np.concatenate(trigger)
         order = np.lexsort((hashes[owner], joined))
         joined, owner, twice = joined[order], owner[order], twice[order]
