@@ -8,10 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quirefold.functions import text as X
 
@@ -25,8 +23,6 @@ DEFAULT_SYSTEM_PROMPT = (
 DEFAULT_USER_TEMPLATE = "Section: %s\nText:\n%s\n\nList the key points of this section as child nodes."
 DEFAULT_SCHEMA_NAME = "mindmap_children"
 
-# A type object, since a type string can be parsed only while a session runs.
-PLACES_TYPE = T.ArrayType(T.StructType([T.StructField("parent", T.IntegerType()), T.StructField("path", T.StringType())]))
 CHILDREN_TYPE = "array<struct<topic:string,details:array<string>>>"
 
 
@@ -70,25 +66,41 @@ def _with_content(lines: Column, headings: Column) -> Column:
     return X.let(F.struct(lines.alias("lines"), headings.alias("headings")), body)
 
 
-@F.pandas_udf(PLACES_TYPE)
-def _places(levels: pd.Series) -> pd.Series:
-    """Parent position and path id of each heading, from the heading levels of a document."""
+def _places(levels: Column) -> Column:
+    """Parent position and path id of each heading, from the heading levels of a document.
 
-    def of_document(values):
-        # Open ancestors as [level, position, path, children so far]; the root stays.
-        stack = [[0, -1, "", 0]]
-        placed = []
-        for position, level in enumerate(values):
-            while len(stack) > 1 and stack[-1][0] >= level:
-                stack.pop()
-            above = stack[-1]
-            above[3] += 1
-            path = f"{above[2]}.{above[3]}" if above[2] else str(above[3])
-            placed.append({"parent": above[1], "path": path})
-            stack.append([level, position, path, 0])
-        return placed
+    One pass over the levels. ``last`` has one entry for each level met so far: the newest
+    heading of it. The parent is the entry of a smaller level that stands latest, and it counts its children.
+    """
+    entries = "array<struct<place:int,level:int,path:string,children:int>>"
+    start = F.struct(
+        F.array().cast(entries).alias("last"),
+        F.lit(0).alias("roots"),
+        F.array().cast("array<struct<parent:int,path:string>>").alias("placed"),
+    )
+
+    def add(state: Column, level: Column) -> Column:
+        def under(parent: Column) -> Column:
+            number = F.coalesce(parent["children"], state["roots"]) + 1
+            path = F.concat_ws(".", parent["path"], number.cast("string"))
+            place = F.size(state["placed"])
+
+            def renewed(entry: Column) -> Column:
+                children = entry["children"] + F.when(entry["place"] == parent["place"], 1).otherwise(0)
+                return F.struct(entry["place"].alias("place"), entry["level"].alias("level"), entry["path"].alias("path"), children.alias("children"))
+
+            others = F.transform(F.filter(state["last"], lambda entry: entry["level"] != level), renewed)
+            own = F.struct(place.alias("place"), level.alias("level"), path.alias("path"), F.lit(0).alias("children"))
+            placed = F.struct(F.coalesce(parent["place"], F.lit(-1)).alias("parent"), path.alias("path"))
+            return F.struct(
+                F.concat(others, F.array(own)).alias("last"),
+                (state["roots"] + F.when(parent.isNull(), 1).otherwise(0)).alias("roots"),
+                F.concat(state["placed"], F.array(placed)).alias("placed"),
+            )
 
-    return levels.map(of_document)
+        return X.let(F.array_max(F.filter(state["last"], lambda entry: entry["level"] < level)), under)
+
+    return F.aggregate(levels, start, add, lambda state: state["placed"])
 
 
 def skeleton_nodes(docs: DataFrame, text: str = "md", max_level: int | None = None) -> DataFrame:
@@ -110,10 +122,8 @@ def skeleton_content(docs: DataFrame, text: str = "md", max_level: int | None =
 
 
 def skeleton(docs: DataFrame, text: str = "md", max_level: int | None = None) -> DataFrame:
-    """Full node table: ``skeleton_content`` plus ``node_id`` (path) and ``parent_id``.
+    """Full node table: ``skeleton_content`` plus ``node_id`` (path) and ``parent_id``."""
 
-    Only the integer levels of the headings go to Python; text stays in the JVM.
-    """
     def nodes(lines: Column) -> Column:
         return _with_content(lines, _headings(lines, max_level))
 
@@ -149,14 +159,23 @@ def refine_prompts(
     system_prompt: str = DEFAULT_SYSTEM_PROMPT,
     user_template: str = DEFAULT_USER_TEMPLATE,
     schema_name: str = DEFAULT_SCHEMA_NAME,
+    limit: int | None = None,
 ) -> DataFrame:
-    """One request per node with content, for an external scorer."""
+    """One request per node with content, for an external scorer.
+
+    With ``limit`` content is cut to pieces of at most that length and each piece is a
+    request of its own under the node's id, told apart by ``piece_index``.
+    """
     content = X.trim_unicode(F.col("content"))
-    return nodes.where(content != "").select(
+    pieces = F.array(content) if limit is None else X.pack_words(content, limit)
+    rows = nodes.where(content != "").select("document_id", "node_id", "topic", F.posexplode(pieces).alias("piece_index", "piece"))
+    numbered = [] if limit is None else ["piece_index"]
+    return rows.select(
         "document_id",
         "node_id",
+        *numbered,
         F.lit(system_prompt).alias("system_prompt"),
-        F.format_string(user_template, F.col("topic"), content).alias("user_prompt"),
+        F.format_string(user_template, F.col("topic"), F.col("piece")).alias("user_prompt"),
         F.lit(schema_name).alias("schema_name"),
     )
 

@@ -1,6 +1,5 @@
 import json
 import random
-import re
 
 from pyspark.sql import functions as F
 
@@ -9,26 +8,28 @@ from quirefold.operators import outline as O
 DOC = "document_id long, md string"
 
 
-def by_stack(text, max_level=None):
-    """Nodes as the design text describes them: a stack of open headings."""
-    nodes, stack = [], []
-    for no, line in enumerate(text.split("\n")):
-        match = re.match(r"^(#+)\s+(.*)", line)
-        if match and (max_level is None or len(match[1]) <= max_level):
-            level = len(match[1])
-            while stack and nodes[stack[-1]]["level"] >= level:
-                stack.pop()
-            parent = stack[-1] if stack else None
-            place = 1 + sum(n["parent"] == parent for n in nodes)
-            path = f"{nodes[parent]['path']}.{place}" if stack else str(place)
-            nodes.append({"line": no, "level": level, "topic": match[2].strip(), "parent": parent, "path": path, "content": []})
-            stack.append(len(nodes) - 1)
-        elif nodes:
-            nodes[-1]["content"].append(line)
+def heading(line):
+    """Level and topic of a heading line, else None."""
+    marks = len(line) - len(line.lstrip("#"))
+    return (marks, line[marks:].strip()) if marks and line[marks : marks + 1] in (" ", "\t") else None
+
+
+def expected_nodes(text, max_level=None):
+    """By definition: the parent is the nearest earlier heading of a smaller level."""
+    lines = text.split("\n")
+    found = [(no, *heading(line)) for no, line in enumerate(lines) if heading(line)]
+    found = [f for f in found if max_level is None or f[1] <= max_level]
+    parents = [next((j for j in range(i - 1, -1, -1) if found[j][1] < found[i][1]), None) for i in range(len(found))]
+    paths, nodes = [], []
+    for i, (no, level, topic) in enumerate(found):
+        number = str(parents[: i + 1].count(parents[i]))
+        paths.append(number if parents[i] is None else paths[parents[i]] + "." + number)
+        end = found[i + 1][0] if i + 1 < len(found) else len(lines)
+        nodes.append({"line": no, "level": level, "topic": topic, "parent": parents[i], "path": paths[i], "content": "\n".join(lines[no + 1 : end])})
     return nodes
 
 
-def test_tree_equals_stack(spark):
+def test_tree_by_definition(spark):
     rng = random.Random(11)
     texts = ["", "no heading", "#tag\n# A\n#\tB  \n##  \ntext\n\n####### deep\nx\n# C"]
     for _ in range(60):
@@ -41,10 +42,9 @@ def test_tree_equals_stack(spark):
                 {"line": r["line_no"], "level": r["level"], "topic": r["topic"], "parent": r["parent_index"], "path": r["node_id"], "content": r["content"]}
             )
         for i, text in enumerate(texts):
-            expected = [{**n, "content": "\n".join(n["content"])} for n in by_stack(text, max_level)]
-            assert got.get(i, []) == expected, (i, max_level)
+            assert got.get(i, []) == expected_nodes(text, max_level), (i, max_level)
     flat = O.skeleton_nodes(docs).count()
-    assert flat == O.skeleton_content(docs).count() == sum(len(by_stack(t)) for t in texts)
+    assert flat == O.skeleton_content(docs).count() == sum(len(expected_nodes(t)) for t in texts)
 
 
 def test_subchunks_and_prompts(spark):
@@ -56,6 +56,9 @@ def test_subchunks_and_prompts(spark):
     prompts = {r["node_id"]: r for r in O.refine_prompts(nodes, user_template="%s|%s").collect()}
     assert set(prompts) == {"1", "2"} and prompts["2"]["user_prompt"] == "C|short"
     assert prompts["1"]["system_prompt"] == O.DEFAULT_SYSTEM_PROMPT
+    cut = O.refine_prompts(nodes, user_template="%s|%s", limit=200).orderBy("node_id", "piece_index").collect()
+    assert [(r["node_id"], r["piece_index"]) for r in cut] == [("1", 0), ("1", 1), ("1", 2), ("2", 0)]
+    assert "Python" not in nodes._jdf.queryExecution().executedPlan().toString()
 
 
 def test_children_and_markdown(spark):
