@@ -13,9 +13,8 @@ from quirefold.operators import chunking as C
 from quirefold.session import cut_lineage, spread
 
 EPOCH = 1704067200  # 2024-01-01 in seconds
-K_MAX = 30
 
-LITERAL_QUERIES = [(1, " The ", 0, 30), (2, "%", 5, 10), (3, "", 7, 10), (4, "é", 9, 0), (5, "zzzz", 11, 10), (6, "a_e", 3, 12)]
+LITERAL_QUERIES = [(1, " The ", 0, 30), (2, "%", 5, 10), (3, "", 7, 10), (4, "é", 9, 0), (5, "zzzz", 11, 10), (6, "a_e", 3, 12), (7, " the", 13, 45)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirefold.catalog.fixtures import EPOCH, JOB_PROGRESS, JOB_STATUS, K_MAX, LITERAL_QUERIES
+from quirefold.catalog.fixtures import EPOCH, JOB_PROGRESS, JOB_STATUS, LITERAL_QUERIES
 from quirefold.functions.text import DEFAULT_CHUNK_LIMIT
 from quirefold.operators.layout import INDEX_BOUNDARY
 from quirefold.operators.outline import DEFAULT_SCHEMA_NAME, DEFAULT_SYSTEM_PROMPT
@@ -120,35 +120,36 @@ CTE["queries"] = f"""SELECT q.query_id, q.keyword AS raw, lower({trim('q.keyword
 
 CTE["kwhits"] = f"""SELECT query_id, rank, document_id, ordinal FROM (
   SELECT q.query_id, q.k, c.document_id, c.ordinal, row_number() OVER (PARTITION BY q.query_id ORDER BY c.ordinal, c.document_id) AS rank
-  FROM queries q JOIN chunks c ON q.kw <> '' AND contains(lower(c.text), q.kw)) WHERE rank <= least(k, {K_MAX})"""
+  FROM queries q JOIN chunks c ON q.kw <> '' AND contains(lower(c.text), q.kw)) WHERE rank <= k"""
 
 CTE["vechits"] = f"""SELECT query_id, rank, document_id, ordinal, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM (
   SELECT q.query_id, q.k, e.vec_id AS document_id, 0::BIGINT AS ordinal,
     round(list_cosine_similarity(q.embedding, e.embedding::DOUBLE[]), 6) AS score
-  FROM queries q JOIN embeddings e ON q.embedding IS NOT NULL)) WHERE rank <= least(k, {K_MAX})"""
+  FROM queries q JOIN embeddings e ON q.embedding IS NOT NULL)) WHERE rank <= k"""
 
 CTE["fused"] = f"""SELECT query_id, document_id, ordinal, coalesce({KEYWORD_WEIGHT}::DOUBLE * (1.0::DOUBLE / k.rank), 0) + coalesce({VECTOR_WEIGHT}::DOUBLE * (1.0::DOUBLE / v.rank), 0) AS score
   FROM kwhits k FULL OUTER JOIN vechits v USING (query_id, document_id, ordinal)"""
 
 CTE["hybrid"] = f"""SELECT query_id, rank, document_id, ordinal, score FROM (
   SELECT f.*, q.k, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, ordinal) AS rank
-  FROM fused f JOIN queries q USING (query_id)) WHERE rank <= least(k, {K_MAX})"""
+  FROM fused f JOIN queries q USING (query_id)) WHERE rank <= k"""
 
-CTE["recent"] = """SELECT *, row_number() OVER (ORDER BY imported DESC, document_id) - 1 AS recency_index FROM recs
-  ORDER BY imported DESC, document_id LIMIT 80"""
+CTE["ordered"] = "SELECT *, row_number() OVER (ORDER BY imported DESC, document_id) - 1 AS recency_index FROM recs"
+
+CTE["recent"] = "SELECT * FROM ordered WHERE recency_index < 80"
 
 CTE["some_sections"] = "SELECT * FROM sections JOIN (SELECT document_id FROM docs WHERE source_type = 'markdown') USING (document_id)"
 
 CTE["nodes"] = """SELECT document_id || '/root' AS node_id,
     title || ' • ' || CASE WHEN len(pages) = 0 THEN 'Clean' ELSE 'LQ ' || len(pages) END AS title,
-    70::DOUBLE AS x, recency_index * 300.0::DOUBLE + 80 AS y, 260::DOUBLE AS width, 62::DOUBLE AS height FROM recent
+    70::DOUBLE AS x, recency_index * 300.0::DOUBLE + 80 AS y, 260::DOUBLE AS width, 62::DOUBLE AS height FROM ordered
   UNION ALL SELECT document_id || '/' || i, title, 380 + greatest(0, level - 1) * 220.0::DOUBLE, recency_index * 300.0::DOUBLE + 80 + 82 + 72 * i, 210, 52
     FROM (SELECT s.document_id, s.title, s.level, r.recency_index,
       row_number() OVER (PARTITION BY s.document_id ORDER BY s.chunk_start_ordinal) - 1 AS i
-      FROM some_sections s JOIN recent r USING (document_id))
+      FROM some_sections s JOIN ordered r USING (document_id))
   UNION ALL SELECT document_id || '/none', '(no outline)', 380, recency_index * 300.0::DOUBLE + 80 + 80, 180, 52
-    FROM recent WHERE document_id NOT IN (SELECT document_id FROM some_sections)"""
+    FROM ordered WHERE document_id NOT IN (SELECT document_id FROM some_sections)"""
 
 _CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in JOB_STATUS.items())
 _PROGRESS = " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in JOB_PROGRESS.items())
@@ -212,7 +213,7 @@ _NEEDS = {
     "tchunks": ["turns"], "docs": [], "low": ["pages"], "low2": ["pages2"], "recs": ["docs", "low"], "still": ["low2"],
     "resolved": ["recs", "still"], "applied": ["resolved"], "compared": ["applied"], "ratios": ["compared"], "queries": [],
     "kwhits": ["queries", "chunks"], "vechits": ["queries"], "fused": ["kwhits", "vechits"], "hybrid": ["fused", "queries"],
-    "recent": ["recs"], "some_sections": ["sections", "docs"], "nodes": ["recent", "some_sections"], "jobs": [], "rjobs": [],
+    "ordered": ["recs"], "recent": ["ordered"], "some_sections": ["sections", "docs"], "nodes": ["ordered", "some_sections"], "jobs": [], "rjobs": [],
     "latest": ["rjobs"], "files": [], "corpus": ["files"], "mdlines": ["md"], "sk": ["mdlines"], "parents": ["sk"],
     "siblings": ["parents"], "paths": ["siblings"], "content": ["mdlines"], "content2": ["mdlines"],
     "tree": ["paths", "sk", "content"], "answers": ["tree"],
@@ -382,7 +383,7 @@ FROM (SELECT * FROM chunks WHERE contains(lower(text), 'the') ORDER BY ordinal,
   ASOF LEFT JOIN sections s ON s.document_id = c.document_id AND s.chunk_start_ordinal <= c.ordinal""", "chunks", "sections")
 ORACLE["vector_topk_stub"] = sql(
     f"""SELECT q.query_id, c.rank, c.document_id, c.ordinal FROM queries q JOIN (
-  SELECT *, row_number() OVER (ORDER BY ordinal, document_id) AS rank FROM chunks) c ON q.embedding IS NOT NULL AND c.rank <= least(q.k, {K_MAX})""", "queries", "chunks")
+  SELECT *, row_number() OVER (ORDER BY ordinal, document_id) AS rank FROM chunks) c ON q.embedding IS NOT NULL AND c.rank <= q.k""", "queries", "chunks")
 ORACLE["vector_topk"] = sql("SELECT * FROM vechits", "vechits")
 ORACLE["hybrid_search"] = sql("SELECT query_id, rank, document_id, ordinal, round(score, 6) AS score FROM hybrid", "hybrid")
 ORACLE["recent_documents"] = sql("SELECT document_id, title, imported FROM recent", "recent")

@@ -333,7 +333,7 @@ def keyword_like(spark, sf_dir):
 @query
 def page_filter(spark, sf_dir):
     chunks = C.page_chunks(X.pages(spark, sf_dir))
-    hits = search.keyword_topk_many(chunks, X.queries(spark, sf_dir), X.K_MAX)
+    hits = search.keyword_topk_many(chunks, X.queries(spark, sf_dir))
     shown = search.page_filter(search.with_chunk_text(hits, chunks, search.BROADCAST_HITS + 1), 0)
     return longs(shown.select("query_id", "rank", "document_id", "ordinal", "source_page_index"))
 
@@ -376,8 +376,8 @@ def docs_with_sections(spark, sf_dir):
 
 def _hit_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     asked = X.queries(spark, sf_dir)
-    keyword = search.keyword_topk_many(X.chunks(spark, sf_dir), asked, X.K_MAX)
-    return keyword, search.vector_topk_many(X.vectors(spark, sf_dir), asked, X.K_MAX)
+    keyword = search.keyword_topk_many(X.chunks(spark, sf_dir), asked)
+    return keyword, search.vector_topk_many(X.vectors(spark, sf_dir), asked)
 
 
 @query
@@ -471,7 +471,7 @@ def rate_percent(spark, sf_dir):
 
 @query
 def reciprocal_rank(spark, sf_dir):
-    hits = search.keyword_topk_many(X.chunks(spark, sf_dir), X.queries(spark, sf_dir), X.K_MAX)
+    hits = search.keyword_topk_many(X.chunks(spark, sf_dir), X.queries(spark, sf_dir))
     return longs(hits.select("query_id", "document_id", "ordinal", F.round(search.reciprocal_rank(F.col("rank")), 6).alias("score")))
 
 
@@ -492,12 +492,12 @@ def section_index(spark, sf_dir):
 
 @query
 def keyword_topk(spark, sf_dir):
-    return longs(search.keyword_topk_many(X.chunks(spark, sf_dir), X.queries(spark, sf_dir), X.K_MAX))
+    return longs(search.keyword_topk_many(X.chunks(spark, sf_dir), X.queries(spark, sf_dir)))
 
 
 @query
 def keyword_topk_like(spark, sf_dir):
-    return longs(search.keyword_topk_many(X.chunks(spark, sf_dir), X.queries(spark, sf_dir), X.K_MAX, mode="like"))
+    return longs(search.keyword_topk_many(X.chunks(spark, sf_dir), X.queries(spark, sf_dir), mode="like"))
 
 
 @query
@@ -510,16 +510,22 @@ def keyword_topk_sections(spark, sf_dir):
 
 @query
 def vector_topk_stub(spark, sf_dir):
-    return longs(search.first_chunks_many(X.chunks(spark, sf_dir), X.queries(spark, sf_dir), X.K_MAX))
+    return longs(search.first_chunks_many(X.chunks(spark, sf_dir), X.queries(spark, sf_dir)))
 
 
 @query
 def vector_topk(spark, sf_dir):
-    return longs(search.vector_topk_many(X.vectors(spark, sf_dir), X.queries(spark, sf_dir), X.K_MAX))
+    return longs(search.vector_topk_many(X.vectors(spark, sf_dir), X.queries(spark, sf_dir)))
+
+
+def _hit_bound(spark: SparkSession, sf_dir: str) -> int:
+    """No more hits than queries times the largest k."""
+    asked = X.queries(spark, sf_dir)
+    return search.largest_k(asked) * asked.count()
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.hybrid_search(X.chunks(spark, sf_dir), X.vectors(spark, sf_dir), X.queries(spark, sf_dir), X.K_MAX)
+    return search.hybrid_search(X.chunks(spark, sf_dir), X.vectors(spark, sf_dir), X.queries(spark, sf_dir))
 
 
 @query
@@ -557,7 +563,7 @@ def pages_except(spark, sf_dir):
 @query
 def result_view_(spark, sf_dir):
     hits = _hybrid(spark, sf_dir)
-    bound = search.BROADCAST_HITS + 1
+    bound = _hit_bound(spark, sf_dir)
     shown = result_view(search.with_chunk_text(hits, X.chunks(spark, sf_dir), bound))
     return longs(shown.select("query_id", "rank", "score_label", "page_label", "ordinal_label", F.md5("text").alias("text_md5")))
 

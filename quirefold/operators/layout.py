@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions.geometry import Rect, rects_intersect
 from quirefold.functions.report import quality_badge
-from quirefold.operators.sections import RECENT_LIMIT, few, recent_with_index, with_section_index
+from quirefold.operators.sections import few, recent_with_index, with_section_index
 from quirefold.session import cut_lineage
 
 # Node positions and sizes, in world units.
@@ -37,11 +37,11 @@ def _node(node_id: Column, title: Column, x: Column, y: Column, width: float, he
     return [value.alias(name) for name, value in zip(NODE_COLUMNS, values)]
 
 
-def mindmap_nodes(documents: DataFrame, sections: DataFrame, limit: int = RECENT_LIMIT) -> DataFrame:
-    """Positions of the recent documents and their sections, or placeholders without documents.
+def mindmap_nodes(documents: DataFrame, sections: DataFrame, limit: int | None = None) -> DataFrame:
+    """Positions of documents, newest first, and of their sections, or placeholders without documents.
 
-    The documents are cut to ``limit`` first; while it is small they are the broadcast
-    side everywhere.
+    With a ``limit`` only the newest documents are laid out; they are cut first and are the
+    broadcast side everywhere while they are few.
     """
     # The few documents and their sections are used several times; the big tables are read once.
     recent = cut_lineage(

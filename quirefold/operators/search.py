@@ -114,15 +114,20 @@ def keyword_matches(
     return for_each_slice(wanted, bound, run, F.octet_length("keyword"))
 
 
+def largest_k(queries: DataFrame) -> int:
+    """The largest ``k`` of a query table: the constant that lets Spark cut before a shuffle."""
+    return max(0, queries.agg(F.max("k")).first()[0] or 0)
+
+
 def keyword_topk_many(
-    chunks: DataFrame, queries: DataFrame, k_max: int, mode: str = "contains", bound: int = INLINE_KEYWORDS
+    chunks: DataFrame, queries: DataFrame, mode: str = "contains", bound: int = INLINE_KEYWORDS
 ) -> DataFrame:
     """Top-k of every keyword of a query table: ``(query_id, rank, document_id, ordinal)``."""
     ranked = top_k(
         keyword_matches(chunks, queries, mode, bound),
         ["query_id"],
         [F.col(name) for name in KEYWORD_ORDER],
-        k_max,
+        largest_k(queries),
         CHUNK_KEY,
         k=F.col("k"),
     )
@@ -134,15 +139,26 @@ def first_chunks(chunks: DataFrame, embedding: list[float], limit: int = DEFAULT
     return chunks.orderBy(*KEYWORD_ORDER).limit(max(0, limit) if embedding else 0)
 
 
-def first_chunks_many(chunks: DataFrame, queries: DataFrame, k_max: int) -> DataFrame:
+def first_chunks_many(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """Placeholder vector search of a query table; an equi-join on the rank hands out the rows."""
-    first = top_k(chunks.select(*CHUNK_KEY), [], [F.col(name) for name in KEYWORD_ORDER], k_max, CHUNK_KEY)
+    first = top_k(chunks.select(*CHUNK_KEY), [], [F.col(name) for name in KEYWORD_ORDER], largest_k(queries), CHUNK_KEY)
     asked = queries.where((F.size("embedding") > 0) & (F.col("k") > 0)).select(
-        "query_id", F.explode(F.sequence(F.lit(1), F.least(F.col("k"), F.lit(k_max)))).alias("rank")
+        "query_id", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("rank")
     )
     return asked.join(first, "rank").select("query_id", "rank", *CHUNK_KEY)
 
 
+def is_finite_vector(vector: Column) -> Column:
+    """Whether a vector has components and all are finite numbers."""
+    sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return F.coalesce((F.size(vector) > 0) & sound, F.lit(False))
+
+
+def rejected_vectors(vectors: DataFrame) -> DataFrame:
+    """Rows whose vector cannot be compared: null, empty, or with a component that is no finite number."""
+    return vectors.where(~is_finite_vector(F.col("embedding")))
+
+
 def _best_of_batch(scores: np.ndarray, k: int) -> np.ndarray:
     """Mask of the ``k`` best rows per column; equal scores go to the earlier row."""
     if scores.shape[0] <= k:
@@ -153,20 +169,21 @@ def _best_of_batch(scores: np.ndarray, k: int) -> np.ndarray:
     return above | (tied & (np.cumsum(tied, axis=0) <= k - above.sum(axis=0)))
 
 
-def vector_matches(vectors: DataFrame, queries: DataFrame, k_max: int, bound: int = INLINE_VECTORS) -> DataFrame:
+def vector_matches(vectors: DataFrame, queries: DataFrame, bound: int = INLINE_VECTORS) -> DataFrame:
     """Candidates for the top-k by cosine: ``(query_id, k, document_id, ordinal, score)``.
 
-    Every Arrow batch of vectors is multiplied with the query vectors of a slice and
-    gives at most ``k_max`` rows per query, so what leaves a task is bounded whatever
-    the scores. Vectors of another length than the query's are not comparable and
-    never match. Scores are rounded to 6 places, before ranking.
+    Every Arrow batch of vectors is multiplied with the query vectors of a slice. A task
+    keeps the best rows of each query over all its batches and gives them out once, so what
+    leaves it is at most k rows per query. Vectors of another length than the query's
+    are not comparable and never match, nor do vectors with a component that is no
+    finite number. Scores are rounded to 6 places, before ranking.
     """
-    wanted = queries.where(F.size("embedding") > 0).select(
+    wanted = queries.where(is_finite_vector(F.col("embedding"))).select(
         F.col("query_id").cast("long"), F.col("embedding").cast("array<double>"), F.col("k").cast("int")
     )
     keys = vectors.select(*CHUNK_KEY).schema
     schema = "query_id bigint, k int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys) + ", score double"
-    narrow = vectors.select(*CHUNK_KEY, F.col("embedding").cast("array<double>").alias("embedding"))
+    narrow = vectors.where(is_finite_vector(F.col("embedding"))).select(*CHUNK_KEY, "embedding")
 
     def run(rows) -> DataFrame:
         groups: dict[int, list] = {}
@@ -174,37 +191,54 @@ def vector_matches(vectors: DataFrame, queries: DataFrame, k_max: int, bound: in
             groups.setdefault(len(row["embedding"]), []).append(row)
         result = None
         for size, members in sorted(groups.items()) or [(0, [])]:
-            part = narrow.where(F.size("embedding") == size).mapInArrow(_scorer(members, size, k_max), schema)
+            part = narrow.where(F.size("embedding") == size).mapInArrow(_scorer(members, size), schema)
             result = part if result is None else result.unionByName(part)
         return result
 
     return for_each_slice(wanted, bound, run, F.size("embedding") * 8)
 
 
-def _scorer(rows: list, size: int, k_max: int):
+def _scorer(rows: list, size: int):
     ids = np.array([row["query_id"] for row in rows], dtype=np.int64)
     limits = np.array([row["k"] for row in rows], dtype=np.int32)
+    k_max = max([0, *(row["k"] for row in rows)])
     matrix = np.array([row["embedding"] for row in rows], dtype=np.float64).reshape(len(rows), size)
     lengths = np.linalg.norm(matrix, axis=1)
     matrix = matrix / np.where(lengths == 0, 1.0, lengths)[:, None]
+    names = ["_query", *CHUNK_KEY, "score"]
+
+    def best(hits: pa.Table) -> pa.Table:
+        """The first ``k_max`` rows of each query."""
+        order = [("_query", "ascending"), ("score", "descending"), *((name, "ascending") for name in CHUNK_KEY)]
+        ordered = hits.sort_by(order).combine_chunks()
+        query = ordered["_query"].to_numpy()
+        first = np.searchsorted(query, query)
+        return ordered.filter(pa.array(np.arange(len(query)) - first < k_max))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, kept = [], 0
         for batch in batches:
-            if batch.num_rows == 0 or len(ids) == 0 or k_max <= 0:
+            if batch.num_rows == 0 or len(ids) == 0 or k_max == 0:
                 continue
             table = pa.Table.from_batches([batch]).sort_by([(name, "ascending") for name in CHUNK_KEY]).combine_chunks()
-            values = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            values = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
             norms = np.linalg.norm(values, axis=1)
             unit = values / np.where(norms == 0, 1.0, norms)[:, None]
             keys = table.select(CHUNK_KEY)
             for start in range(0, len(ids), 128):
-                part = slice(start, start + 128)
-                scores = np.round(unit @ matrix[part].T, 6)
+                scores = np.round(unit @ matrix[start : start + 128].T, 6)
                 row_no, query_no = np.nonzero(_best_of_batch(scores, k_max))
                 hits = keys.take(pa.array(row_no))
-                columns = [ids[part][query_no], limits[part][query_no], *hits.columns, scores[row_no, query_no]]
-                names = ["query_id", "k", *CHUNK_KEY, "score"]
-                yield from pa.table(columns, names=names).combine_chunks().to_batches()
+                held.append(pa.table([start + query_no, *hits.columns, scores[row_no, query_no]], names=names))
+                kept += len(row_no)
+            if kept > 4 * k_max * len(ids):
+                held = [best(pa.concat_tables(held))]
+                kept = len(held[0])
+        if held:
+            found = best(pa.concat_tables(held))
+            query = found["_query"].to_numpy()
+            columns = [ids[query], limits[query], *(found[name] for name in CHUNK_KEY), found["score"]]
+            yield from pa.table(columns, names=["query_id", "k", *CHUNK_KEY, "score"]).combine_chunks().to_batches()
 
     return score
 
@@ -216,10 +250,10 @@ def _by_score() -> list[Column]:
     return [F.desc("score"), F.asc("document_id"), F.asc("ordinal")]
 
 
-def vector_topk_many(vectors: DataFrame, queries: DataFrame, k_max: int, bound: int = INLINE_VECTORS) -> DataFrame:
+def vector_topk_many(vectors: DataFrame, queries: DataFrame, bound: int = INLINE_VECTORS) -> DataFrame:
     """Top-k by cosine for every query vector: ``(query_id, rank, document_id, ordinal, score)``."""
     ranked = top_k(
-        vector_matches(vectors, queries, k_max, bound), ["query_id"], _by_score(), k_max, CHUNK_KEY, k=F.col("k")
+        vector_matches(vectors, queries, bound), ["query_id"], _by_score(), largest_k(queries), CHUNK_KEY, k=F.col("k")
     )
     return ranked.select("query_id", "rank", *CHUNK_KEY, "score")
 
@@ -253,20 +287,19 @@ def hybrid_search(
     chunks: DataFrame,
     vectors: DataFrame,
     queries: DataFrame,
-    k_max: int = DEFAULT_LIMIT,
     keyword_weight: float = KEYWORD_WEIGHT,
     vector_weight: float = VECTOR_WEIGHT,
     mode: str = "contains",
     vector_hits: DataFrame | None = None,
 ) -> DataFrame:
     """Both lists cut to k, fused, sorted by score and cut to k again, per query."""
-    keyword_hits = keyword_topk_many(chunks, queries, k_max, mode)
+    keyword_hits = keyword_topk_many(chunks, queries, mode)
     if vector_hits is None:
-        vector_hits = vector_topk_many(vectors, queries, k_max)
+        vector_hits = vector_topk_many(vectors, queries)
     fused = hybrid_fuse(keyword_hits, vector_hits, keyword_weight, vector_weight)
     limits = queries.select(F.col("query_id").cast("long"), F.col("k").cast("int").alias("_k"))
     ranked = top_k(
-        fused.join(limits, "query_id"), ["query_id"], _by_score(), k_max, CHUNK_KEY, k=F.col("_k")
+        fused.join(limits, "query_id"), ["query_id"], _by_score(), largest_k(queries), CHUNK_KEY, k=F.col("_k")
     )
     return ranked.select("query_id", "rank", *CHUNK_KEY, "score")
 

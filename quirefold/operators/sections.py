@@ -21,22 +21,23 @@ def recent_documents(documents: DataFrame, limit: int = RECENT_LIMIT) -> DataFra
     return documents.orderBy(*_newest_first()).limit(max(0, limit))
 
 
-def recent_with_index(documents: DataFrame, limit: int = RECENT_LIMIT) -> DataFrame:
-    """Newest documents with their 0-based place as ``recency_index``.
+def recent_with_index(documents: DataFrame, limit: int | None = RECENT_LIMIT) -> DataFrame:
+    """Newest documents with their 0-based place as ``recency_index``; all of them without a limit.
 
-    A usual limit is cut first and its few rows are numbered in one window; a limit
-    beyond what can be broadcast is numbered over ranges.
+    A usual limit is cut first and its few rows are numbered in one window; all
+    documents, or a limit beyond what can be broadcast, are numbered over ranges.
     """
     order = _newest_first()
-    if limit > BROADCAST_HITS:
-        return global_index(documents, order, "recency_index").where(F.col("recency_index") < limit)
+    if limit is None or limit > BROADCAST_HITS:
+        numbered = global_index(documents, order, "recency_index")
+        return numbered if limit is None else numbered.where(F.col("recency_index") < limit)
     window = Window.partitionBy(F.lit(0)).orderBy(*order)
     return recent_documents(documents, limit).withColumn("recency_index", F.row_number().over(window) - 1)
 
 
-def few(df: DataFrame, bound: int) -> DataFrame:
-    """``df`` marked for broadcast if its proven row bound is small."""
-    return F.broadcast(df) if bound <= BROADCAST_HITS else df
+def few(df: DataFrame, bound: int | None) -> DataFrame:
+    """``df`` marked for broadcast if its proven row bound is small; None is no bound."""
+    return F.broadcast(df) if bound is not None and bound <= BROADCAST_HITS else df
 
 
 def sections_of_document(sections: DataFrame, document_id) -> DataFrame:

@@ -25,10 +25,10 @@ def keyword_search_with_sections(chunks: DataFrame, sections: DataFrame, keyword
 
 
 def search_many(
-    chunks: DataFrame, sections: DataFrame, vectors: DataFrame, queries: DataFrame, k_max: int, page: int | None = None, **options
+    chunks: DataFrame, sections: DataFrame, vectors: DataFrame, queries: DataFrame, page: int | None = None, **options
 ) -> DataFrame:
     """Hybrid search of a query table, with chunk text, page filter, section and labels."""
-    hits = S.hybrid_search(chunks, vectors, queries, k_max, **options)
-    bound = k_max * queries.count()
+    hits = S.hybrid_search(chunks, vectors, queries, **options)
+    bound = S.largest_k(queries) * queries.count()
     texts = S.page_filter(S.with_chunk_text(hits, chunks, bound), page)
     return result_view(section_of_hits(texts, sections, bound))

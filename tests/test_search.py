@@ -45,14 +45,14 @@ def test_like(chunks, keyword):
     expected = sorted((r["document_id"], r["ordinal"]) for r in chunks.collect() if re.search(pattern, fold(r["text"]), re.S))
     assert sorted((r["document_id"], r["ordinal"]) for r in S.keyword_like(chunks, keyword).collect()) == expected
     queries = chunks.sparkSession.createDataFrame([(7, keyword, 1000)], "query_id long, keyword string, k int")
-    many = S.keyword_topk_many(chunks, queries, 1000, mode="like")
+    many = S.keyword_topk_many(chunks, queries, mode="like")
     assert sorted((r["document_id"], r["ordinal"]) for r in many.collect()) == expected
 
 
 def test_slices_equal_one_pass(spark, chunks):
     queries = spark.createDataFrame([(i, WORDS[i % 8], 1 + i % 4) for i in range(40)], "query_id long, keyword string, k int")
-    whole = {tuple(r) for r in S.keyword_topk_many(chunks, queries, 4).collect()}
-    sliced = {tuple(r) for r in S.keyword_topk_many(chunks, queries, 4, bound=5).collect()}
+    whole = {tuple(r) for r in S.keyword_topk_many(chunks, queries).collect()}
+    sliced = {tuple(r) for r in S.keyword_topk_many(chunks, queries, bound=5).collect()}
     assert whole == sliced and len(whole) == sum(1 + i % 4 for i in range(40))
 
 
@@ -88,7 +88,7 @@ def test_vector_topk(spark):
     expected = brute_vector(queries.collect(), rows)
     for bound in (4096, 1):
         got = {}
-        found = S.vector_topk_many(vectors.repartition(5), queries, 30, bound=bound)
+        found = S.vector_topk_many(vectors.repartition(5), queries, bound=bound)
         for r in found.orderBy("query_id", "rank").collect():
             got.setdefault(r["query_id"], []).append((r["document_id"], r["ordinal"]))
         assert got == {q: hits for q, hits in expected.items() if hits}
@@ -110,7 +110,7 @@ def test_hybrid_against_dictionary(spark, chunks):
         ranked = sorted(scores.items(), key=lambda item: (-item[1], item[0]))[: q["k"]]
         expected[q["query_id"]] = [(key, round(score, 9)) for key, score in ranked]
     got = {}
-    for r in S.hybrid_search(chunks, vectors, queries, 30).orderBy("query_id", "rank").collect():
+    for r in S.hybrid_search(chunks, vectors, queries).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(((r["document_id"], r["ordinal"]), round(r["score"], 9)))
     assert got == {q: hits for q, hits in expected.items() if hits}
 
@@ -120,11 +120,11 @@ def test_app_search_and_page_filter(spark, chunks):
     sections = spark.createDataFrame([(d, 1, f"s{d}", 1) for d in range(30)], "document_id long, level int, title string, chunk_start_ordinal int")
     vectors = spark.createDataFrame([], "document_id long, ordinal int, embedding array<float>")
     queries = spark.createDataFrame([(1, "kiwi", [], 30)], "query_id long, keyword string, embedding array<float>, k int")
-    found = search_many(chunks, sections, vectors, queries, 30, keyword_weight=1.0, vector_weight=0.0).orderBy("rank").collect()
+    found = search_many(chunks, sections, vectors, queries, keyword_weight=1.0, vector_weight=0.0).orderBy("rank").collect()
     assert len(found) == 30
     assert [r["score_label"] for r in found[:3]] == ["1.000", "0.500", "0.333"] and found[15]["score_label"] == "0.062"
     assert all(r["section_title"] == (f"s{r['document_id']}" if r["ordinal"] >= 1 else None) for r in found)
-    paged = search_many(chunks, sections, vectors, queries, 30, page=0, keyword_weight=1.0, vector_weight=0.0).collect()
+    paged = search_many(chunks, sections, vectors, queries, page=0, keyword_weight=1.0, vector_weight=0.0).collect()
     assert {r["source_page_index"] for r in paged} == {0} and len(paged) < 30
     assert {r["page_label"] for r in paged} == {"P1"}
     one = keyword_search_with_sections(chunks, sections, "kiwi", 30).count()
@@ -135,7 +135,7 @@ def test_stub(spark, chunks):
     assert S.first_chunks(chunks, [], 5).count() == 0
     assert [r["ordinal"] for r in S.first_chunks(chunks, [0.1], 5).collect()] == [0] * 5
     _, queries, _ = vector_tables(spark)
-    many = S.first_chunks_many(chunks, queries, 30).groupBy("query_id").count()
+    many = S.first_chunks_many(chunks, queries).groupBy("query_id").count()
     assert {r[0]: r[1] for r in many.collect()} == {1: 30, 2: 5, 5: 4}
 
 
@@ -146,3 +146,30 @@ def test_keyword_reaches_the_scan(spark, chunks, tmp_path):
     assert "StringContains(text_lc,kiwi)" in plan
     top = S.keyword_topk(stored, "kiwi", 5)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in top
+
+
+def test_no_list_is_cut_below_its_k(spark):
+    chunks = spark.range(120).selectExpr("id AS document_id", "0L AS ordinal", "concat('pear ', id) AS text", "array(cast(id AS float), 1f) AS embedding")
+    queries = spark.createDataFrame([(1, "pear", [1.0, 2.0], 50), (2, "pear", [1.0, 1.0], 7)], "query_id long, keyword string, embedding array<float>, k int")
+    vectors = chunks.select("document_id", "ordinal", "embedding")
+    for found in (S.keyword_topk_many(chunks, queries), S.vector_topk_many(vectors, queries), S.first_chunks_many(chunks, queries), S.hybrid_search(chunks, vectors, queries)):
+        assert {r["query_id"]: r["count"] for r in found.groupBy("query_id").count().collect()} == {1: 50, 2: 7}
+
+
+def test_broken_vectors_never_match(spark):
+    rows = [(1, [1.0, 0.0]), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, [float("inf"), 0.0]), (5, None), (6, [])]
+    vectors = spark.createDataFrame([(i, 0, v) for i, v in rows], "document_id long, ordinal long, embedding array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0], 5), (2, [float("nan"), 0.0], 5)], "query_id long, embedding array<float>, k int")
+    assert [(r["query_id"], r["document_id"]) for r in S.vector_topk_many(vectors, queries).collect()] == [(1, 1)]
+    assert sorted(r["document_id"] for r in S.rejected_vectors(vectors).collect()) == [2, 3, 4, 5, 6]
+
+
+def test_a_task_gives_out_its_best_rows_once(spark):
+    vectors = spark.range(3000).selectExpr("id AS document_id", "0L AS ordinal", "array(cast(id % 97 AS float), 1f) AS embedding").coalesce(1)
+    queries = spark.createDataFrame([(1, [1.0, 5.0], 3)], "query_id long, embedding array<float>, k int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        assert S.vector_matches(vectors, queries).count() == 3
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
