@@ -45,11 +45,11 @@ from quirefold.session import cut_lineage
 WIDTH = 100
 GRAM = 16
 BEHIND = 37
-SEGMENT = 1 << 22
-BATCH_BYTES = 1 << 24
-BUCKET_TRIGGERS = 1 << 21
-BUCKET_ENTRIES = 1 << 17
-SORTED_AT_ONCE = 1 << 19
+SEGMENT = 1 << 20
+BATCH_BYTES = 1 << 23
+BUCKET_TRIGGERS = 1 << 19
+BUCKET_ENTRIES = 1 << 16
+SORTED_AT_ONCE = 1 << 17
 SALTS = 32
 NO_ID = -(1 << 63)
 

@@ -67,7 +67,7 @@ def test_small_batches_and_buckets(spark, monkeypatch):
     data = [t.encode() for t in texts]
     batch = repeats.Batch([(i, 0, d) for i, d in enumerate(data)])
     place, first, last, hashed = repeats.triggers(batch.data, batch.ends)
-    monkeypatch.setattr(repeats, "SEGMENT", 1 << 22)
+    monkeypatch.setattr(repeats, "SEGMENT", 1 << 24)
     whole = repeats.triggers(batch.data, batch.ends)
     owned = lambda p, a, b: [x for x, low, high in zip(p, a, b) for _ in range(low, high + 1)]
     assert owned(place, first, last) == owned(*whole[:3])
