@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quirefold.llm.common import row_slices, text_of
 
 CHUNK_WORDS = 1 << 19
-BUCKET_KEYS = 1 << 21
+BUCKET_KEYS = 1 << 20
 
 CHUNK = "chunk bigint, rows array<struct<doc_id:bigint,tag:bigint,n:bigint>>, n_words bigint, codes binary, words binary"
 ROW = pa.list_(pa.struct([("doc_id", pa.int64()), ("tag", pa.int64()), ("n", pa.int64())]))
