@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions.report import clamp_progress
 from quirefold.operators import chunking as C
-from quirefold.session import cut_lineage, spread
+from quirefold.session import cut_lineage
 
 EPOCH = 1704067200  # 2024-01-01 in seconds
 
@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +204,7 @@ def reparse_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as rectangles."""
-    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
+    return table(spark, sf_dir, "lineitem").select(
         F.concat_ws("/", "l_orderkey", "l_linenumber").alias("node_id"),
         (F.col("l_partkey") * 7.0).alias("x"),
         (F.col("l_suppkey") * 131.0).alias("y"),

@@ -165,10 +165,10 @@ _NAMES = "['.md', '.MD', '.txt', '.pdf', '.docx', '']"
 CTE["files"] = f"""SELECT source || '/' || doc_id || ({_NAMES})[(doc_id % 6 + 1)::INT] AS source_path, doc_id % 10 = 7 AS broken, text,
   CASE doc_id % 6 WHEN 0 THEN 'md' WHEN 1 THEN 'md' WHEN 2 THEN 'txt' WHEN 3 THEN 'pdf' WHEN 4 THEN 'docx' ELSE '' END AS ext FROM documents"""
 
-CTE["corpus"] = """SELECT source_path, CASE WHEN ext IN ('md', 'txt') THEN 'markdown' END AS source_type,
+CTE["corpus"] = """SELECT source_path, CASE WHEN ext IN ('md', 'txt') THEN 'markdown' WHEN ext = 'pdf' THEN 'pdf' END AS source_type,
   CASE WHEN ext IN ('md', 'txt') AND NOT broken THEN text END AS text,
-  CASE WHEN ext NOT IN ('md', 'txt') THEN 'Unsupported file type: .' || ext WHEN broken THEN 'Unsupported text encoding' END AS reject_reason
-  FROM files WHERE ext <> 'pdf'"""
+  CASE WHEN ext = 'pdf' THEN NULL WHEN ext NOT IN ('md', 'txt') THEN 'Unsupported file type: .' || ext WHEN broken THEN 'Unsupported text encoding' END AS reject_reason
+  FROM files"""
 
 CTE["mdlines"] = f"""SELECT document_id, unnest(range(len(ls)))::BIGINT AS line_no, unnest(ls) AS line
   FROM (SELECT document_id, string_split(md, {LF}) AS ls FROM md)"""
@@ -418,8 +418,9 @@ ORACLE["admit_reparse"] = """SELECT document_id, seq, low AND coalesce(previous
     CASE WHEN event_type IN ('purchase', 'error') THEN 'finish' ELSE 'enqueue' END AS kind FROM events)) WHERE kind = 'enqueue'"""
 ORACLE["admit_reparse_stream"] = ORACLE["admit_reparse"]
 ORACLE["import_outcomes"] = sql(
-    f"""SELECT source_path, CASE WHEN reject_reason IS NULL THEN 'indexed' ELSE 'failed' END AS status, 1.0::DOUBLE AS progress,
-  coalesce(reject_reason, 'Indexed ' || len({pack('text')}) || ' chunks') AS message FROM corpus""", "corpus")
+    f"""SELECT source_path, CASE WHEN reason IS NULL THEN 'indexed' ELSE 'failed' END AS status, 1.0::DOUBLE AS progress,
+  coalesce(reason, 'Indexed ' || len({pack('text')}) || ' chunks') AS message FROM (
+  SELECT *, coalesce(reject_reason, CASE WHEN source_type = 'pdf' THEN 'PDF has no extractable text' END) AS reason FROM corpus)""", "corpus")
 
 # --- layout ------------------------------------------------------------------
 

@@ -627,6 +627,9 @@ def admit_reparse_stream(spark, sf_dir):
 @query
 def import_outcomes(spark, sf_dir):
     rows = corpus.corpus_rows(_files(spark, sf_dir))
+    # No page table here: a paged file has no text.
+    reason = F.coalesce("reject_reason", F.when(F.col("source_type") == "pdf", F.lit(C.NO_PAGE_TEXT)))
+    rows = rows.withColumn("reject_reason", reason)
     good = rows.where(F.col("reject_reason").isNull()).select(
         "source_path", F.size(TX.pack_words(F.col("text"))).alias("chunk_count"), F.lit(0).alias("fallback_page_count")
     )

@@ -27,6 +27,15 @@ def _before(group: Sequence[str], order: str):
     return Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _by_block(df: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Dealt by group and block, also where the rows are already dealt by the group alone.
+
+    Spark takes the coarser dealing as good enough for a window by group and block; then
+    one task would hold a whole group.
+    """
+    return df.repartition(*group, "_block")
+
+
 def running_offset(
     df: DataFrame,
     group: Sequence[str],
@@ -38,13 +47,14 @@ def running_offset(
 ) -> DataFrame:
     """Add ``out``: sum of ``amount`` over the earlier rows of the group.
 
-    ``position`` is a number from 0 on that is about as dense as the rows. Groups
-    with all rows in block 0 need no carry: where no longer group exists the carry
-    side is empty, and adaptive execution drops it.
+    ``position`` is a whole number about as dense as the rows; it may be negative. Groups
+    with all rows in block 0 need no carry: where no other group exists the carry
+    side is empty, and adaptive execution drops it. The carry has one row per block of a
+    group in one task, 1 / ``size`` of the group's positions.
     """
     group = list(group)
     blocked = df.withColumn("_block", _block_of(position, size)).withColumn("_amount", amount)
-    long_groups = blocked.where(F.col(position) >= size).select(*group).distinct()
+    long_groups = blocked.where(F.col("_block") != 0).select(*group).distinct()
     totals = (
         blocked.join(long_groups, group, "left_semi")
         .groupBy(*group, "_block")
@@ -60,7 +70,7 @@ def running_offset(
     )
     total = F.coalesce(F.col("_carried"), F.lit(0)) + F.coalesce(F.sum("_amount").over(inside), F.lit(0))
     return (
-        blocked.join(carried, [*group, "_block"], "left")
+        _by_block(blocked, group).join(carried, [*group, "_block"], "left")
         .withColumn(out, total)
         .drop("_block", "_amount", "_carried")
     )
@@ -100,7 +110,7 @@ def last_before(
         Window.partitionBy(*group, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        blocked.join(carried, [*group, "_block"], "left")
+        _by_block(blocked, group).join(carried, [*group, "_block"], "left")
         .withColumn(out, F.coalesce(F.last("_value", ignorenulls=True).over(inside), F.col("_carried")))
         .drop("_block", "_value", "_carried")
     )
@@ -145,8 +155,11 @@ def top_k(
     """
     k_max = max(0, k_max)
     sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*spread_by), F.lit(fan)))
-    for partition in ([*keys, "_slice"], [*keys]):
+    # One value for key and slice: rows that are already dealt by the key alone would
+    # else count as dealt by key and slice and stay in one task.
+    sliced = sliced.withColumn("_deal", F.struct(*keys, "_slice"))
+    for partition in (["_deal"], [*keys]):
         window = Window.partitionBy(*partition).orderBy(*order)
         sliced = sliced.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k_max)
-    ranked = sliced.drop("_slice")
+    ranked = sliced.drop("_slice", "_deal")
     return ranked if k is None else ranked.where(F.col(rank) <= F.greatest(F.lit(0), k))

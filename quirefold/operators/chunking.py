@@ -153,7 +153,9 @@ def page_chunks(pages: DataFrame, limit: int = X.DEFAULT_CHUNK_LIMIT, unit: str
     pieces = page_source(pages).where(~F.col("is_empty")).select(
         "document_id", "page_index", X.pack_words(F.col("text"), limit, unit).alias("pieces")
     )
-    placed = running_offset(pieces, ["document_id"], "page_index", F.size("pieces"), "first_ordinal")
+    # Rows of one page index are ordered by their text, so that a retry numbers them alike.
+    tied = pieces.withColumn("_tie", F.xxhash64("pieces"))
+    placed = running_offset(tied, ["document_id"], "page_index", F.size("pieces"), "first_ordinal", ties=["_tie"])
     exploded = placed.select(
         "document_id", "page_index", "first_ordinal", F.posexplode("pieces").alias("piece_index", "text")
     )

@@ -60,8 +60,8 @@ def parse_batch(
         texts.withColumn("title", X.document_title(X.normalize_newlines(F.col("text")), F.col("source_path"))),
         "text", limit, keep=("source_path", "source_type", "title"),
     )
-    # A text gives no chunk only if it is blank.
-    blank = F.when(F.col("chunk_count") == 0, F.lit(C.EMPTY_MARKDOWN))
+    # A text gives no chunk only if it is blank or missing.
+    blank = F.when(F.coalesce(F.col("chunk_count"), F.lit(0)) <= 0, F.lit(C.EMPTY_MARKDOWN))
     judged = cut_lineage(parsed.withColumn("reject_reason", blank))
     markdown = judged.where(F.col("reject_reason").isNull())
 

@@ -61,15 +61,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition by ``keys`` only if the scan gives fewer partitions than there are cores.
-
-    A big table already has many splits and is returned as it is; the check reads
-    file metadata only.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, *keys)
-    return df

@@ -53,7 +53,9 @@ def decode_text(files: DataFrame) -> DataFrame:
 
 
 def corpus_rows(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """``(source_path, length, content)`` to text rows and rejects; paged files are left out.
+    """``(source_path, length, content)`` to text rows and rejects, one row per file.
+
+    A paged file keeps a null text and no reason: its text comes as a page table.
 
     The size test comes first and is answered by the file listing, so the content of
     an over-large file is never read.
@@ -65,12 +67,12 @@ def corpus_rows(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     large = texts.where(F.col("length") > max_bytes).select(
         "source_path", "source_type", no_text, F.lit(TOO_LARGE).alias("reject_reason")
     )
-    unknown = routed.where(F.col("source_type").isNull()).select("source_path", "source_type", no_text, "reject_reason")
-    return decoded.unionByName(large).unionByName(unknown)
+    others = routed.where(F.col("source_type").isNull() | (F.col("source_type") != "markdown"))
+    return decoded.unionByName(large).unionByName(others.select("source_path", "source_type", no_text, "reject_reason"))
 
 
 def read_corpus(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Text files below ``path`` as ``(source_path, source_type, text, reject_reason)``."""
+    """Files below ``path`` as ``(source_path, source_type, text, reject_reason)``."""
     return corpus_rows(binary_files(spark, path), max_bytes)
 
 

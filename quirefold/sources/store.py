@@ -1,7 +1,9 @@
 """Chunks, documents and sections as Parquet tables with idempotent upsert.
 
-Layout: ``<root>/<table>/workspace_id=…/bucket=…/``, bucket by hash of the table's
-key. An upsert looks for key conflicts (key columns only, in the batch's partitions).
+Layout: ``<root>/<table>/workspace_id=…/bucket=…/``, bucket by hash of the document's
+id, so a document's chunks lie together. An
+upsert takes the batch's own partitions first, a bounded list, and looks for key
+conflicts (key columns only) in those.
 Buckets without any get the new rows appended; only buckets with a conflict are
 read and rewritten, by dynamic partition overwrite. One writer at a time. With a
 table format at hand the same step is a ``MERGE INTO``.
@@ -20,7 +22,7 @@ from pyspark.sql import types as T
 from quirefold import schemas
 from quirefold.operators.upsert import evolve_schema, replace_sections, upsert_chunks, upsert_documents
 
-KEYS = {"chunks": "chunk_id", "documents": "document_id", "sections": "document_id"}
+KEYS = {"chunks": "document_id", "documents": "document_id", "sections": "document_id"}
 ROW_IDS = {"chunks": "chunk_id", "documents": "document_id", "sections": "section_id"}
 SCHEMAS = {"chunks": schemas.CHUNKS, "documents": schemas.DOCUMENTS, "sections": schemas.SECTIONS}
 PARTITION = ["workspace_id", "bucket"]
@@ -31,6 +33,11 @@ COMMITS = T.StructType([
 ])
 
 
+def is_missing(error: AnalysisException) -> bool:
+    """Whether a read failed because nothing was written yet; any other failure is one."""
+    return (error.getCondition() or "").split(".")[0] == "PATH_NOT_FOUND"
+
+
 class CorpusStore:
     """Tables below one root folder; ``buckets`` is fixed when the store is made."""
 
@@ -39,7 +46,9 @@ class CorpusStore:
         layout = os.path.join(root, "_layout")
         try:
             self.buckets = spark.read.schema("buckets int").json(layout).first()["buckets"]
-        except AnalysisException:
+        except AnalysisException as error:
+            if not is_missing(error):
+                raise
             spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.json(layout)
             self.buckets = buckets
 
@@ -52,7 +61,9 @@ class CorpusStore:
             # Files written before a nullable column existed are read with null there.
             rows = self.spark.read.schema(schema).parquet(self._path(table))
             return rows.where(F.col(ROW_IDS[table]).isNotNull())
-        except AnalysisException:
+        except AnalysisException as error:
+            if not is_missing(error):
+                raise
             return self.spark.createDataFrame([], schema)
 
     def table(self, name: str, workspace_id: str | None = None) -> DataFrame:
@@ -73,19 +84,44 @@ class CorpusStore:
             .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(self._path(table))
         )
 
-    def _conflicts(self, keys: DataFrame, table: str, on: list[str]) -> Column | None:
-        """Predicate for the partitions that hold a key of the batch, None if there are none.
+    def _in(self, partitions: DataFrame) -> Column | None:
+        """Predicate for the named partitions, None if there are none.
 
         Collects partition names, at most workspaces of the batch times buckets; the
         file listing holds as many on the driver.
         """
-        hit = self._stored(table).join(keys.select(*on), on, "left_semi").select(*PARTITION).distinct().collect()
         by_workspace: dict[str, list[int]] = {}
-        for row in hit:
+        for row in partitions.select(*PARTITION).distinct().collect():
             by_workspace.setdefault(row["workspace_id"], []).append(row["bucket"])
         tests = [(F.col("workspace_id") == w) & F.col("bucket").isin(b) for w, b in by_workspace.items()]
         return reduce(lambda a, b: a | b, tests) if tests else None
 
+    def stored_near(self, keys: DataFrame, table: str) -> DataFrame | None:
+        """Stored rows of the partitions that the keys fall into; None for no keys."""
+        own = self._in(keys)
+        return None if own is None else self._stored(table).where(own)
+
+    def _conflicts(self, keys: DataFrame, table: str, on: list[str]) -> Column | None:
+        """Predicate for the partitions that hold a key of the batch, None if there are none."""
+        near = self.stored_near(keys, table)
+        return None if near is None else self._in(near.join(keys.select(*on), on, "left_semi"))
+
+    def _chunk_hits(self, filed: DataFrame) -> DataFrame:
+        """Partitions that hold a chunk of the batch, or will: a chunk may come with another document than before."""
+        names = [row[0] for row in filed.select("workspace_id").distinct().collect()]
+        old = self._stored("chunks").where(F.col("workspace_id").isin(names)).select("workspace_id", "chunk_id", "bucket")
+        hits = old.join(filed.select("workspace_id", "chunk_id", F.col("bucket").alias("new")), ["workspace_id", "chunk_id"])
+        return hits.select("workspace_id", F.explode(F.array("bucket", "new")).alias("bucket"))
+
+    def _overwrite(self, old: DataFrame, new: DataFrame, table: str) -> None:
+        """Write ``new`` over the partitions of ``old``.
+
+        A dynamic overwrite leaves a bucket alone that gets no row. One that loses its last
+        row gets a row without an id, which readers skip.
+        """
+        emptied = old.select(*PARTITION).distinct().join(new.select(*PARTITION).distinct(), PARTITION, "left_anti")
+        self._write(new.unionByName(emptied, allowMissingColumns=True), table, "overwrite")
+
     def upsert_chunks(
         self,
         batch: DataFrame,
@@ -104,13 +140,14 @@ class CorpusStore:
         now = F.current_timestamp() if now is None else now
         filed = self._filed(batch, "chunks")
         if documents is None:
-            conflict = self._conflicts(filed, "chunks", [*PARTITION, "chunk_id"])
+            conflict = self._in(self._chunk_hits(filed))
         else:
-            conflict = self._conflicts(documents, "chunks", ["workspace_id", "document_id"])
+            conflict = self._conflicts(self._filed(documents, "chunks"), "chunks", [*PARTITION, "document_id"])
         fresh = filed if conflict is None else filed.where(~conflict)
         if conflict is not None:
-            merged = upsert_chunks(self._stored("chunks").where(conflict), filed.where(conflict), position, now)
-            self._write(merged, "chunks", "overwrite")
+            old = self._stored("chunks").where(conflict)
+            merged = self._filed(upsert_chunks(old, filed.where(conflict), position, now), "chunks")
+            self._overwrite(old, merged, "chunks")
         if unique:
             fresh = fresh.withColumn("created_at", now).withColumn("updated_at", now)
         else:
@@ -137,10 +174,7 @@ class CorpusStore:
             return
         old = self._stored("sections").where(conflict)
         kept = replace_sections(old, documents, new.where(conflict))
-        # A dynamic overwrite leaves a bucket alone that gets no row. One that loses its
-        # last section gets a row without an id, which readers skip.
-        emptied = old.select(*PARTITION).distinct().join(kept.select(*PARTITION).distinct(), PARTITION, "left_anti")
-        self._write(kept.unionByName(emptied, allowMissingColumns=True), "sections", "overwrite")
+        self._overwrite(old, kept, "sections")
         self._write(new.where(~conflict), "sections", "append")
 
     def evolve(self, table: str, rows: DataFrame) -> DataFrame:
@@ -154,5 +188,7 @@ class CorpusStore:
     def commits(self) -> DataFrame:
         try:
             return self.spark.read.schema(COMMITS).parquet(self._path("commits"))
-        except AnalysisException:
+        except AnalysisException as error:
+            if not is_missing(error):
+                raise
             return self.spark.createDataFrame([], COMMITS)

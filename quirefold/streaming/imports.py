@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -29,16 +32,23 @@ def import_stream(
 ) -> StreamingQuery:
     """Parse and store every file of the stream ``(source_path, text, reject_reason)`` once.
 
-    A bad file becomes a failed row. The number of the micro-batch is part of the
-    import batch id, so one that runs again after a failure writes the same rows.
+    A bad file becomes a failed row. The import batch id holds the stream's checkpoint,
+    which is its identity, and the number of the micro-batch: one that runs again after a
+    failure writes the same rows, and another stream writes others.
     """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def store_batch(arrived: DataFrame, epoch: int) -> None:
         no_pages = arrived.sparkSession.createDataFrame([], "source_path string, page_index int, text string")
-        batch = import_batch(store, arrived, no_pages, workspace_id, f"{workspace_id}-{epoch}")
-        if outcomes_path:
-            rows = batch.outcomes().withColumn("epoch", F.lit(epoch))
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(outcomes_path)
+        # Files are fetched and decoded once for verdicts, rejects and chunks.
+        kept = arrived.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            batch = import_batch(store, kept, no_pages, workspace_id, f"{workspace_id}-{stream}-{epoch}")
+            if outcomes_path:
+                rows = batch.outcomes().withColumn("epoch", F.lit(epoch))
+                rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(outcomes_path)
+        finally:
+            kept.unpersist()
 
     return (
         files.writeStream.foreachBatch(store_batch)

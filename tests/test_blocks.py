@@ -33,6 +33,14 @@ def test_running_offset(spark):
         same(B.running_offset(df, ["g"], "p", F.col("n"), "s", size=size), expected)
 
 
+def test_negative_positions(spark):
+    df = skewed(spark).withColumn("p", F.col("p") - 2500)
+    window = Window.partitionBy("g").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    expected = df.withColumn("s", F.coalesce(F.sum("n").over(window), F.lit(0)))
+    for size in (7, 10000):
+        same(B.running_offset(df, ["g"], "p", F.col("n"), "s", size=size), expected)
+
+
 def test_row_index(spark):
     df = skewed(spark)
     expected = df.withColumn("i", (F.row_number().over(Window.partitionBy("g").orderBy("p")) - 1).cast("long"))

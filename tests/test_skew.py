@@ -37,6 +37,19 @@ def test_blocked_jobs_are_balanced(spark):
     assert largest_share(spark, B.last_before(df, ["g"], "p", F.col("p"), "l", size=512)) < 3
 
 
+def test_rows_dealt_by_the_group_before_are_balanced(spark):
+    """A join, a repartition or a bucketed table has dealt the rows by the group alone."""
+    df = hot(spark).repartition(PARTITIONS, "g")
+    assert largest_share(spark, B.row_index(df, ["g"], "p", "i", size=512)) < 3
+    assert largest_share(spark, B.last_before(df, ["g"], "p", F.col("p"), "l", size=512)) < 3
+
+
+def test_slices_of_top_k_are_dealt_anew(spark):
+    df = hot(spark).repartition(PARTITIONS, "g")
+    plan = B.top_k(df, ["g"], [F.col("p")], 5, ["p"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_deal" in plan
+
+
 def test_plain_window_is_not(spark):
     """The measure itself: a window by group puts a third of the rows into one task."""
     from pyspark.sql import Window
