@@ -397,6 +397,11 @@ ORACLE["pages_except"] = sql(
 ORACLE["result_view"] = sql(
     """SELECT query_id, rank, printf('%.3f', score) AS score_label, NULL::VARCHAR AS page_label, '#' || ordinal AS ordinal_label, md5(text) AS text_md5
 FROM hybrid JOIN chunks USING (document_id, ordinal)""", "hybrid", "chunks")
+ORACLE["search_with_sections"] = sql(
+    """SELECT h.query_id, h.rank, h.document_id, h.ordinal, h.score_label, h.ordinal_label, h.text_md5, s.title AS section_title, s.level AS section_level
+FROM (SELECT query_id, rank, document_id, ordinal, printf('%.3f', score) AS score_label, '#' || ordinal AS ordinal_label, md5(text) AS text_md5
+  FROM hybrid JOIN chunks USING (document_id, ordinal)) h
+  ASOF LEFT JOIN sections s ON s.document_id = h.document_id AND s.chunk_start_ordinal <= h.ordinal""", "hybrid", "chunks", "sections")
 ORACLE["page_label_list"] = sql(
     """SELECT document_id, CASE WHEN len(pages) = 0 THEN 'none' ELSE array_to_string(list_transform(pages, lambda p: (p + 1)::VARCHAR), ', ') END AS pages FROM recs""", "recs")
 ORACLE["quality_badge"] = sql(

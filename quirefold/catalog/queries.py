@@ -19,7 +19,7 @@ from quirefold.operators import audit, jobs, layout, outline, reparse, search, u
 from quirefold.operators import chunking as C
 from quirefold.operators import sections as S
 from quirefold.plans.importing import import_batch
-from quirefold.plans.retrieval import keyword_search_with_sections, result_view
+from quirefold.plans.retrieval import keyword_search_with_sections, result_view, search_many
 from quirefold.session import scratch_path
 from quirefold.sources import corpus, export
 from quirefold.sources.store import CorpusStore
@@ -334,7 +334,7 @@ def keyword_like(spark, sf_dir):
 def page_filter(spark, sf_dir):
     chunks = C.page_chunks(X.pages(spark, sf_dir))
     hits = search.keyword_topk_many(chunks, X.queries(spark, sf_dir))
-    shown = search.page_filter(search.with_chunk_text(hits, chunks, search.BROADCAST_HITS + 1), 0)
+    shown = search.page_filter(search.with_chunk_text(hits, chunks, _hit_bound(spark, sf_dir)), 0)
     return longs(shown.select("query_id", "rank", "document_id", "ordinal", "source_page_index"))
 
 
@@ -568,6 +568,15 @@ def result_view_(spark, sf_dir):
     return longs(shown.select("query_id", "rank", "score_label", "page_label", "ordinal_label", F.md5("text").alias("text_md5")))
 
 
+@query
+def search_with_sections(spark, sf_dir):
+    """The whole search: hybrid hits with text, labels and the section of each."""
+    pieces = X.pieces(spark, sf_dir)
+    found = search_many(C.chunks_of(pieces), C.sections_of(pieces), X.vectors(spark, sf_dir), X.queries(spark, sf_dir))
+    columns = ["query_id", "rank", "document_id", "ordinal", "score_label", "ordinal_label", "section_title", "section_level"]
+    return longs(found.select(*columns, F.md5("text").alias("text_md5")))
+
+
 @query
 def page_label_list(spark, sf_dir):
     return X.record_heads(spark, sf_dir).select("document_id", P.page_label_list(F.col("low_quality_pages")).alias("pages"))
