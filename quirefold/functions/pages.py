@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quirefold.functions.text import let
+
 from quirefold.functions.text import text_length
 
 # Trimmed page length -> quality score, and the routing threshold.
@@ -39,8 +41,14 @@ def pages_except(before: Column, after: Column) -> Column:
 
 
 def pages_without(pages: Column, drop: Column) -> Column:
-    """``pages`` without those in ``drop``; order and duplicates are kept."""
-    return F.filter(pages, lambda page: ~F.array_contains(drop, page))
+    """``pages`` without those in ``drop``; order and duplicates are kept.
+
+    The difference is by hash and keeps the order; only a list with a page named twice
+    is tested page by page.
+    """
+    left = F.array_except(pages, drop)
+    named_once = F.size(F.array_distinct(pages)) == F.size(pages)
+    return F.when(named_once, left).otherwise(let(left, lambda kept: F.filter(pages, lambda page: F.array_contains(kept, page))))
 
 
 def page_label_list(pages: Column, empty: str = "none") -> Column:

@@ -50,16 +50,17 @@ def admit_stream(log: DataFrame, idle_ms: int | None = None) -> DataFrame:
             return
         active = state.get[0] if state.exists else False
         # Entries of a document inside a micro-batch come in any order.
-        rows = pd.concat(list(frames)).sort_values("seq")
-        taken = []
-        for kind, pages in zip(rows["kind"], rows["has_low_pages"]):
-            request = kind == REQUEST
-            taken.append(bool(request and pages and not active))
-            active = (active or taken[-1]) if request else (active and kind != FINISH)
-        state.update((active,))
+        rows = pd.concat(list(frames)).sort_values("seq", ignore_index=True)
+        # A request counts if there are pages to run again; it is taken if the last counted
+        # entry is none or a finish.
+        request = rows["kind"] == REQUEST
+        counted = rows[(request & rows["has_low_pages"].fillna(False).astype(bool)) | (rows["kind"] == FINISH)]
+        before = counted["kind"].shift(1, fill_value=REQUEST if active else FINISH)
+        taken = counted.index[(counted["kind"] == REQUEST) & (before != REQUEST)]
+        state.update((bool(counted["kind"].iloc[-1] == REQUEST) if len(counted) else active,))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
-        rows = rows.assign(admitted=taken)
+        rows = rows.assign(admitted=rows.index.isin(taken))
         yield rows.loc[rows["kind"] == REQUEST, ["document_id", "seq", "admitted"]]
 
     return log.groupBy("document_id").applyInPandasWithState(
