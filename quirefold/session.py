@@ -60,4 +60,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._scratch = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``cut_lineage`` that no later step reads.
+
+    Only right once everything that was built on them is a written table itself. Other
+    DataFrames are left alone.
+    """
+    for table in tables:
+        path = table.__dict__.pop("_scratch", None)
+        if path is not None:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
