@@ -6,11 +6,11 @@ from quirefold.operators import sections as S
 
 def test_small_markdown(spark):
     """Three paragraphs, one of them a heading."""
-    docs = spark.createDataFrame([(1, "# Title\n\nParagraph one.\n\nParagraph two is here.")], "document_id long, md string")
+    docs = spark.createDataFrame([(1, "# Tides\n\nWater rises.\n\nLater it falls again.")], "document_id long, md string")
     assert [tuple(r) for r in C.md_chunks(docs).orderBy("ordinal").select("ordinal", "text").collect()] == [
-        (0, "# Title"), (1, "Paragraph one."), (2, "Paragraph two is here."),
+        (0, "# Tides"), (1, "Water rises."), (2, "Later it falls again."),
     ]
-    assert [tuple(r) for r in C.md_sections(docs).collect()] == [(1, 1, "Title", 0)]
+    assert [tuple(r) for r in C.md_sections(docs).collect()] == [(1, 1, "Tides", 0)]
 
 
 def test_section_starts_follow_split_segments(spark):

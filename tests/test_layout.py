@@ -12,20 +12,20 @@ VIEWS = "viewport_id int, x double, y double, width double, height double"
 
 def test_rectangles(spark):
     """Overlap and containment; touching edges count."""
-    a = Rect.literal(0, 0, 100, 100)
+    a = Rect.literal(-30, 5, 90, 45)
     row = spark.range(1).select(
-        rects_intersect(a, Rect.literal(80, 80, 20, 20)), rects_intersect(a, Rect.literal(150, 150, 20, 20)),
-        rects_intersect(a, Rect.literal(100, 100, 5, 5)), rect_contains(Rect.literal(10, 10, 20, 20), F.lit(15.0), F.lit(15.0)),
-        rect_contains(Rect.literal(10, 10, 20, 20), F.lit(35.0), F.lit(15.0)), rect_contains(a, F.lit(100.0), F.lit(0.0)),
+        rects_intersect(a, Rect.literal(55, 41, 33, 8)), rects_intersect(a, Rect.literal(61, 60, 7, 9)),
+        rects_intersect(a, Rect.literal(60, 50, 3, 4)), rect_contains(Rect.literal(2, 3, 11, 6), F.lit(4.0), F.lit(8.5)),
+        rect_contains(Rect.literal(2, 3, 11, 6), F.lit(13.5), F.lit(8.5)), rect_contains(a, F.lit(60.0), F.lit(5.0)),
     ).first()
     assert list(row) == [True, False, True, True, False, True]
 
 
 def test_viewport(spark):
-    nodes = spark.createDataFrame([("v", "visible", 100.0, 100.0, 20.0, 20.0), ("h", "hidden", 800.0, 800.0, 20.0, 20.0)], RECTS)
-    assert [r["title"] for r in L.viewport_nodes(nodes, 0, 0, 300, 300).collect()] == ["visible"]
-    views = spark.createDataFrame([(1, 0.0, 0.0, 300.0, 300.0)], VIEWS)
-    assert [r["title"] for r in L.viewport_join(nodes, views).collect()] == ["visible"]
+    nodes = spark.createDataFrame([("v", "near", 12.0, 40.0, 9.0, 6.0), ("h", "far", 512.0, 77.0, 9.0, 6.0)], RECTS)
+    assert [r["title"] for r in L.viewport_nodes(nodes, -5, 20, 60, 50).collect()] == ["near"]
+    views = spark.createDataFrame([(1, -5.0, 20.0, 60.0, 50.0)], VIEWS)
+    assert [r["title"] for r in L.viewport_join(nodes, views).collect()] == ["near"]
 
 
 @pytest.mark.parametrize("bound", [1000, 0])

@@ -32,14 +32,14 @@ def files_of(folder):
 def test_persist_and_search(spark, tmp_path):
     """Three chunks, one record, two sections in order."""
     store = CorpusStore(spark, str(tmp_path / "s"), buckets=4)
-    chunks = [(f"c{i}", "d", i, t, None, "w", i) for i, t in enumerate(["apple banana", "orange kiwi", "banana pear"])]
+    chunks = [(f"c{i}", "d", i, t, None, "w", i) for i, t in enumerate(["silver copper", "marble iron", "copper tin"])]
     store.upsert_chunks(spark.createDataFrame(chunks, CHUNK))
-    assert [r["ordinal"] for r in keyword_topk(store.table("chunks", "w"), "banana", 10).collect()] == [0, 2]
+    assert [r["ordinal"] for r in keyword_topk(store.table("chunks", "w"), "copper", 10).collect()] == [0, 2]
     rows = record(spark, [("d", "/p.md", "T", "markdown", 3, [], 100, "w", 0)])
-    sections = spark.createDataFrame([("s2", "d", 2, "Heading 2", 2, "w"), ("s1", "d", 1, "Heading 1", 0, "w")], SECTION)
+    sections = spark.createDataFrame([("s2", "d", 2, "Ores", 2, "w"), ("s1", "d", 1, "Alloys", 0, "w")], SECTION)
     store.upsert_documents(rows, sections)
     assert [r["title"] for r in S.recent_documents(store.table("documents"), 10).collect()] == ["T"]
-    assert [r["title"] for r in S.sections_of_document(store.table("sections"), "d").collect()] == ["Heading 1", "Heading 2"]
+    assert [r["title"] for r in S.sections_of_document(store.table("sections"), "d").collect()] == ["Alloys", "Ores"]
 
 
 def test_upsert_rewrites_only_buckets_with_conflicts(spark, tmp_path):
