@@ -13,6 +13,7 @@ nothing is lost.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import row_slices, text_of
+from quirefold.session import release, scratch_path
 
 CHUNK_WORDS = 1 << 19
 BUCKET_KEYS = 1 << 20
@@ -82,7 +84,7 @@ def lower_words(text: str) -> list[bytes]:
 
 
 def code_chunks(df: DataFrame, key: str, text: str, tag: Column, size: int = CHUNK_WORDS) -> DataFrame:
-    """Rows of ``CHUNK``: whole documents, about ``size`` words in each chunk; write it before use.
+    """Rows of ``CHUNK``: whole documents, about ``size`` words in each chunk; ``write_chunks`` before use.
 
     ``tag`` is a number that stays with the document. Chunk ids are unique in the written table.
     """
@@ -123,6 +125,23 @@ def code_chunks(df: DataFrame, key: str, text: str, tag: Column, size: int = CHU
     return df.select(F.col(key).cast("bigint"), tag.cast("bigint"), text_of(text)).mapInArrow(run, CHUNK)
 
 
+def write_chunks(chunks: DataFrame) -> DataFrame:
+    """The chunks as a written table bucketed by chunk, so that a join by chunk does not move them."""
+    spark = chunks.sparkSession
+    name, path = f"chunks_{uuid.uuid4().hex}", scratch_path(spark, "chunks")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks.write.option("path", path).format("parquet").bucketBy(buckets, "chunk").saveAsTable(name)
+    written = spark.table(name)
+    written._scratch, written._table = path, name
+    return written
+
+
+def drop_chunks(chunks: DataFrame) -> None:
+    """Delete a table of ``write_chunks`` once all that was built on it is written."""
+    chunks.sparkSession.sql(f"DROP TABLE IF EXISTS {chunks._table}")
+    release(chunks)
+
+
 class Chunk:
     """A row of ``CHUNK`` with its parts as arrays."""
 
@@ -164,25 +183,30 @@ def send_keys(chunks: DataFrame, keys_of: Callable[[Chunk], tuple[np.ndarray, li
     return chunks.mapInArrow(run, "chunk bigint, bucket bigint, keys binary, counts binary")
 
 
-def add_up(blocks: DataFrame, columns: int) -> DataFrame:
-    """Blocks (chunk, bucket, totals): for each key of a block the sums over all chunks, 64 bits a column."""
+def add_up(blocks: DataFrame, columns: int, tally: Callable[[np.ndarray, list[np.ndarray]], int] | None = None) -> DataFrame:
+    """Blocks (chunk, bucket, totals, tally): for each key of a block the sums over all chunks, 64 bits a column.
+
+    ``tally`` makes a number of a bucket's distinct keys and their sums; one row of the bucket has it.
+    """
 
     def total(group: pa.Table) -> pa.Table:
         keys = [unpack_sorted(k) for k in group["keys"].to_pylist()]
         sizes = [len(k) for k in keys]
         counts = [unpack(c, *["<i4"] * columns) for c in group["counts"].to_pylist()]
-        _, place = np.unique(np.concatenate(keys), return_inverse=True)
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         ends = np.cumsum(sizes)
-        sums = [np.bincount(place, np.concatenate([c[i] for c in counts])).astype("<i8")[place] for i in range(columns)]
+        sums = [np.bincount(place, np.concatenate([c[i] for c in counts])).astype("<i8") for i in range(columns)]
+        found = [tally(distinct, sums) if tally else None] + [None] * (len(sizes) - 1)
+        sums = [s[place] for s in sums]
         held = [pack(*(s[e - n : e] for s in sums)) for e, n in zip(ends, sizes)]
-        return pa.table({"chunk": group["chunk"], "bucket": group["bucket"], "totals": pa.array(held, pa.binary())})
+        return pa.table({"chunk": group["chunk"], "bucket": group["bucket"], "totals": pa.array(held, pa.binary()), "tally": pa.array(found, pa.int64())})
 
-    return blocks.groupBy("bucket").applyInArrow(total, "chunk bigint, bucket bigint, totals binary")
+    return blocks.groupBy("bucket").applyInArrow(total, "chunk bigint, bucket bigint, totals binary, tally bigint")
 
 
 def with_totals(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     """The chunks with their blocks of totals, ordered by bucket."""
-    gathered = blocks.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "totals"))).alias("blocks"))
+    gathered = blocks.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "totals", "tally"))).alias("blocks"))
     return chunks.join(gathered, "chunk", "left")
 
 

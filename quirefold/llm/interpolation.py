@@ -8,7 +8,7 @@ maximisation on counts that were held out: one tenth of the training documents,
 estimates from the others. Final estimates use all training documents.
 
 Counts cover every document. Texts are coded in chunks once; words and pairs are counted
-inside a chunk, added up over all chunks by their 64-bit hash, and sent back to each
+inside a chunk, added up over all chunks by their hash (``pair_mask``), and sent back to each
 chunk (see ``exchange``). Nothing that grows with the corpus goes through the driver:
 it sees the weights, three numbers a bucket.
 
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import row_slices
-from quirefold.llm.exchange import Chunk, add_up, bucket_bits, code_chunks, mix, pack, send_keys, totals_of, unpack, unpack_sorted, with_totals
+from quirefold.llm.exchange import Chunk, add_up, bucket_bits, code_chunks, drop_chunks, mix, pack, send_keys, totals_of, unpack, with_totals, write_chunks
 from quirefold.session import cut_lineage
 
 TEST, HELD, TRAIN = 0, 1, 2
@@ -35,6 +35,7 @@ START, STOP = np.uint64(1), np.uint64(2)
 SMOOTHING = 0.1
 ROUNDS = 12
 CLOSE_ENOUGH = 1e-3
+CHUNK_WORDS = 1 << 20
 CONTEXTS = 48  # frequency buckets: 0 and powers of two
 
 
@@ -52,21 +53,31 @@ def tokens_of(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return token, context, np.repeat(np.arange(len(ends)), chunk.lengths + 1)
 
 
-def _keys(chunk: Chunk) -> tuple[np.ndarray, ...]:
+def pair_mask(words: int) -> np.uint64:
+    """The leading bits of a pair's hash that are kept.
+
+    They grow with twice the logarithm of the corpus, so that at any size no more than some
+    tens of all pairs are expected to share a key with another one; that spares a quarter of the shuffle.
+    """
+    bits = min(64, max(32, 2 * int(words).bit_length() - 6))
+    return np.uint64((1 << 64) - (1 << (64 - bits)))
+
+
+def _keys(chunk: Chunk, mask: np.uint64) -> tuple[np.ndarray, ...]:
     """Sorted unique keys of the chunk, the place of each token and each pair among them, the tokens' documents.
 
-    A word's key is the hash of its own hash; the start mark has one too.
+    Keys of tokens are even, those of pairs are odd.
     """
     token, context, document = tokens_of(chunk)
-    pair = mix(context, token)
-    single = mix(token)
+    pair = (mix(context, token) & mask) | np.uint64(1)
+    single = mix(token) & ~np.uint64(1)
     keys, place = np.unique(np.concatenate([single, pair]), return_inverse=True)
     return keys, place[: len(token)], place[len(token) :], document
 
 
-def _sent(chunk: Chunk) -> tuple[np.ndarray, list[np.ndarray]]:
+def _sent(chunk: Chunk, mask: np.uint64) -> tuple[np.ndarray, list[np.ndarray]]:
     """Counts in training documents, and in the held-out tenth of them."""
-    keys, single, pair, document = _keys(chunk)
+    keys, single, pair, document = _keys(chunk, mask)
     tag = chunk.tags[document]
     columns = []
     for chosen in (tag != TEST, tag == HELD):
@@ -74,6 +85,11 @@ def _sent(chunk: Chunk) -> tuple[np.ndarray, list[np.ndarray]]:
     return keys, columns
 
 
+def _distinct_tokens(keys: np.ndarray, sums: list[np.ndarray]) -> int:
+    """Distinct tokens of training documents in a bucket."""
+    return int(((keys & np.uint64(1) == 0) & (sums[0] > 0)).sum())
+
+
 def context_bucket(count: np.ndarray) -> np.ndarray:
     """0 for an unseen context, else 1 + the power of two at or below its count."""
     return np.where(count > 0, np.frexp(count.astype(float))[1], 0).clip(0, CONTEXTS - 1)
@@ -90,17 +106,17 @@ def estimates_of(pair: np.ndarray, context: np.ndarray, token: np.ndarray, total
     )
 
 
-COUNTED = "rows array<struct<doc_id:bigint,tag:bigint,n:bigint>>, single binary, pair binary, held_bucket binary, held_pair binary, held_single binary"
+COUNTED = "distinct bigint, rows array<struct<doc_id:bigint,tag:bigint,n:bigint>>, single binary, pair binary, held_bucket binary, held_pair binary, held_single binary"
 
 
-def _counted(chunks: DataFrame, held_documents: int, documents: int) -> DataFrame:
+def _counted(chunks: DataFrame, mask: np.uint64, held_documents: int, documents: int) -> DataFrame:
     """Per chunk: training counts of each token and pair; of held-out tokens, bucket and the two retained estimates' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_slices(batches, 1):
             row = part.to_pylist()[0]
             chunk = Chunk(row)
-            _, single, pair, document = _keys(chunk)
+            _, single, pair, document = _keys(chunk, mask)
             train, held = totals_of(row, 2)
             kept = train - held
             chosen = chunk.tags[document] == HELD
@@ -110,6 +126,7 @@ def _counted(chunks: DataFrame, held_documents: int, documents: int) -> DataFram
             ratio = kept[pair][chosen] / np.maximum(context[chosen], 1)
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array([sum(b["tally"] or 0 for b in row["blocks"] or [])], pa.int64()),
                     part.column("rows"),
                     *(
                         pa.array([pack(a)], pa.binary())
@@ -122,7 +139,7 @@ def _counted(chunks: DataFrame, held_documents: int, documents: int) -> DataFram
                         )
                     ),
                 ],
-                names=["rows", "single", "pair", "held_bucket", "held_pair", "held_single"],
+                names=["distinct", "rows", "single", "pair", "held_bucket", "held_pair", "held_single"],
             )
 
     return chunks.mapInArrow(run, COUNTED)
@@ -174,16 +191,19 @@ def score_documents(df: DataFrame, role: Column, key: str = "doc_id", text: str
     ``role`` is 0 for documents that the model must not learn from, 1 for those whose
     counts are held out to learn the weights, 2 for all others.
     """
-    chunks = cut_lineage(code_chunks(df, key, text, role))
+    chunks = write_chunks(code_chunks(df, key, text, role, CHUNK_WORDS))
     size = chunks.agg(F.sum("n_words").alias("words")).first()["words"] or 0
     rows = chunks.select(F.explode("rows").alias("r")).select("r.*")
     seen = {r["tag"]: (r["docs"], r["words"]) for r in rows.groupBy("tag").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("words")).collect()}
     documents, words = (sum(seen[t][i] for t in seen if t != TEST) for i in (0, 1))
     held_documents, held_words = seen.get(HELD, (0, 0))
     tokens, held_tokens = documents + words, held_documents + held_words
-    blocks = send_keys(chunks, _sent, bucket_bits(2 * size))
-    distinct = _distinct_words(chunks, bucket_bits(size))
-    counted = cut_lineage(_counted(with_totals(chunks, add_up(blocks, 2)), held_documents, documents))
+    mask = pair_mask(size)
+    blocks = send_keys(chunks, lambda chunk: _sent(chunk, mask), bucket_bits(2 * size))
+    totals = with_totals(chunks, add_up(blocks, 2, _distinct_tokens))
+    counted = cut_lineage(_counted(totals, mask, held_documents, documents))
+    drop_chunks(chunks)
+    distinct = counted.agg(F.sum("distinct")).first()[0] or 0
     weights = learn_weights(counted, tokens - held_tokens, distinct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,19 +231,3 @@ def score_documents(df: DataFrame, role: Column, key: str = "doc_id", text: str
 
     return counted.select("rows", "single", "pair").mapInArrow(run, SCORED)
 
-
-def _distinct_words(chunks: DataFrame, bits: int) -> int:
-    """Distinct tokens of the training documents, the end token included if there is one."""
-
-    def used(chunk: Chunk) -> tuple[np.ndarray, list[np.ndarray]]:
-        trained = np.repeat(chunk.tags != TEST, chunk.lengths)
-        keys = np.unique(chunk.words[np.unique(chunk.codes[trained])])
-        return keys, [np.ones(len(keys))]
-
-    def count(group: pa.Table) -> pa.Table:
-        keys = [unpack_sorted(k) for k in group["keys"].to_pylist()]
-        return pa.table({"n": pa.array([len(np.unique(np.concatenate(keys)))], pa.int64())})
-
-    found = send_keys(chunks, used, bits).groupBy("bucket").applyInArrow(count, "n bigint").agg(F.sum("n").alias("n")).first()["n"] or 0
-    trained = chunks.select(F.explode("rows.tag").alias("tag")).where(F.col("tag") != TEST).limit(1).count()
-    return found + trained
