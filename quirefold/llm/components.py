@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.session import cut_lineage
+from quirefold.session import cut_lineage, release
 
 MAX_ROUNDS = 64
 
@@ -37,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
         if sign == found or not found["n"]:
             break
         sign = found
-        current = cut_lineage(clean(_star(clean(_star(current, True)), False)))
+        before, current = current, cut_lineage(clean(_star(clean(_star(current, True)), False)))
+        release(before)
     else:
         raise RuntimeError("components did not settle")
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

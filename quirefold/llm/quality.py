@@ -13,8 +13,9 @@ is not judged by them alone. The host verdict goes back to the documents:
 
 A base rule failure (few words, repeated windows) always rejects the document.
 
-Measures are written once, so texts are read and measured once. Host counts combine
-before the shuffle. Host verdicts are a written table and joined by plain equality:
+For a report, measures are written, so texts are measured once. To keep whole documents they
+are measured twice instead, which spares a copy of all texts. Host counts combine before
+the shuffle. Host verdicts are a written table and joined by plain equality:
 Spark broadcasts it below its size threshold and splits skewed hosts above.
 
 Defined cases: a null text has no words and fails; a null host is the host with the
@@ -116,14 +117,17 @@ def host_verdicts(judged: DataFrame) -> DataFrame:
     return hosts.withColumn("verdict", verdict)
 
 
-def judge(df: DataFrame, keep: list[str], host: str = "source", text: str = "text") -> DataFrame:
-    """Columns ``row`` (struct of ``keep``), the measures, ``base_failed``, ``verdict`` of the host, ``kept``."""
+def judge(df: DataFrame, keep: list[str], host: str = "source", text: str = "text", written: bool = True) -> DataFrame:
+    """Columns ``row`` (struct of ``keep``), the measures, ``base_failed``, ``verdict`` of the host, ``kept``.
+
+    ``written`` writes the measures with ``keep`` to the shared folder; else they are made twice.
+    """
     measured = df.select(
         F.struct(*keep).alias("row"), host_of(F.col(host)).alias("host"), measures(text_of(text)).alias("m")
     ).select("row", "host", "m.*")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     symbols = 100 * F.col("n_symbols") > SYMBOL_PERCENT * F.col("n_words")
-    judged = cut_lineage(measured).select(
+    judged = (cut_lineage(measured) if written else measured).select(
         "*", base.alias("base_failed"), symbols.alias("symbols_failed"), (base | symbols).alias("failed")
     )
     verdicts = cut_lineage(host_verdicts(judged).select("host", "verdict"))
@@ -133,4 +137,4 @@ def judge(df: DataFrame, keep: list[str], host: str = "source", text: str = "tex
 
 def keep_documents(df: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """The rows that are kept, with their columns as they came."""
-    return judge(df, df.columns, host, text).where("kept").select("row.*")
+    return judge(df, df.columns, host, text, written=False).where("kept").select("row.*")

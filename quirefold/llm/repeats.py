@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from quirefold.llm.common import row_slices, text_of
 from quirefold.llm.exchange import mix, pack, unpack
-from quirefold.session import cut_lineage
+from quirefold.session import cut_lineage, release
 
 WIDTH = 100
 GRAM = 16
@@ -364,9 +364,10 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width:
     groups = rows.groupBy("sha256").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") < F.col("last"))
     salted = groups.select("sha256", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     told = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    rows = cut_lineage(
+    measured, rows = rows, cut_lineage(
         told.join(salted, ["sha256", "salt"], "left").select("id", "hash", "n_bytes", "sha256", F.coalesce(F.col("first") < F.col("id"), F.lit(False)).alias("copied"))
     )
+    release(measured)
     size = rows.agg(F.sum("n_bytes")).first()[0] or 0
     bits = _bits(size * 2 // (width - BEHIND + 2), BUCKET_TRIGGERS)
     shared = shared_triggers(source, bits, width).groupBy("id", "hash").agg(F.collect_list("trigger").alias("parts"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import Memory, row_slices, text_of
-from quirefold.session import cut_lineage
+from quirefold.session import cut_lineage, release
 
 SAMPLE = 40_000
 FEATURES = 8_192
@@ -179,9 +179,11 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     renamed = labels.select(F.col(key).alias("_key"), F.col("toxic").cast("int").alias("toxic"))
     bags = cut_lineage(sample_labels(renamed, narrow, "_key", sample).select("_text", (F.col("toxic") > 0).cast("int").alias("_toxic")))
     features = choose_features(bags, FEATURES)
-    if not features:
+    lists = sentence_lists(bags, features) if features else None
+    release(bags)
+    if lists is None:
         return Model({}, None)
-    weights, bias = fit(*sentence_lists(bags, features), len(features))
+    weights, bias = fit(*lists, len(features))
     return Model({f: float(w) for f, w in zip(features, weights) if w}, bias)
 
 
