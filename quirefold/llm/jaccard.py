@@ -9,7 +9,7 @@ component of links.
    shared, so a document with too few others links with nothing and ends here. Equal sets
    are one class from here on.
 2. Of a class, the rarest shingles that decide (the prefix: any linked pair shares one)
-   go to buckets with a signature, the number of shingles in each of 64 parts of the
+   go to buckets with a signature, the number of shingles in each of 128 parts of the
    hash range. Classes that share such a shingle, are of similar size, and whose
    signatures allow enough overlap are put into one cluster.
 3. A cluster is searched by a signature tree: nodes hold OR-combined token bitmaps and size
@@ -41,12 +41,12 @@ from pyspark.sql import functions as F
 
 from quirefold.llm.common import row_slices
 from quirefold.llm.components import components
-from quirefold.llm.exchange import Chunk, add_up, bucket_bits, code_chunks, mix, send_keys, totals_of, with_totals
-from quirefold.session import cut_lineage
+from quirefold.llm.exchange import Chunk, add_up, bucket_bits, code_chunks, drop_chunks, mix, send_keys, totals_of, with_totals, write_chunks
+from quirefold.session import cut_lineage, release
 
-SHINGLE = 3
-PERCENT = 90
-PARTS = 64
+SHINGLE = 5
+PERCENT = 80
+PARTS = 128
 FAN = 32
 MAX_BITS = 1 << 15
 UNIT_BYTES = 1 << 24
@@ -135,7 +135,8 @@ def shared_sets(chunks: DataFrame, words: int, size: int, percent: int) -> DataF
 
 def signature(tokens: np.ndarray) -> np.ndarray:
     """Shingles in each part of the hash range."""
-    return np.bincount((tokens >> np.uint64(58)).astype(np.int64), minlength=PARTS).astype(np.int32)
+    counts = np.bincount((tokens >> np.uint64(57)).astype(np.int64), minlength=PARTS)
+    return np.minimum(counts, np.iinfo(np.int16).max).astype("<i2")
 
 
 class Groups:
@@ -168,9 +169,11 @@ class Forest:
             self.parent[max(a, b)] = min(a, b)
 
 
-def _may_link(n: np.ndarray, shared: np.ndarray, sketch: np.ndarray, a: np.ndarray | int, b: np.ndarray, percent: int) -> np.ndarray:
+def _may_link(n: np.ndarray, sketch: np.ndarray, a: np.ndarray | int, b: np.ndarray, percent: int) -> np.ndarray:
     """Whether the sizes and signatures of two classes allow a link: the overlap is at most the sum of the smaller part counts."""
-    overlap = np.minimum(sketch[a], sketch[b]).sum(axis=-1)
+    small = np.minimum(sketch[a], sketch[b])
+    # A count at the limit of its type may stand for more.
+    overlap = np.where((small == np.iinfo(np.int16).max).any(axis=-1), np.minimum(n[a], n[b]), small.sum(axis=-1, dtype=np.int64))
     return 100 * overlap >= percent * (n[a] + n[b] - overlap)
 
 
@@ -205,7 +208,7 @@ def possible_edges(classes: DataFrame, bits: int, percent: int) -> DataFrame:
         uids = read("uid", "<i8")
         shift = np.cumsum([0] + [len(u) for u in uids])
         uid, n, token = np.concatenate(uids), np.concatenate(read("n", "<i8")), np.concatenate(read("token", "<u8"))
-        sketch = np.concatenate(read("sketch", "<i4")).reshape(-1, PARTS)
+        sketch = np.concatenate(read("sketch", "<i2")).reshape(-1, PARTS)
         owner = np.concatenate([o.astype(np.int64) + s for o, s in zip(read("owner", "<i4"), shift)])
         order = np.lexsort((owner, n[owner], token))
         token, owner = token[order], owner[order]
@@ -220,7 +223,7 @@ def possible_edges(classes: DataFrame, bits: int, percent: int) -> DataFrame:
             roots = np.array([joined.find(i) for i in cell.tolist()])
             if (roots == roots[0]).all():
                 continue
-            for i in np.flatnonzero(_may_link(n, n, sketch, cell[:-1], cell[1:], percent)):
+            for i in np.flatnonzero(_may_link(n, sketch, cell[:-1], cell[1:], percent)):
                 joined.join(int(cell[i]), int(cell[i + 1]))
             for i in range(length - 1):
                 rest = cell[i + 1 :]
@@ -229,7 +232,7 @@ def possible_edges(classes: DataFrame, bits: int, percent: int) -> DataFrame:
                 root = joined.find(int(cell[i]))
                 rest = rest[[joined.find(j) != root for j in rest.tolist()]] if len(rest) else rest
                 if len(rest):
-                    for j in rest[_may_link(n, n, sketch, cell[i], rest, percent)].tolist():
+                    for j in rest[_may_link(n, sketch, cell[i], rest, percent)].tolist():
                         joined.join(int(cell[i]), j)
         root = np.array([joined.find(i) for i in range(len(uid))], np.int64)
         # The same class came from one task only; its rows in a bucket are one.
@@ -356,9 +359,8 @@ def unit_edges(units: DataFrame, percent: int) -> DataFrame:
     return units.groupBy("unit").applyInArrow(run, EDGE)
 
 
-def _units(classes: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
-    """The classes of every cluster, dealt to tasks: whole clusters together, larger ones as pairs of blocks."""
-    member = cut_lineage(classes.join(clusters.withColumnsRenamed({"node": "uid", "root": "cluster"}), "uid"))
+def _units(member: DataFrame, percent: int) -> DataFrame:
+    """The members of every cluster, dealt to tasks: whole clusters together, larger ones as pairs of blocks."""
     sizes = cut_lineage(
         member.groupBy("cluster").agg(F.sum(F.octet_length("tokens").cast("bigint")).alias("bytes"), F.count(F.lit(1)).alias("members"))
     )
@@ -396,16 +398,20 @@ def _units(classes: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``df``: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
-    chunks = cut_lineage(code_chunks(df, key, text, F.lit(0)))
+    chunks = write_chunks(code_chunks(df, key, text, F.lit(0)))
     words = chunks.agg(F.sum("n_words")).first()[0] or 0
     sets = cut_lineage(shared_sets(chunks, words, size, percent))
+    drop_chunks(chunks)
     same_set = ["low", "high", "n"]
     linking = sets.where(F.col("tokens").isNotNull())
     groups = cut_lineage(linking.groupBy(*same_set).agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least")))
     classes = cut_lineage(linking.join(groups.select("uid"), "uid", "left_semi").select("uid", "n", "low", "tokens", "prefix"))
     keys = classes.agg(F.sum("prefix")).first()[0] or 0
     clusters = components(possible_edges(classes, bucket_bits(keys), percent))
-    linked = components(unit_edges(_units(classes, clusters, percent), percent))
+    member = cut_lineage(classes.join(clusters.withColumnsRenamed({"node": "uid", "root": "cluster"}), "uid"))
+    release(classes)
+    linked = components(unit_edges(_units(member, percent), percent))
+    release(member)
     of_class = groups.join(linked.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     least = of_class.groupBy("root").agg(F.min("least").alias("component"))
     named = of_class.join(least, "root").select(*same_set, "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))

@@ -170,7 +170,7 @@ def op5_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
 @query

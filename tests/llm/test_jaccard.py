@@ -16,8 +16,8 @@ def sets_of(rows, size=3):
     return result
 
 
-def brute(rows, percent=90):
-    sets = sets_of(rows)
+def brute(rows, size=3, percent=90):
+    sets = sets_of(rows, size)
     parent = list(range(len(rows)))
 
     def find(a):
@@ -37,8 +37,8 @@ def brute(rows, percent=90):
     return sorted(((key, len(s), least.get(find(i))) for i, ((key, _), s) in enumerate(zip(rows, sets))), key=repr)
 
 
-def found(df):
-    return sorted((tuple(r) for r in jaccard.near_duplicates(df).collect()), key=repr)
+def found(df, size=3, percent=90):
+    return sorted((tuple(r) for r in jaccard.near_duplicates(df, size=size, percent=percent).collect()), key=repr)
 
 
 def copies(seed, n):
@@ -55,14 +55,19 @@ def copies(seed, n):
 
 
 def test_equals_brute_force(spark):
-    rows = copies(1, 350) + [(5000, "A"), (5001, "a"), (5002, "a b"), (5003, "A\tb")]
+    rows = copies(1, 250) + [(5000, "A"), (5001, "a"), (5002, "a b"), (5003, "A\tb")]
     assert found(documents(spark, rows, clashing=True).repartition(3)) == brute(rows)
 
 
+def test_five_words_and_a_lower_bound(spark):
+    rows = copies(4, 200)
+    assert found(documents(spark, rows), 5, 80) == brute(rows, 5, 80)
+
+
 def test_large_clusters_are_searched_in_blocks(spark, monkeypatch):
     for name, value in (("BLOCK", 16), ("UNIT_BYTES", 4000)):
         monkeypatch.setattr(jaccard, name, value)
-    rows = copies(2, 350)
+    rows = copies(2, 250)
     assert found(documents(spark, rows).repartition(3)) == brute(rows)
 
 
