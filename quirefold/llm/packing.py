@@ -34,9 +34,9 @@ CAPACITY = 4096
 END_ID = 2
 END = END_ID.to_bytes(4, "little")
 SLACK = 1 / 128
-CACHED = 400_000
+CACHED = 600_000
 LONGEST = 96
-GROUP = 64
+GROUP = 192
 MARK = b"\x01"
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
