@@ -142,7 +142,7 @@ def test_stub(spark, chunks):
 def test_keyword_reaches_the_scan(spark, chunks, tmp_path):
     chunks.withColumn("text_lc", F.lower("text")).write.parquet(str(tmp_path / "c"))
     stored = spark.read.parquet(str(tmp_path / "c"))
-    plan = S.keyword_filter(stored, "Kiwi", text_lc="text_lc")._jdf.queryExecution().executedPlan().toString()
+    plan = S.keyword_filter(stored, "Iron", text_lc="text_lc")._jdf.queryExecution().executedPlan().toString()
     assert "StringContains(text_lc,iron)" in plan
     top = S.keyword_topk(stored, "iron", 5)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in top
