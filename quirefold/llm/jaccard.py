@@ -36,10 +36,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import row_slices
+from quirefold.llm.common import row_slices, text_of
 from quirefold.llm.components import components
 from quirefold.llm.exchange import Chunk, add_up, bucket_bits, code_chunks, drop_chunks, mix, send_keys, totals_of, with_totals, write_chunks
 from quirefold.session import cut_lineage, release
@@ -80,7 +80,7 @@ def needed(size: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-size * percent // 100)
 
 
-SETS = "doc_id bigint, uid bigint, n bigint, low bigint, high bigint, tokens binary, prefix int"
+SETS = "doc_id bigint, tag bigint, uid bigint, n bigint, low bigint, high bigint, tokens binary, prefix int"
 
 
 def shared_sets(chunks: DataFrame, words: int, size: int, percent: int) -> DataFrame:
@@ -121,6 +121,7 @@ def shared_sets(chunks: DataFrame, words: int, size: int, percent: int) -> DataF
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array(chunk.doc_ids, pa.int64()),
+                    "tag": pa.array(chunk.tags),
                     "uid": pa.array(base + np.arange(documents)),
                     "n": pa.array(n.astype(np.int64)),
                     "low": pa.array(low.view(np.int64)),
@@ -396,9 +397,12 @@ def _units(member: DataFrame, percent: int) -> DataFrame:
     return small.select(*columns).unionByName(dealt.select(*columns))
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``df``: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
-    chunks = write_chunks(code_chunks(df, key, text, F.lit(0)))
+def _members(df: DataFrame, key: str, text: str, tag: Column, size: int, percent: int) -> DataFrame:
+    """One row per row of ``df``: ``doc_id``, ``tag``, ``n``, ``component`` (its smallest id) and ``root``, a number of the component.
+
+    ``root`` is null for a row that surely links with nothing.
+    """
+    chunks = write_chunks(code_chunks(df, key, text, tag))
     words = chunks.agg(F.sum("n_words")).first()[0] or 0
     sets = cut_lineage(shared_sets(chunks, words, size, percent))
     drop_chunks(chunks)
@@ -414,16 +418,38 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     release(member)
     of_class = groups.join(linked.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     least = of_class.groupBy("root").agg(F.min("least").alias("component"))
-    named = of_class.join(least, "root").select(*same_set, "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = sets.select("doc_id", *same_set, F.col("tokens").isNotNull().alias("links"), F.pmod("uid", F.lit(SALTS)).cast("int").alias("salt"))
-    found = salted.where("links").join(named, [*same_set, "salt"]).select("doc_id", "n", "component")
-    alone = salted.where(~F.col("links")).select("doc_id", "n", F.col("doc_id").alias("component"))
-    return found.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    named = of_class.join(least, "root").select(*same_set, "component", "root", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = sets.select("doc_id", "tag", *same_set, F.col("tokens").isNotNull().alias("links"), F.pmod("uid", F.lit(SALTS)).cast("int").alias("salt"))
+    found = salted.where("links").join(named, [*same_set, "salt"]).select("doc_id", "tag", "n", "component", "root")
+    alone = salted.where(~F.col("links")).select("doc_id", "tag", "n", F.col("doc_id").alias("component"), F.lit(None).cast("bigint").alias("root"))
+    return found.unionByName(alone)
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``df``: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
+    found = _members(df, key, text, F.lit(0), size, percent)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id is their component's smallest; rows with a null id stay unless they link with another."""
-    found = near_duplicates(df, key, text)
-    gone = found.where(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("doc_id")))
-    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, df[key].eqNullSafe(F.col("_gone")), "left_anti")
+    """Exactly one row of ``df`` of each component: of the rows with its smallest id, null last, the one with the smallest hash of its text.
+
+    A row is known by id and hash of the text, so other texts under its id, or without an
+    id, are judged on their own. Repeated rows are in one component. Texts without a word all stay.
+    """
+    own_hash = F.xxhash64(text_of(text))
+    found = _members(df, key, text, own_hash, SHINGLE, PERCENT).where(F.col("root").isNotNull())
+    texts = cut_lineage(found.groupBy("doc_id", "tag", "component", "root").agg(F.count(F.lit(1)).alias("rows")))
+    first = F.col("doc_id").eqNullSafe(F.col("component"))
+    heads = texts.where(first)
+    least = heads.groupBy("root").agg(F.min("tag").alias("tag"))
+    repeated = cut_lineage(heads.join(least, ["root", "tag"], "left_semi").where(F.col("rows") > 1).select("doc_id", "tag"))
+    gone = texts.where(~first).select("doc_id", "tag").unionByName(heads.join(least, ["root", "tag"], "left_anti").select("doc_id", "tag"))
+    gone = cut_lineage(gone.unionByName(repeated))
+    release(texts)
+    held = df.select(F.struct(*df.columns).alias("row"), F.col(key).cast("bigint").alias("id"), own_hash.alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("tag"))
+    kept = held.join(gone, same, "left_anti").select("row")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(held.join(repeated, same, "left_semi").dropDuplicates(["id", "hash"]).select("row"))
+    return kept.select("row.*")

@@ -85,6 +85,21 @@ def test_one_of_each_component_stays(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 7, 8] and kept.columns == df.columns
 
 
+def test_rows_are_kept_by_id_and_text(spark):
+    some = lambda word: " ".join(f"{word}{i}" for i in range(100))
+    rows = [
+        (1, some("a")), (5, some("a") + " x"), (5, some("b")),  # two texts under id 5, one of which links
+        (None, some("a") + " y"), (None, some("c")),  # two null ids, one of which links with a named document
+        (None, some("d")), (None, some("d") + " z"), (None, some("d")),  # null ids near each other
+        (6, some("e")), (6, some("e")), (7, some("e") + " x"), (8, some("f")), (8, some("f") + " x"),  # repeated rows, near texts of one id
+        (9, None), (9, ""), (None, None),
+    ]
+    df = documents(spark, rows, clashing=True).repartition(3)
+    kept = [(r["doc_id"], (r["text"] or "")[:2]) for r in jaccard.keep_one(df).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, "a0"), (5, "b0"), (None, "c0"), (None, "d0"), (6, "e0"), (8, "f0"), (9, ""), (9, ""), (None, "")], key=repr)
+    assert jaccard.keep_one(df).columns == df.columns
+
+
 @pytest.mark.parametrize("bits, fan", [(1 << 15, 32), (64, 2), (128, 3)])
 def test_tree_search_finds_the_components(monkeypatch, bits, fan):
     monkeypatch.setattr(jaccard, "MAX_BITS", bits)
