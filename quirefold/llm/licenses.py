@@ -11,9 +11,17 @@ A document is aligned with a template only where enough distinct words are in co
 which every alignment above the threshold needs. Texts are scanned in a map without
 a shuffle; templates are a short list that goes to every task.
 
+Templates are whole license texts and header notices (``notices``) and short sentences.
+Of the passages of a template the one with the largest net number of words counts: aligned words
+less words inserted between them and less words of the template that are missing. In
+templates of up to ``HEADER`` words the words that tell versions and families apart
+(numbers, ``MARKS``) must all be aligned, and none may be inserted. Templates whose
+passages overlap compete by net words, so that a header inside a whole license text and
+the near text of another version are not told as licenses of their own.
+
 Defined cases: a null or empty text, or one without a notice, has a null license and
-coverage 0; among templates of equal coverage the longer one wins, then the first name;
-repeated rows are scanned each.
+coverage 0; of several licenses the one with most net words is ``license``, among
+equal ones the first name; repeated rows are scanned each.
 """
 
 from __future__ import annotations
@@ -22,29 +30,42 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from importlib import resources
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import row_slices, text_of
 
 THRESHOLD = 0.85
 
-# Notices that name a license, as they are commonly written.
-TEMPLATES = {
+HEADER = 150
+MARKS = frozenset("affero lesser nc nd sa noncommercial noderivatives noderivs sharealike commercial derivatives share alike".split())
+
+# Sentences that name a license, as they are commonly written.
+SENTENCES = {
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-long": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-    "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "gpl-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-redistribution": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "mit": "Released under the MIT License.",
-    "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+_FAMILIES = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nd": "Attribution-NoDerivatives", "by-nc": "Attribution-NonCommercial", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+SENTENCES |= {f"cc-{k}-4.0{'-long' if k == 'by-nc' else ''}": f"This work is licensed under a Creative Commons {v} 4.0 International License." for k, v in _FAMILIES.items()}
+SENTENCES |= {f"cc-{k}-4.0-short": f"Licensed under CC {k.upper()} 4.0." for k in _FAMILIES if k != "by-nc"}
+
+
+def notices() -> dict[str, str]:
+    """The texts of the folder ``notices`` by name."""
+    files = resources.files(__package__).joinpath("notices").iterdir()
+    return {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in files if f.name.endswith(".txt")}
+
+
+TEMPLATES = SENTENCES | notices()
 
 _WORD = re.compile(r"\w+")
 
@@ -103,9 +124,22 @@ class Template:
         often = sorted(self.distinct.values(), reverse=True)
         self.least = next((i + 1 for i in range(len(often)) if sum(often[: i + 1]) >= self.needed), len(often))
 
-    def best(self, words: list[str]) -> tuple[float, int, int]:
-        """Coverage and the first and last word of the best passage."""
-        size, found = len(self.words), (0.0, 0, -1)
+    def passage(self, words: list[str], a: int, b: int) -> tuple[int, int, int, int]:
+        """Net words, aligned words, first and last word of the passage that is aligned in ``words[a:b]``."""
+        matched = align(words[a:b], self.words)
+        if not matched:
+            return (-len(self.words), 0, a, a - 1)
+        first, last = a + matched[0][0], a + matched[-1][0]
+        if len(self.words) <= HEADER:
+            ours, theirs = {a + x for x, _ in matched}, {y for _, y in matched}
+            told = lambda w: w in MARKS or w.isdecimal()
+            if any(told(w) and i not in theirs for i, w in enumerate(self.words)) or any(told(words[i]) and i not in ours for i in range(first, last + 1)):
+                return (-len(self.words), 0, a, a - 1)
+        return (3 * len(matched) - (last - first + 1) - len(self.words), len(matched), first, last)
+
+    def best(self, words: list[str]) -> tuple[int, int, int, int]:
+        """Net words, aligned words, first and last word of the best passage with enough aligned words."""
+        size, found = len(self.words), (-len(self.words), 0, 0, -1)
         span = 4 * size
         windows = [(s, min(s + span, len(words))) for s in range(0, max(len(words) - span // 2, 1), span // 2)]
         while windows:
@@ -114,11 +148,15 @@ class Template:
             held = Counter(w for w in part if w in self.distinct)
             if sum(min(n, self.distinct[w]) for w, n in held.items()) < self.needed:
                 continue
-            matched = align(part, self.words)
-            coverage = len(matched) / size
-            if matched and (coverage, -(a + matched[0][0])) > (found[0], -found[1]):
-                found = (coverage, a + matched[0][0], a + matched[-1][0])
-            if coverage * size < self.needed and 2 * (b - a) > 3 * size:
+            here = self.passage(words, a, b)
+            _, aligned, first, last = here
+            if aligned and last - first >= aligned:
+                # Chance words before or after a passage: as many words as the template has, from either end.
+                here = max(here, *(self.passage(words, *w) for w in ((max(a, last + 1 - size), last + 1), (first, min(b, first + size)))), key=lambda p: (p[1] >= self.needed, p[0], -p[2]))
+            net, aligned, first, last = here
+            if aligned >= self.needed and (net, -first) > (found[0], -found[2]):
+                found = here
+            if (aligned < self.needed or 2 * (last - first + 1 - aligned) > size) and 2 * (b - a) > 3 * size:
                 half = max((b - a) // 2 + size // 2, size)
                 if half < b - a:
                     windows += [(a, a + half), (b - half, b)]
@@ -129,36 +167,54 @@ class Scanner:
     def __init__(self, templates: dict[str, str], threshold: float):
         self.templates = [Template(n, t, threshold) for n, t in sorted(templates.items())]
         self.templates = [t for t in self.templates if t.words]
-        self.threshold = threshold
 
-    def scan(self, text: str) -> dict:
-        """The best license above the threshold with its coverage and character span."""
+    def scan_all(self, text: str) -> list[dict]:
+        """The licenses above the threshold with coverage and character span, most net words first."""
         lowered = text.lower()
         words = _WORD.findall(lowered)
         known = set(words)
-        best = None
+        passages = []
         for t in self.templates:
-            if sum(w in known for w in t.distinct) < t.least:
+            if len(t.distinct.keys() & known) < t.least:
                 continue
-            coverage, first, last = t.best(words)
-            if coverage >= self.threshold and (best is None or (coverage, len(t.words)) > best[0]):
-                best = ((coverage, len(t.words)), t.name, first, last)
-        if best is None:
-            return {"license": None, "coverage": 0.0, "start": None, "end": None}
-        spans = [m.span() for m in _WORD.finditer(lowered)]
-        return {"license": best[1], "coverage": best[0][0], "start": spans[best[2]][0], "end": spans[best[3]][1]}
+            net, aligned, first, last = t.best(words)
+            if aligned and aligned >= t.needed:
+                passages.append((-net, t.name, aligned / len(t.words), first, last))
+        kept = []
+        for p in sorted(passages):
+            if all(p[4] < q[3] or q[4] < p[3] for q in kept):
+                kept.append(p)
+        spans = [m.span() for m in _WORD.finditer(lowered)] if kept else []
+        return [{"license": name, "coverage": coverage, "start": spans[a][0], "end": spans[b][1]} for _, name, coverage, a, b in kept]
 
+    def scan(self, text: str) -> dict:
+        """The first license of ``scan_all``."""
+        return next(iter(self.scan_all(text)), {"license": None, "coverage": 0.0, "start": None, "end": None})
 
-def scan_documents(df: DataFrame, templates: dict[str, str] = TEMPLATES, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``df``: key, ``license``, ``coverage``, and the span of its words in the lower-cased text."""
+
+FOUND = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
+
+
+def find_licenses(df: DataFrame, templates: dict[str, str] = TEMPLATES, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of ``df``: key and ``licenses``, all that are found with coverage and span of their words in the lower-cased text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, threshold)
         for part in row_slices(batches):
-            found = [scanner.scan(t) for t in part.column(1).to_pylist()]
-            columns = [pa.array([f[c] for f in found], kind) for c, kind in (("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64()))]
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["key", "license", "coverage", "start", "end"])
+            found = [scanner.scan_all(t) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, FOUND)], names=["key", "licenses"])
 
     kind = df.schema[key].dataType.simpleString()
-    scanned = df.select(F.col(key).alias("key"), text_of(text).alias("_text")).mapInArrow(run, f"key {kind}, license string, coverage double, start bigint, end bigint")
-    return scanned.withColumnRenamed("key", key)
+    each = "array<struct<license:string,coverage:double,start:bigint,end:bigint>>"
+    return df.select(F.col(key).alias("key"), text_of(text).alias("_text")).mapInArrow(run, f"key {kind}, licenses {each}").withColumnRenamed("key", key)
+
+
+def first_license(key: str = "doc_id") -> list[Column]:
+    """Columns of ``find_licenses``: the key and the license with most net words."""
+    first = F.get("licenses", F.lit(0))
+    return [F.col(key), first["license"].alias("license"), F.coalesce(first["coverage"], F.lit(0.0)).alias("coverage"), first["start"].alias("start"), first["end"].alias("end")]
+
+
+def scan_documents(df: DataFrame, templates: dict[str, str] = TEMPLATES, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of ``df``: key, ``license``, ``coverage``, and the span of its words in the lower-cased text."""
+    return find_licenses(df, templates, key, text, threshold).select(*first_license(key))

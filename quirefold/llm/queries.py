@@ -194,4 +194,4 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 @query
 def op9_patience_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+    return licenses.find_licenses(table(spark, sf_dir, "documents")).select(*licenses.first_license("doc_id"), "licenses")

@@ -69,3 +69,28 @@ def test_tables(spark):
     assert len(found) == len(rows)
     assert [r for r in found if r[1]] == [(20, "mit", 1.0, 2, 32)] * 2
     assert licenses.scan_documents(documents(spark, [])).count() == 0
+
+
+def names(text):
+    return [f["license"] for f in licenses.Scanner(licenses.TEMPLATES, licenses.THRESHOLD).scan_all(text)]
+
+
+def test_versions_and_families_are_told_apart():
+    for version, expected in ((1, []), (2, ["gpl-2.0"]), (3, ["gpl-3.0"])):
+        assert names(f"x This work is licensed under the GNU General Public License, version {version}. x") == expected
+    for family, expected in (("BY", "cc-by-4.0-short"), ("BY-SA", "cc-by-sa-4.0-short"), ("BY-NC", "cc-by-nc-4.0"), ("BY-NC-ND", "cc-by-nc-nd-4.0-short")):
+        assert names(f"Licensed under CC {family} 4.0.") == [expected]
+    assert names("Licensed under CC BY-NC 3.0.") == []
+    for name in ("lgpl-2.1-header", "agpl-3.0-header", "gpl-2.0-header", "lgpl-3.0-text", "agpl-3.0-text", "gpl-3.0-text", "bsd-2-clause-text", "bsd-3-clause-text", "isc-text", "zlib-text"):
+        assert names(prose(1, 50) + "\n" + licenses.TEMPLATES[name] + prose(2, 50)) == [name]
+
+
+def test_a_part_of_a_license_is_not_the_license():
+    whole = licenses.TEMPLATES["mit-permission"]
+    assert names(whole) == ["mit-permission"] and names(whole[: len(whole) // 2]) == []
+
+
+def test_two_licenses(spark):
+    text = prose(1, 90) + licenses.TEMPLATES["isc-text"] + prose(2, 90) + " Licensed under CC BY-SA 4.0. " + prose(3, 90)
+    found = licenses.find_licenses(documents(spark, [(1, text), (2, None)])).collect()
+    assert [[f["license"] for f in r["licenses"]] for r in sorted(found)] == [["isc-text", "cc-by-sa-4.0-short"], []]
