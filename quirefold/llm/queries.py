@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import bpe, chat, impacts, interpolation, jaccard, licenses, packing, quality, repeats, toxicity
+from quirefold.llm import bpe, chat, impacts, interpolation, jaccard, licenses, packing, pieces, quality, repeats, toxicity
 from quirefold.llm.common import crc_fold, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +195,14 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 @query
 def op9_patience_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(table(spark, sf_dir, "documents")).select(*licenses.first_license("doc_id"), "licenses")
+
+
+@query
+def op11_piece_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode_texts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
