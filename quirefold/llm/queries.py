@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import bpe, chat, impacts, interpolation, jaccard, licenses, packing, pieces, quality, repeats, toxicity
+from quirefold.llm import bpe, chat, impacts, interpolation, jaccard, licenses, packing, pieces, quality, repeats, spelling, toxicity
 from quirefold.llm.common import crc_fold, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,3 +206,44 @@ def op11_piece_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(table(spark, sf_dir, "documents"), drop_every=199)
+    return spelling.group_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+ORACLE["op12_spelling_variants"] = r"""
+WITH crc AS (
+  SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i))
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run
+  FROM documents
+), counted AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS said, run, count(*) AS n FROM runs WHERE length(run) > 5 GROUP BY ALL
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_transform(range(strlen(said)), lambda i: ('0x' || substr(hex(encode(said)), 2 * i + 1, 2))::BIGINT),
+    lambda h, b: xor(h >> 8, tab[(xor(h, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM counted, crc
+), typed AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+), words AS (SELECT word, sum(n)::BIGINT AS n FROM typed WHERE length(word) > 5 GROUP BY word HAVING sum(n) >= 5
+), cut AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM words, unnest(range(length(word))) u(i)
+), pairs AS (
+  SELECT x.word AS word, y.word AS near FROM cut x JOIN cut y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION SELECT x.word, w.word FROM cut x JOIN words w ON x.rest = w.word
+  UNION SELECT w.word, x.word FROM cut x JOIN words w ON x.rest = w.word
+), ranked AS (
+  SELECT p.word, p.near, w.n AS near_n, count(*) OVER (PARTITION BY p.word) AS n_near,
+    row_number() OVER (PARTITION BY p.word ORDER BY w.n DESC, p.near) AS k FROM pairs p JOIN words w ON p.near = w.word
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form,
+    CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n FROM words w LEFT JOIN ranked r ON w.word = r.word AND k = 1
+), steps AS (
+  WITH RECURSIVE chain(word, spot, next) AS (
+    SELECT word, word, form FROM formed UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON c.next = f.word
+  ) SELECT word, spot AS root FROM chain WHERE next IS NULL
+)
+SELECT f.word, n, n_near, form, form_n, root FROM formed f JOIN steps s ON f.word = s.word
+"""
