@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import bpe, chat, impacts, interpolation, jaccard, licenses, packing, pieces, quality, repeats, spelling, toxicity
+from quirefold.llm import bpe, chat, filters, impacts, interpolation, jaccard, licenses, packing, pieces, quality, repeats, spelling, toxicity
 from quirefold.llm.common import crc_fold, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -247,3 +247,43 @@ WITH crc AS (
 )
 SELECT f.word, n, n_near, form, form_n, root FROM formed f JOIN steps s ON f.word = s.word
 """
+
+
+@query
+def op13_survival_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op13_survival_words"] = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), firsts AS (SELECT t, min(doc_id) AS earliest FROM texts GROUP BY t
+), failed AS (
+  SELECT part, doc_id, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > earliest, false)::INT AS f
+  FROM texts JOIN firsts USING (t)
+), marks AS (SELECT doc_id, max((quality = 1)::INT) AS quality, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), counts AS (
+  SELECT part, f, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS bad
+  FROM failed LEFT JOIN marks USING (doc_id) GROUP BY part, f
+), letters(name, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+    AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31
+), steps AS (
+  SELECT filter_order, step::INT AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS gone FROM orders, range(1, 6) r(step)
+), stepped AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (f & (gone | bit) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (f & gone = 0 AND f & bit <> 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (f & gone <> 0 AND f & bit <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (f = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (f & gone = 0 AND f & bit <> 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(bad) FILTER (f & gone = 0 AND f & bit <> 0), 0)::BIGINT AS toxic_lost
+  FROM counts, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM stepped
+"""
