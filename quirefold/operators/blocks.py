@@ -158,8 +158,10 @@ def top_k(
     # One value for key and slice: rows that are already dealt by the key alone would
     # else count as dealt by key and slice and stay in one task.
     sliced = sliced.withColumn("_deal", F.struct(*keys, "_slice"))
-    for partition in (["_deal"], [*keys]):
+    # Its hash comes first, since a sort by a number is quicker than one by a struct.
+    sliced = sliced.withColumn("_sign", F.xxhash64(*keys, "_slice"))
+    for partition in (["_sign", "_deal"], [*keys]):
         window = Window.partitionBy(*partition).orderBy(*order)
         sliced = sliced.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k_max)
-    ranked = sliced.drop("_slice", "_deal")
+    ranked = sliced.drop("_slice", "_deal", "_sign")
     return ranked if k is None else ranked.where(F.col(rank) <= F.greatest(F.lit(0), k))

@@ -8,6 +8,7 @@ hits by ``ordinal, document_id``; scored hits by ``score desc, document_id, ordi
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions.text import trim_unicode
 from quirefold.operators.blocks import top_k
+from quirefold.operators.grams import gram_code, gram_counts, rarest_gram, with_grams
 from quirefold.operators.queries import for_each_slice
 
 # Default weights of the two hit lists, and the app's candidates per list.
@@ -25,10 +27,12 @@ VECTOR_WEIGHT = 0.6
 DEFAULT_LIMIT = 30
 
 CHUNK_KEY = ["document_id", "ordinal"]
+# Name of the stored lower-cased text of a chunk.
+SEARCH_TEXT = "text_lc"
 KEYWORD_ORDER = ["ordinal", "document_id"]
 
-# Most keyword rows tested in one pass, and most query vectors held by a task.
-INLINE_KEYWORDS = 512
+# Most keyword rows looked up in one pass, and most query vectors held by a task.
+INLINE_KEYWORDS = 1 << 18
 INLINE_VECTORS = 4096
 # Hit lists up to this many rows are broadcast; longer ones are shuffled.
 BROADCAST_HITS = 200_000
@@ -37,6 +41,8 @@ BROADCAST_HITS = 200_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+ASKED = "array<struct<query_id:bigint,k:int>>"
+
 
 def normalize_keyword(keyword: Column) -> Column:
     return F.lower(trim_unicode(keyword))
@@ -64,14 +70,24 @@ def _prepared(text: Column, mode: str) -> Column:
     return fold_ascii(text) if mode == "like" else F.lower(text)
 
 
-def keyword_filter(chunks: DataFrame, keyword: str, text_lc: str | None = None) -> DataFrame:
+def _search_text(chunks: DataFrame, mode: str = "contains") -> Column:
+    """The text that keywords are looked up in: the stored one where a row has it."""
+    folded = _prepared(F.col("text"), mode)
+    return F.coalesce(SEARCH_TEXT, folded) if mode != "like" and SEARCH_TEXT in chunks.columns else folded
+
+
+def keyword_filter(chunks: DataFrame, keyword: str) -> DataFrame:
     """Chunks whose lower-cased text holds the keyword; a blank keyword finds nothing.
 
-    With a stored lower-cased column named by ``text_lc`` the test reaches the scan.
+    Over a table with the stored lower-cased text the test reaches the scan. Rows of files from
+    before that column have null there; they pass the scan and are tested by their text.
     """
     wanted = normalize_keyword(F.lit(keyword))
-    text = F.col(text_lc) if text_lc else F.lower("text")
-    return chunks.where((wanted != "") & F.contains(text, wanted))
+    holds = F.contains(_search_text(chunks), wanted)
+    if SEARCH_TEXT in chunks.columns:
+        # Names the stored column only, and so can be pushed down.
+        holds = (F.contains(F.col(SEARCH_TEXT), wanted) | F.col(SEARCH_TEXT).isNull()) & holds
+    return chunks.where((wanted != "") & holds)
 
 
 def keyword_like(chunks: DataFrame, keyword: str) -> DataFrame:
@@ -86,32 +102,57 @@ def keyword_topk(chunks: DataFrame, keyword: str, limit: int = DEFAULT_LIMIT, mo
     return hits.orderBy(*KEYWORD_ORDER).limit(max(0, limit))
 
 
+def _wildcard_matches(folded: DataFrame, terms: list[dict], mode: str) -> DataFrame:
+    """Hits of keywords that hold wildcards only, tested inside each row."""
+    listed = F.from_json(F.lit(json.dumps(terms)), f"array<struct<keyword:string,queries:{ASKED}>>")
+    hits = F.filter(listed, lambda term: _match(F.col("_text"), term["keyword"], mode))
+    return folded.select(*CHUNK_KEY, F.explode(F.flatten(F.transform(hits, lambda term: term["queries"]))).alias("_query"))
+
+
 def keyword_matches(
     chunks: DataFrame, queries: DataFrame, mode: str = "contains", bound: int = INLINE_KEYWORDS
 ) -> DataFrame:
     """All (query, chunk) hits of a query table: ``(query_id, k, document_id, ordinal)``.
 
-    Each chunk meets the distinct keywords of a slice inside its own row, so the text
-    is read once per slice and never shuffled; queries that share a keyword share
-    its test.
+    Every keyword is looked up by one of its n-grams. The n-grams of a chunk meet the keywords'
+    in a broadcast equi-join, and what meets is tested by the exact rule inside the same row,
+    unless the n-gram is the keyword itself. So the text is read once for all keywords of a
+    slice and never shuffled, and the work grows with the text and the candidates, not with
+    chunks times keywords. Which n-gram stands for a keyword is a matter of speed only
+    (``rarest_gram``). Keywords of wildcards alone are tested in a pass of their own.
     """
+    keyword = normalize_keyword(F.col("keyword"))
     wanted = queries.select(
-        F.col("query_id").cast("long"), normalize_keyword(F.col("keyword")).alias("keyword"), F.col("k").cast("int")
+        F.col("query_id").cast("long"), keyword.alias("keyword"), F.col("k").cast("int"),
+        (fold_ascii(keyword) if mode == "like" else keyword).alias("folded"),
     ).where(F.col("keyword") != "")
+    folded = chunks.select(*CHUNK_KEY, _search_text(chunks, mode).alias("_text"))
 
     def run(rows) -> DataFrame:
-        asked: dict[str, list] = {}
+        counts = gram_counts(folded, "_text") if rows else None
+        asked: dict[str, tuple] = {}
         for row in rows:
-            asked.setdefault(row["keyword"], []).append({"query_id": row["query_id"], "k": row["k"]})
-        listed = [{"keyword": keyword, "queries": members} for keyword, members in asked.items()]
-        # One constant, which the optimizer evaluates once.
-        terms = F.from_json(F.lit(json.dumps(listed)), "array<struct<keyword:string,queries:array<struct<query_id:bigint,k:int>>>>")
-        folded = chunks.select(*CHUNK_KEY, _prepared(F.col("text"), mode).alias("_text"))
-        hits = F.filter(terms, lambda term: _match(F.col("_text"), term["keyword"], mode))
-        found = folded.select(*CHUNK_KEY, F.explode(F.flatten(F.transform(hits, lambda term: term["queries"]))).alias("_query"))
-        return found.select("_query.query_id", "_query.k", *CHUNK_KEY)
-
-    return for_each_slice(wanted, bound, run, F.octet_length("keyword"))
+            if row["keyword"] not in asked:
+                gram = rarest_gram(literal_runs(row["folded"], mode), counts)
+                asked[row["keyword"]] = (gram, gram is not None and gram.decode("utf-8", "replace") == row["folded"], [])
+            asked[row["keyword"]][2].append({"query_id": row["query_id"], "k": row["k"]})
+        terms = [(gram_code(gram), word, whole, members) for word, (gram, whole, members) in asked.items() if gram]
+        known = F.broadcast(chunks.sparkSession.createDataFrame(terms, f"_gram int, keyword string, whole boolean, queries {ASKED}"))
+        held = with_grams(folded, "_text", (gram for gram, _, _ in asked.values() if gram))
+        met = held.select(*CHUNK_KEY, "_text", F.explode("_grams").alias("_gram")).join(known, "_gram")
+        found = met.where(F.when(F.col("whole"), True).otherwise(_match(F.col("_text"), F.col("keyword"), mode)))
+        hits = found.select(*CHUNK_KEY, F.explode("queries").alias("_query"))
+        bare = [{"keyword": word, "queries": members} for word, (gram, _, members) in asked.items() if gram is None]
+        if bare:
+            hits = hits.unionByName(_wildcard_matches(folded, bare, mode))
+        return hits.select("_query.query_id", "_query.k", *CHUNK_KEY)
+
+    return for_each_slice(wanted, bound, run, 2 * F.octet_length("keyword"))
+
+
+def literal_runs(keyword: str, mode: str) -> list[str]:
+    """The parts of a keyword that a matching text must hold as they are."""
+    return [run for run in re.split("[%_]", keyword) if run] if mode == "like" else [keyword]
 
 
 def largest_k(queries: DataFrame) -> int:

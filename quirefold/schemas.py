@@ -10,6 +10,8 @@ CHUNKS = T.StructType([
     T.StructField("source_page_index", T.IntegerType(), True),
     T.StructField("created_at", T.TimestampType(), False),
     T.StructField("updated_at", T.TimestampType(), False),
+    # The text in lower case, for searching; null in files from before the column.
+    T.StructField("text_lc", T.StringType(), True),
 ])
 
 SECTIONS = T.StructType([
@@ -30,18 +32,5 @@ DOCUMENTS = T.StructType([
     T.StructField("imported_at", T.TimestampType(), False),
 ])
 
-JOB_EVENTS = T.StructType([
-    T.StructField("job_id", T.LongType(), False),
-    T.StructField("seq", T.LongType(), False),
-    T.StructField("status", T.StringType(), False),
-    T.StructField("progress", T.DoubleType(), False),
-])
-
-MANIFEST = T.StructType([
-    T.StructField("model_id", T.StringType(), False),
-    T.StructField("sha256", T.StringType(), False),
-    T.StructField("bytes", T.LongType(), True),
-])
-
 # The two kinds of source document.
 SOURCE_TYPES = ("markdown", "pdf")

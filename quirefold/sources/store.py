@@ -78,6 +78,9 @@ class CorpusStore:
 
     def _write(self, df: DataFrame, table: str, mode: str) -> None:
         columns = [f.name for f in SCHEMAS[table]] + PARTITION
+        if table == "chunks":
+            # Written with every row, so a row of an old file gets it as soon as it is written again.
+            df = df.withColumn("text_lc", F.lower("text"))
         # Rebalancing splits a crowded partition over several tasks and files.
         (
             df.select(*columns).hint("rebalance", *PARTITION).write.mode(mode)
@@ -145,13 +148,13 @@ class CorpusStore:
             conflict = self._conflicts(self._filed(documents, "chunks"), "chunks", [*PARTITION, "document_id"])
         fresh = filed if conflict is None else filed.where(~conflict)
         if conflict is not None:
-            old = self._stored("chunks").where(conflict)
+            old = self._stored("chunks").where(conflict).drop("text_lc")
             merged = self._filed(upsert_chunks(old, filed.where(conflict), position, now), "chunks")
             self._overwrite(old, merged, "chunks")
         if unique:
             fresh = fresh.withColumn("created_at", now).withColumn("updated_at", now)
         else:
-            fresh = upsert_chunks(self._stored("chunks").limit(0), fresh, position, now)
+            fresh = upsert_chunks(self._stored("chunks").limit(0).drop("text_lc"), fresh, position, now)
         self._write(fresh, "chunks", "append")
 
     def upsert_documents(self, batch: DataFrame, sections: DataFrame, position: str = "position") -> None:

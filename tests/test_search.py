@@ -1,11 +1,14 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quirefold.operators import grams as G
 from quirefold.operators import search as S
 from quirefold.plans.retrieval import keyword_search_with_sections, search_many
+from quirefold.sources.store import CorpusStore
 
 WORDS = ["silver", "Copper", "iron", "Été", "100%", "a_b", "back\\slash", "tin"]
 
@@ -139,13 +142,69 @@ def test_stub(spark, chunks):
     assert {r[0]: r[1] for r in many.collect()} == {1: 30, 2: 5, 5: 4}
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_keyword_reaches_the_scan(spark, chunks, tmp_path):
-    chunks.withColumn("text_lc", F.lower("text")).write.parquet(str(tmp_path / "c"))
-    stored = spark.read.parquet(str(tmp_path / "c"))
-    plan = S.keyword_filter(stored, "Iron", text_lc="text_lc")._jdf.queryExecution().executedPlan().toString()
-    assert "StringContains(text_lc,iron)" in plan
-    top = S.keyword_topk(stored, "iron", 5)._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" in top
+    """Over the store the test is pushed down; rows of files without the stored text are found as well."""
+    store = CorpusStore(spark, str(tmp_path / "s"), buckets=2)
+    rows = chunks.select(
+        F.concat_ws("-", "document_id", "ordinal").alias("chunk_id"), F.col("document_id").cast("string"), "ordinal", "text",
+        "source_page_index", F.lit("w").alias("workspace_id"), F.lit(0).cast("long").alias("position"),
+    )
+    store.upsert_chunks(rows.where("document_id % 2 = 0"))
+    now = F.current_timestamp()
+    old = store._filed(rows.where("document_id % 2 = 1"), "chunks").withColumn("created_at", now).withColumn("updated_at", now)
+    old.drop("position").write.mode("append").partitionBy("workspace_id", "bucket").parquet(str(tmp_path / "s" / "chunks"))
+    stored = store.table("chunks", "w")
+    assert {r[0] for r in stored.groupBy(F.col("text_lc").isNull()).count().collect()} == {True, False}
+    for keyword in ("Iron", "ÉTÉ", "%", "", "r s"):
+        found = {(int(r["document_id"]), r["ordinal"]) for r in S.keyword_filter(stored, keyword).collect()}
+        assert found == {(r["document_id"], r["ordinal"]) for r in S.keyword_filter(chunks, keyword).collect()}, keyword
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    plan = plan_of(S.keyword_filter(stored, "Iron"))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "StringContains(text_lc,iron)" in plan.split("PushedFilters")[1]
+    queries = spark.createDataFrame([(1, "Iron", 999), (2, "été", 999)], "query_id long, keyword string, k int")
+    many = S.keyword_topk_many(stored, queries).groupBy("query_id").count().collect()
+    assert {r[0]: r[1] for r in many} == {i: S.keyword_filter(chunks, w).count() for i, w in ((1, "iron"), (2, "été"))}
+    assert "TakeOrderedAndProject" in plan_of(S.keyword_topk(stored, "iron", 5))
+
+
+def test_thousands_of_keywords_in_one_scan(spark, tmp_path):
+    rng = random.Random(4)
+    texts = [(d, 0, " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7))) for _ in range(12))) for d in range(60)]
+    words = sorted({"".join(rng.choice("abcdeé ") for _ in range(rng.randint(1, 6))) for _ in range(5000)} - {""})
+    spark.createDataFrame(texts, "document_id long, ordinal int, text string").write.parquet(str(tmp_path / "c"))
+    chunks = spark.read.parquet(str(tmp_path / "c"))
+    queries = spark.createDataFrame([(i, w, 1000) for i, w in enumerate(words)], "query_id long, keyword string, k int")
+    found = S.keyword_matches(chunks, queries)
+    plan = plan_of(found)
+    assert plan.count("FileScan parquet") == 1 and "BroadcastHashJoin" in plan and "CartesianProduct" not in plan
+    expected = {(i, d) for i, w in enumerate(words) for d, _, t in texts if w.strip() and w.strip() in t}
+    assert {(r["query_id"], r["document_id"]) for r in found.collect()} == expected
+    assert found.count() == len(expected)
+
+
+@pytest.mark.parametrize("keyword, held", [("é", b"\xc3\xa9"), ("a", b"a"), ("zzz", b"zzz"), ("", None)])
+def test_short_keywords_are_their_own_gram(keyword, held):
+    assert G.rarest_gram([keyword], Counter()) == held
+
+
+def test_rarest_gram_of_a_keyword(spark):
+    counts = G.gram_counts(spark.createDataFrame([("the theme",), ("them",), (None,)], "t string"), "t")
+    assert counts[b"the"] == 2 and G.rarest_gram(["them"], counts) == b"hem"
+    assert S.literal_runs("a%the_x", "like") == ["a", "the", "x"] and S.literal_runs("%_", "like") == []
+
+
+def test_grams_of_rows(spark):
+    texts = [(1, "abcabc"), (2, None), (3, ""), (4, "xbc"), (5, "ab"), (6, "c"), (7, "é")]
+    df = spark.createDataFrame(texts, "i int, t string").coalesce(1)
+    found = G.with_grams(df, "t", [b"abc", b"bc", b"c", "é".encode(), b"cab"])
+    names = {G.gram_code(g): g for g in (b"abc", b"bc", b"c", "é".encode(), b"cab")}
+    got = {r["i"]: {names[g] for g in r["_grams"]} for r in found.collect()}
+    assert got == {1: {b"abc", b"bc", b"c", b"cab"}, 2: set(), 3: set(), 4: {b"bc", b"c"}, 5: set(), 6: {b"c"}, 7: {"é".encode()}}
 
 
 def test_no_list_is_cut_below_its_k(spark):
