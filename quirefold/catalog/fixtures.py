@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.functions import report as R
 from quirefold.functions.report import clamp_progress
 from quirefold.operators import chunking as C
+from quirefold.operators.jobs import REPARSE_PROGRESS, state_progress
 from quirefold.session import cut_lineage
 
 EPOCH = 1704067200  # 2024-01-01 in seconds
@@ -156,17 +158,31 @@ JOB_STATUS = {"view": "queued", "signup": "queued", "click": "parsing", "purchas
 JOB_PROGRESS = {"queued": 0.0, "parsing": 0.2, "indexed": 1.0, "failed": 1.0}
 
 
+def event_time() -> Column:
+    """A time for each event, a minute apart."""
+    return F.timestamp_seconds(F.lit(EPOCH) + F.col("event_id") * 60)
+
+
 def as_job_events(events: DataFrame) -> DataFrame:
-    """Events as import-job events; ``user_id`` is the job."""
+    """Events as import-job events with their texts; ``user_id`` is the job."""
     status = F.lit(None).cast("string")
     for kind, name in JOB_STATUS.items():
         status = F.when(F.col("event_type") == kind, F.lit(name)).otherwise(status)
     progress = F.lit(None).cast("double")
     for name, value in JOB_PROGRESS.items():
         progress = F.when(status == name, F.lit(value)).otherwise(progress)
+    number = F.col("user_id").cast("string")
+    path = F.concat(F.lit("in/"), number, F.lit(".md"))
+    message = (
+        F.when(status == "queued", F.lit(R.QUEUED))
+        .when(status == "parsing", R.parsing_message(path))
+        .when(status == "indexed", R.import_message(F.col("event_id") % 40, F.col("event_id") % 3))
+        .otherwise(F.lit(C.EMPTY_MARKDOWN))
+    )
     return events.select(
         F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), status.alias("status"),
-        clamp_progress(progress).alias("progress"),
+        clamp_progress(progress).alias("progress"), message.alias("message"),
+        F.concat(F.lit("Document "), number).alias("document_title"), path.alias("source_path"), event_time().alias("created_at"),
     )
 
 
@@ -189,16 +205,29 @@ def admission_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reparse_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as re-parse jobs of the document ``user_id``."""
+    """Events as re-parse jobs of the document ``user_id``; each job was given up to three pages, one of them twice."""
     status = (
         F.when(F.col("event_type") == "click", F.lit("running"))
         .when(F.col("event_type") == "purchase", F.lit("completed"))
         .when(F.col("event_type") == "error", F.lit("failed"))
         .otherwise(F.lit("queued"))
     )
+    message = (
+        F.when(status == "queued", F.lit(R.QUEUED)).when(status == "running", F.lit(R.REPARSING))
+        .when(status == "completed", R.reparse_message(F.col("event_id") % 4, F.col("event_id") % 3)).otherwise(F.lit(C.NO_PAGE_TEXT))
+    )
+    given = F.array(*((F.col("event_id") % n).cast("int") for n in (5, 3, 5)))
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("document_id"), F.col("event_id").alias("job_id"), status.alias("status"),
-        F.col("ts").alias("created_at"),
+        F.col("ts").alias("created_at"), state_progress(status, REPARSE_PROGRESS).alias("progress"), message.alias("message"),
+        given.alias("page_indices"),
+    )
+
+
+def reparse_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events other than purchases and errors as requests to parse the document ``user_id`` again."""
+    return table(spark, sf_dir, "events").where(~F.col("event_type").isin("purchase", "error")).select(
+        F.col("user_id").cast("string").alias("document_id"), F.col("event_id").alias("seq")
     )
 
 

@@ -153,11 +153,30 @@ CTE["nodes"] = """SELECT document_id || '/root' AS node_id,
 
 _CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in JOB_STATUS.items())
 _PROGRESS = " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in JOB_PROGRESS.items())
-CTE["jobs"] = f"""SELECT *, CASE status {_PROGRESS} END AS progress FROM (
+CTE["jobs"] = f"""SELECT *, CASE status {_PROGRESS} END AS progress, 'Document ' || job_id AS document_title, 'in/' || job_id || '.md' AS source_path,
+  {EPOCH} + seq * 60 AS created, CASE status WHEN 'queued' THEN 'Queued' WHEN 'parsing' THEN 'Parsing ' || job_id || '.md'
+    WHEN 'indexed' THEN 'Indexed ' || seq % 40 || ' chunks' || CASE WHEN seq % 3 > 0 THEN ' (' || seq % 3 || ' pages flagged for VLM fallback)' ELSE '' END
+    ELSE 'Empty markdown document' END AS message FROM (
   SELECT user_id AS job_id, event_id AS seq, CASE event_type {_CASES} END AS status FROM events)"""
 
-CTE["rjobs"] = """SELECT user_id AS document_id, event_id AS job_id, ts, CASE event_type WHEN 'click' THEN 'running'
-  WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'queued' END AS status FROM events"""
+CTE["rjobs"] = """SELECT *, CASE status WHEN 'queued' THEN 0.0::DOUBLE WHEN 'running' THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END AS progress,
+  CASE status WHEN 'queued' THEN 'Queued' WHEN 'running' THEN 'Re-parsing PDF' WHEN 'failed' THEN 'PDF has no extractable text'
+    ELSE 'Resolved ' || job_id % 4 || ', remaining ' || job_id % 3 END AS message,
+  list_sort(list_distinct([job_id % 5, job_id % 3])) AS given FROM (
+  SELECT user_id AS document_id, event_id AS job_id, ts, CASE event_type WHEN 'click' THEN 'running'
+  WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'queued' END AS status FROM events)"""
+
+CTE["requests"] = """SELECT user_id AS document_id, min(event_id) FILTER (event_id % 2 = 0) AS first0, min(event_id) FILTER (event_id % 2 = 1) AS first1
+  FROM events WHERE event_type NOT IN ('purchase', 'error') GROUP BY 1"""
+
+CTE["legible"] = "SELECT document_id, bool_or(text <> '') AS readable FROM pages2 GROUP BY 1"
+
+# Both micro-batches of a document: the pages before the first, between them and after the second.
+CTE["runs"] = """SELECT *, CASE WHEN first0 IS NOT NULL AND readable THEN left_over ELSE pages END AS between FROM (
+  SELECT r.*, first0, first1, readable, list_filter(pages, lambda p: NOT list_contains(resolved, p)) AS left_over
+  FROM resolved r JOIN requests USING (document_id) JOIN legible USING (document_id))"""
+
+CTE["newest"] = "SELECT document_id, unnest(arg_max({'s': status, 'p': progress, 'm': message, 'g': given}, (ts, job_id))) FROM rjobs GROUP BY 1"
 
 CTE["latest"] = "SELECT document_id, arg_max(job_id, (ts, job_id)) AS job_id, arg_max(status, (ts, job_id)) AS status FROM rjobs GROUP BY 1"
 
@@ -214,7 +233,7 @@ _NEEDS = {
     "resolved": ["recs", "still"], "applied": ["resolved"], "compared": ["applied"], "ratios": ["compared"], "queries": [],
     "kwhits": ["queries", "chunks"], "vechits": ["queries"], "fused": ["kwhits", "vechits"], "hybrid": ["fused", "queries"],
     "ordered": ["recs"], "recent": ["ordered"], "some_sections": ["sections", "docs"], "nodes": ["ordered", "some_sections"], "jobs": [], "rjobs": [],
-    "latest": ["rjobs"], "files": [], "corpus": ["files"], "mdlines": ["md"], "sk": ["mdlines"], "parents": ["sk"],
+    "latest": ["rjobs"], "newest": ["rjobs"], "requests": [], "legible": ["pages2"], "runs": ["resolved", "requests", "legible"], "files": [], "corpus": ["files"], "mdlines": ["md"], "sk": ["mdlines"], "parents": ["sk"],
     "siblings": ["parents"], "paths": ["siblings"], "content": ["mdlines"], "content2": ["mdlines"],
     "tree": ["paths", "sk", "content"], "answers": ["tree"],
 }
@@ -415,13 +434,32 @@ FROM compared LEFT JOIN {_COUNTS} c USING (document_id)""", "compared", "chunks"
 # --- jobs --------------------------------------------------------------------
 
 ORACLE["job_snapshot"] = sql(
-    "SELECT job_id, arg_max(status, seq) AS status, arg_max(progress, seq) AS progress, min(seq) AS enqueued, max(seq) AS updated FROM jobs GROUP BY 1", "jobs")
+    """SELECT job_id, arg_max(status, seq) AS status, arg_max(progress, seq) AS progress, arg_max(message, seq) AS message,
+  arg_min(document_title, seq) AS document_title, arg_min(source_path, seq) AS source_path, arg_min(created, seq) AS created,
+  min(seq) AS enqueued, max(seq) AS updated FROM jobs GROUP BY 1""", "jobs")
 ORACLE["job_snapshot_stream"] = ORACLE["job_snapshot"]
 ORACLE["admit_reparse"] = """SELECT document_id, seq, low AND coalesce(previous = 'finish', true) AS admitted FROM (
   SELECT *, lag(kind) OVER (PARTITION BY document_id ORDER BY seq) AS previous FROM (
   SELECT user_id AS document_id, event_id AS seq, user_id % 7 <> 0 AS low,
     CASE WHEN event_type IN ('purchase', 'error') THEN 'finish' ELSE 'enqueue' END AS kind FROM events)) WHERE kind = 'enqueue'"""
 ORACLE["admit_reparse_stream"] = ORACLE["admit_reparse"]
+_RUN = """SELECT document_id || ':' || {seq} AS job_id, document_id::VARCHAR AS document_id, title AS document_title, source_path, to_json({before})::VARCHAR AS pages,
+  CASE WHEN readable THEN 'completed' ELSE 'failed' END AS status, 1.0::DOUBLE AS progress,
+  CASE WHEN readable THEN 'Resolved ' || len({before}) - len(left_over) || ', remaining ' || len(left_over) ELSE 'PDF has no extractable text' END AS message,
+  {at}::BIGINT AS created, to_json(after)::VARCHAR AS low_pages, stored::BIGINT AS imported FROM final WHERE {seq} IS NOT NULL AND len({before}) > 0"""
+CTE["final"] = f"""SELECT *, CASE WHEN readable AND (first0 IS NOT NULL OR first1 IS NOT NULL) THEN left_over ELSE pages END AS after,
+  CASE WHEN NOT readable THEN imported WHEN first1 IS NOT NULL AND len(between) > 0 THEN {EPOCH + 10**8 + 1}
+    WHEN first0 IS NOT NULL AND len(pages) > 0 THEN {EPOCH + 10**8} ELSE imported END AS stored FROM runs"""
+_NEEDS["final"] = ["runs"]
+ORACLE["reparse_job"] = sql(
+    _RUN.format(seq="first0", before="pages", at=EPOCH + 10**8) + "\nUNION ALL " + _RUN.format(seq="first1", before="between", at=EPOCH + 10**8 + 1), "final")
+ORACLE["job_comparison"] = sql(
+    """SELECT document_id, s AS status, p AS progress, m AS message, greatest(len(g), len(pages))::BIGINT AS before_count, len(pages)::BIGINT AS after_count,
+  greatest(0, greatest(len(g), len(pages)) - len(pages))::BIGINT AS resolved_count,
+  round(greatest(0, greatest(len(g), len(pages)) - len(pages)) / greatest(len(g), len(pages))::DOUBLE, 6) AS resolved_ratio,
+  to_json(g)::VARCHAR AS before_pages, to_json(pages)::VARCHAR AS after_pages,
+  to_json(list_filter(g, lambda x: NOT list_contains(pages, x)))::VARCHAR AS resolved_pages FROM recs JOIN newest USING (document_id)""", "recs", "newest")
+ORACLE["keyword_filter_stored"] = ORACLE["keyword_filter"]
 ORACLE["import_outcomes"] = sql(
     f"""SELECT source_path, CASE WHEN reason IS NULL THEN 'indexed' ELSE 'failed' END AS status, 1.0::DOUBLE AS progress,
   coalesce(reason, 'Indexed ' || len({pack('text')}) || ' chunks') AS message FROM (
@@ -448,6 +486,11 @@ _USER = f"'Section: ' || topic || {LF} || 'Text:' || {LF} || {trim('content')} |
 ORACLE["refine_prompts"] = sql(
     f"""SELECT document_id, node_id, '{DEFAULT_SYSTEM_PROMPT}' AS system_prompt, {_USER} AS user_prompt, '{DEFAULT_SCHEMA_NAME}' AS schema_name
 FROM tree WHERE {trim('content')} <> ''""", "tree")
+ORACLE["refine_prompts_cut"] = sql(
+    f"""SELECT document_id, node_id, unnest(range(len(ps)))::BIGINT AS piece_index, '{DEFAULT_SYSTEM_PROMPT}' AS system_prompt,
+  'Section: ' || topic || {LF} || 'Text:' || {LF} || unnest(ps) || {LF} || {LF} || 'List the key points of this section as child nodes.' AS user_prompt,
+  '{DEFAULT_SCHEMA_NAME}' AS schema_name FROM (
+  SELECT document_id, node_id, topic, {pack('t', 300)} AS ps FROM (SELECT document_id, node_id, topic, {trim('content')} AS t FROM tree) WHERE t <> '')""", "tree")
 ORACLE["attach_children"] = sql(
     """SELECT document_id, node_id || '/1' AS node_id, node_id AS parent_id, level + 1 AS level, child AS topic, '["one","two"]' AS details FROM answers WHERE node_index % 4 <> 3
 UNION ALL SELECT document_id, node_id || '/2', node_id, level + 1, 'more', '[]' FROM answers WHERE node_index % 4 <> 3""", "answers")

@@ -19,7 +19,9 @@ from quirefold.operators import audit, jobs, layout, outline, reparse, search, u
 from quirefold.operators import chunking as C
 from quirefold.operators import sections as S
 from quirefold.plans.importing import import_batch
+from quirefold.plans.reparsing import reparse_jobs, reparse_step
 from quirefold.plans.retrieval import keyword_search_with_sections, result_view, search_many
+from quirefold.schemas import SECTIONS
 from quirefold.session import scratch_path
 from quirefold.sources import corpus, export
 from quirefold.sources.store import CorpusStore
@@ -325,6 +327,16 @@ def keyword_filter(spark, sf_dir):
     return longs(search.keyword_filter(X.chunks(spark, sf_dir), " The ").select("document_id", "ordinal"))
 
 
+@query
+def keyword_filter_stored(spark, sf_dir):
+    """The same over stored chunks, whose lower-cased text the scan tests."""
+    store = CorpusStore(spark, scratch_path(spark, "search"), buckets=8)
+    rows = _stored_chunks(spark, sf_dir).drop("created_at", "updated_at").withColumn("workspace_id", F.lit("w"))
+    store.upsert_chunks(rows.withColumn("document_id", F.col("document_id").cast("string")).withColumn("position", F.lit(0)), unique=True)
+    found = search.keyword_filter(store.table("chunks", "w"), " The ")
+    return longs(found.select(F.col("document_id").cast("bigint").alias("document_id"), "ordinal"))
+
+
 @query
 def keyword_like(spark, sf_dir):
     return longs(search.keyword_like(X.chunks(spark, sf_dir), "A_e%The").select("document_id", "ordinal"))
@@ -601,9 +613,13 @@ def job_message(spark, sf_dir):
 # --- jobs and streams --------------------------------------------------------
 
 
+def _job_view(states: DataFrame) -> DataFrame:
+    return states.withColumn("created", F.unix_seconds("created_at")).drop("created_at")
+
+
 @query
 def job_snapshot(spark, sf_dir):
-    return jobs.job_snapshot(X.job_events(spark, sf_dir))
+    return _job_view(jobs.job_snapshot(X.job_events(spark, sf_dir)))
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -614,9 +630,8 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def job_snapshot_stream(spark, sf_dir):
     root = scratch_path(spark, "snapshot")
-    stream = stream_jobs.snapshot_stream(X.as_job_events(_event_stream(spark, sf_dir)), f"{root}/jobs", f"{root}/checkpoint")
-    stream.awaitTermination()
-    return stream_jobs.read_snapshot(spark.read.parquet(f"{root}/jobs"))
+    stream_jobs.snapshot_stream(X.as_job_events(_event_stream(spark, sf_dir)), f"{root}/jobs", f"{root}/checkpoint").awaitTermination()
+    return _job_view(stream_jobs.job_table(spark, f"{root}/jobs").read())
 
 
 @query
@@ -627,10 +642,43 @@ def admit_reparse(spark, sf_dir):
 @query
 def admit_reparse_stream(spark, sf_dir):
     root = scratch_path(spark, "admit")
-    admitted = stream_jobs.admit_stream(X.as_admission_log(_event_stream(spark, sf_dir)))
-    writer = admitted.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    stream_jobs.admit_stream(X.as_admission_log(_event_stream(spark, sf_dir)), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return stream_jobs.read_decisions(spark, f"{root}/out")
+
+
+@query
+def reparse_job(spark, sf_dir):
+    """Two micro-batches of requests run against stored records; every job with its document's record."""
+    root = scratch_path(spark, "reparse")
+    store = CorpusStore(spark, f"{root}/store", buckets=2)
+    records = X.record_heads(spark, sf_dir).select(
+        F.col("document_id").cast("string").alias("document_id"), "source_path", "title", "source_type", F.lit(0).alias("chunk_count"),
+        "low_quality_pages", "imported_at", F.lit("w").alias("workspace_id"), F.lit(0).alias("position"),
+    )
+    store.upsert_documents(records, spark.createDataFrame([], SECTIONS).withColumn("workspace_id", F.lit("w")))
+    pages = X.repaired_pages(spark, sf_dir).withColumn("document_id", F.col("document_id").cast("string"))
+    requests = X.reparse_requests(spark, sf_dir)
+    for epoch in (0, 1):
+        own = requests.where(F.col("seq") % 2 == epoch)
+        reparse_step(store, "w", own, pages, f"{root}/jobs", epoch, F.timestamp_seconds(F.lit(X.EPOCH + 10**8 + epoch)))
+    stored = store.table("documents", "w").select(
+        "document_id", F.to_json("low_quality_pages").alias("low_pages"), F.unix_seconds("imported_at").alias("imported")
+    )
+    ran = reparse_jobs(store, f"{root}/jobs").read().join(stored, "document_id")
+    return ran.select(
+        "job_id", "document_id", "document_title", "source_path", _json("page_indices", "pages"), "status", "progress", "message",
+        F.unix_seconds("created_at").alias("created"), "low_pages", "imported",
+    )
+
+
+@query
+def job_comparison(spark, sf_dir):
+    """Documents with their newest job: pages it was given against the pages that are low now."""
+    compared = reparse.job_comparison(X.record_heads(spark, sf_dir), X.reparse_jobs(spark, sf_dir))
+    return longs(compared.select(
+        "document_id", "status", "progress", "message", "before_count", "after_count", "resolved_count",
+        F.round("resolved_ratio", 6).alias("resolved_ratio"), *[_json(name) for name in ("before_pages", "after_pages", "resolved_pages")],
+    ))
 
 
 @query
@@ -703,6 +751,12 @@ def refine_prompts(spark, sf_dir):
     return outline.refine_prompts(nodes)
 
 
+@query
+def refine_prompts_cut(spark, sf_dir):
+    """Long content as several requests of at most 300 characters each."""
+    return longs(outline.refine_prompts(X.skeleton(spark, sf_dir), limit=300))
+
+
 @query
 def attach_children(spark, sf_dir):
     nodes = X.skeleton(spark, sf_dir)

@@ -57,6 +57,15 @@ def reparse_message(resolved: Column, remaining: Column) -> Column:
     )
 
 
+# Texts of jobs that wait or run.
+QUEUED = "Queued"
+REPARSING = "Re-parsing PDF"
+
+
+def parsing_message(source_path: Column) -> Column:
+    return F.concat(F.lit("Parsing "), F.regexp_extract(source_path, r"([^/]*)$", 1))
+
+
 def clamp_progress(progress: Column) -> Column:
     return F.least(F.greatest(progress, F.lit(0.0)), F.lit(1.0))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions import pages as P
+from quirefold.operators.jobs import doc_latest_job
 
 
 def _no_pages() -> Column:
@@ -38,6 +39,18 @@ def reparse_apply(documents: DataFrame, resolved: DataFrame, now: Column) -> Dat
     )
 
 
+def job_comparison(documents: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Every document that has a job compared with its newest one, with the job's status, progress, message and time.
+
+    ``jobs(document_id, job_id, created_at, page_indices, status, progress, message)``; the pages before are
+    those that the newest job was given. Documents without a job have nothing to compare.
+    """
+    newest = doc_latest_job(documents, jobs).where(F.col("job").isNotNull())
+    said = ("status", "progress", "message", "page_indices")
+    named = newest.select(*documents.columns, *(F.col(f"job.{name}").alias(name) for name in said), F.col("job.created_at").alias("updated_at"))
+    return reparse_comparison(named)
+
+
 def reparse_comparison(pairs: DataFrame, job_pages: str = "page_indices", now_pages: str = "low_quality_pages") -> DataFrame:
     """Before/after columns for documents paired with their newest job."""
     before, after = F.col("before_pages"), F.col("after_pages")
