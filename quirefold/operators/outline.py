@@ -1,15 +1,19 @@
 """Heading trees: nodes, parents, path ids, content, prompts, attached children, Markdown.
 
 A document is one row; its lines, headings and the text between them are arrays of
-that row, so building the tree needs no shuffle.
+that row, so building the tree needs no shuffle. Only the levels of the headings visit Python,
+in Arrow batches; text never does.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirefold.functions import text as X
 
@@ -66,41 +70,53 @@ def _with_content(lines: Column, headings: Column) -> Column:
     return X.let(F.struct(lines.alias("lines"), headings.alias("headings")), body)
 
 
-def _places(levels: Column) -> Column:
-    """Parent position and path id of each heading, from the heading levels of a document.
+PLACES = T.StructType([
+    T.StructField("parents", T.ArrayType(T.IntegerType())), T.StructField("paths", T.ArrayType(T.StringType())),
+])
 
-    One pass over the levels. ``last`` has one entry for each level met so far: the newest
-    heading of it. The parent is the entry of a smaller level that stands latest, and it counts its children.
-    """
-    entries = "array<struct<place:int,level:int,path:string,children:int>>"
-    start = F.struct(
-        F.array().cast(entries).alias("last"),
-        F.lit(0).alias("roots"),
-        F.array().cast("array<struct<parent:int,path:string>>").alias("placed"),
-    )
-
-    def add(state: Column, level: Column) -> Column:
-        def under(parent: Column) -> Column:
-            number = F.coalesce(parent["children"], state["roots"]) + 1
-            path = F.concat_ws(".", parent["path"], number.cast("string"))
-            place = F.size(state["placed"])
-
-            def renewed(entry: Column) -> Column:
-                children = entry["children"] + F.when(entry["place"] == parent["place"], 1).otherwise(0)
-                return F.struct(entry["place"].alias("place"), entry["level"].alias("level"), entry["path"].alias("path"), children.alias("children"))
 
-            others = F.transform(F.filter(state["last"], lambda entry: entry["level"] != level), renewed)
-            own = F.struct(place.alias("place"), level.alias("level"), path.alias("path"), F.lit(0).alias("children"))
-            placed = F.struct(F.coalesce(parent["place"], F.lit(-1)).alias("parent"), path.alias("path"))
-            return F.struct(
-                F.concat(others, F.array(own)).alias("last"),
-                (state["roots"] + F.when(parent.isNull(), 1).otherwise(0)).alias("roots"),
-                F.concat(state["placed"], F.array(placed)).alias("placed"),
-            )
+def nearest_smaller(levels: np.ndarray) -> np.ndarray:
+    """For each heading the place of the latest earlier one of a smaller level, -1 without one.
 
-        return X.let(F.array_max(F.filter(state["last"], lambda entry: entry["level"] < level)), under)
-
-    return F.aggregate(levels, start, add, lambda state: state["placed"])
+    The latest heading of each level before a place is a running maximum; a parent is the
+    greatest of those of the smaller levels. Each level takes one pass, whatever the number of headings.
+    """
+    places = np.arange(len(levels), dtype=np.int32)
+    parents = np.full(len(levels), -1, np.int32)
+    below = np.full(len(levels), -1, np.int32)  # latest heading so far of the levels gone through
+    for level in np.unique(levels):
+        own = levels == level
+        parents[own] = below[own]
+        np.maximum(below, np.maximum.accumulate(np.where(own, places, -1)), out=below)
+    return parents
+
+
+def path_ids(parents: np.ndarray) -> np.ndarray:
+    """Path of each heading: the path of its parent and its number among the children, joined by a dot."""
+    order = np.argsort(parents, kind="stable")
+    grouped = parents[order]
+    first = np.searchsorted(grouped, grouped)
+    numbers = np.empty(len(parents), np.int64)
+    numbers[order] = np.arange(len(parents)) - first + 1
+    paths = numbers.astype(str).astype(object)
+    # Generation by generation: the paths of the parents are whole when their children's are joined.
+    generation = np.flatnonzero(parents < 0)
+    while len(generation):
+        ends = np.searchsorted(grouped, generation, side="right")
+        starts = np.searchsorted(grouped, generation, side="left")
+        counts = ends - starts
+        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        children = order[np.repeat(starts, counts) + within]
+        paths[children] = paths[parents[children]] + "." + paths[children]
+        generation = children
+    return paths
+
+
+@F.pandas_udf(PLACES)
+def _places(levels: pd.Series) -> pd.DataFrame:
+    """Parent position and path id of each heading, from the heading levels of a document."""
+    parents = [nearest_smaller(np.asarray(own, np.int32)) for own in levels]
+    return pd.DataFrame({"parents": parents, "paths": [path_ids(p) for p in parents]})
 
 
 def skeleton_nodes(docs: DataFrame, text: str = "md", max_level: int | None = None) -> DataFrame:
@@ -130,9 +146,9 @@ def skeleton(docs: DataFrame, text: str = "md", max_level: int | None = None) ->
     listed = docs.select("document_id", X.let(_lines(F.col(text)), nodes).alias("nodes")).where(F.size("nodes") > 0)
     placed = listed.withColumn("places", _places(F.col("nodes.level")))
     rows = placed.select(
-        "document_id", F.posexplode(F.arrays_zip("nodes", "places")).alias("node_index", "z")
+        "document_id", F.posexplode(F.arrays_zip("nodes", "places.parents", "places.paths")).alias("node_index", "z")
     )
-    parent = F.col("z.places.parent")
+    parent = F.col("z.parents")
     return rows.select(
         "document_id",
         "node_index",
@@ -141,8 +157,8 @@ def skeleton(docs: DataFrame, text: str = "md", max_level: int | None = None) ->
         F.col("z.nodes.topic").alias("topic"),
         F.col("z.nodes.content").alias("content"),
         F.when(parent >= 0, parent).alias("parent_index"),
-        F.col("z.places.path").alias("node_id"),
-        F.when(parent >= 0, F.regexp_replace(F.col("z.places.path"), r"\.[0-9]+$", "")).otherwise(F.lit("root")).alias("parent_id"),
+        F.col("z.paths").alias("node_id"),
+        F.when(parent >= 0, F.regexp_replace(F.col("z.paths"), r"\.[0-9]+$", "")).otherwise(F.lit("root")).alias("parent_id"),
     )
 
 

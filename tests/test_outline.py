@@ -1,6 +1,9 @@
 import json
 import random
+import re
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quirefold.operators import outline as O
@@ -47,6 +50,31 @@ def test_tree_by_definition(spark):
     assert flat == O.skeleton_content(docs).count() == sum(len(expected_nodes(t)) for t in texts)
 
 
+def seconds_of(function, *values):
+    began = time.perf_counter()
+    function(*values)
+    return time.perf_counter() - began
+
+
+def test_a_million_headings_in_linear_time():
+    levels = np.random.default_rng(2).integers(1, 7, 1_000_000)
+    build = lambda own: O.path_ids(O.nearest_smaller(own))
+    build(levels[:1000])
+    small, large = seconds_of(build, levels[:100_000]), seconds_of(build, levels)
+    assert large < 60 and large < 40 * max(small, 0.05)
+
+
+def test_one_document_of_many_headings(spark):
+    """A chain of 300 levels, and 60,000 headings in one row."""
+    chain = "\n".join("#" * i + " h" for i in range(1, 301))
+    flat = "\n".join("#" * (1 + i % 3) + f" h{i}" for i in range(60_000))
+    nodes = O.skeleton(spark.createDataFrame([(1, chain), (2, flat)], DOC))
+    deepest = nodes.where("document_id = 1 AND node_index = 299").first()
+    assert deepest["node_id"] == ".".join(["1"] * 300) and deepest["parent_index"] == 298
+    last = nodes.where("document_id = 2 AND node_index = 59999").first()
+    assert last["node_id"] == "20000.1.1" and last["parent_id"] == "20000.1"
+
+
 def test_subchunks_and_prompts(spark):
     long = " ".join(["word"] * 100)
     docs = spark.createDataFrame([(1, f"lost\n# A\n\n{long}\n## B\n\n# C\nshort")], DOC)
@@ -58,7 +86,9 @@ def test_subchunks_and_prompts(spark):
     assert prompts["1"]["system_prompt"] == O.DEFAULT_SYSTEM_PROMPT
     cut = O.refine_prompts(nodes, user_template="%s|%s", limit=200).orderBy("node_id", "piece_index").collect()
     assert [(r["node_id"], r["piece_index"]) for r in cut] == [("1", 0), ("1", 1), ("1", 2), ("2", 0)]
-    assert "Python" not in nodes._jdf.queryExecution().executedPlan().toString()
+    # Only the levels visit Python, in Arrow batches.
+    plan = nodes._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 1 and re.search(r"ArrowEvalPython \[_places\(nodes#\d+\.level\)", plan)
 
 
 def test_children_and_markdown(spark):
