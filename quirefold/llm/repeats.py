@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirefold.llm.common import row_slices, text_of
 from quirefold.llm.exchange import mix, pack, unpack
@@ -352,12 +353,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), pa.array(told, kind)], names=["id", "hash", "kept", "text", "spans"])
 
 
-def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """Two tables: every row without its text (``id``, ``hash``, ``n_bytes``, ``sha256``, ``copied``), and documents with removed spans.
+def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables: every row without its text (``id``, ``hash``, ``n_bytes``, ``sha256``, ``copied``), spans, and texts.
 
     ``copied`` says that an earlier document has exactly this text. The second table
-    (``id``, ``hash``, ``kept`` bytes, the same as ``text``, ``spans``) has each document once; those absent keep all bytes.
-    ``id`` is the key with null as the smallest number, ``hash`` the text's hash.
+    (``id``, ``hash``, ``spans``: pairs of 64-bit numbers, to be united by ``_union``) has each document with removed bytes once; those
+    absent keep all bytes. The third has their ``bytes``, and those of others. ``id`` is the key with null as the smallest
+    number, ``hash`` the text's hash.
     """
     source = df.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_of(text)).alias("hash"), text_of(text).cast("binary").alias("bytes"))
     rows = cut_lineage(source.select("id", "hash", F.octet_length("bytes").cast("bigint").alias("n_bytes"), F.sha2("bytes", 256).alias("sha256")))
@@ -377,13 +379,13 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width:
     entries = candidates.agg(F.sum(F.octet_length("trigger") / 8)).first()[0] or 0
     spans = repeated_spans(candidates, bits, _bits(int(entries), BUCKET_ENTRIES), width)
     spans = spans.groupBy("id", "hash").agg(F.collect_list("spans").alias("spans"))
-    texts = candidates.select("id", "hash", "bytes").dropDuplicates(["id", "hash"])
-    return rows, texts.join(spans, ["id", "hash"]).mapInArrow(_cut, KEPT)
+    return rows, spans, candidates.select("id", "hash", "bytes")
 
 
 def report(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """One row per input row: ``key``, sizes, removed spans and the SHA-256 of the kept bytes."""
-    rows, changed = find_repeats(df, key, text, width)
+    rows, found, texts = find_repeats(df, key, text, width)
+    changed = texts.dropDuplicates(["id", "hash"]).join(found, ["id", "hash"]).mapInArrow(_cut, KEPT)
     spans = F.coalesce(F.col("spans"), F.array().cast("array<struct<start:bigint,end:bigint>>"))
     whole = F.col("copied") & (F.col("n_bytes") >= width)
     spans = F.when(whole, F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").alias("end")))).otherwise(spans)
@@ -394,11 +396,38 @@ def report(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     )
 
 
+def _cut_rows(text: str):
+    """Rows (``row``, ``spans``) with the spans cut out of the row's text; rows without spans go through as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in row_slices(batches):
+            rows, spans = part.column(0), part.column(1).to_pylist()
+            if any(spans):
+                fields = [f.name for f in rows.type]
+                texts = rows.field(text).to_pylist()
+                for i, parts in enumerate(spans):
+                    if parts:
+                        held = texts[i].encode()
+                        edges = [0, *(e for span in _union(parts) for e in span), len(held)]
+                        texts[i] = b"".join(held[a:b] for a, b in zip(edges[::2], edges[1::2])).decode("utf-8", "ignore")
+                columns = [pa.array(texts, rows.type.field(name).type) if name == text else rows.field(name) for name in fields]
+                rows = pa.StructArray.from_arrays(columns, fields=list(rows.type))
+            yield pa.RecordBatch.from_arrays([rows], names=["row"])
+
+    return run
+
+
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """The rows of ``df`` with repeated bytes cut out of ``text``; bytes of a character that is cut in two go as well."""
-    rows, changed = find_repeats(df, key, text, width)
-    whole = rows.where(F.col("copied") & (F.col("n_bytes") >= width)).select("id", "hash", F.lit("").alias("_text"))
-    new = changed.select("id", "hash", F.col("text").alias("_text")).unionByName(whole).dropDuplicates(["id", "hash"])
+    """The rows of ``df`` with repeated bytes cut out of ``text``; bytes of a character that is cut in two go as well.
+
+    The spans, which are narrow, are written and joined to the rows; each text is cut where it is met.
+    """
+    rows, found, _ = find_repeats(df, key, text, width)
+    # A copy of an earlier text goes as a whole: one span, in the form of the others.
+    digits = lambda value: F.lpad(F.hex(value), 16, "0")
+    number = lambda value: F.unhex(F.concat(*(F.substring(digits(value), at, 2) for at in range(15, 0, -2))))
+    copies = rows.where(F.col("copied") & (F.col("n_bytes") >= width)).select("id", "hash", F.array(F.concat(number(F.lit(0)), number(F.col("n_bytes")))).alias("spans"))
+    cuts = cut_lineage(found.unionByName(copies.dropDuplicates(["id", "hash"])))
     own_id, own_hash = F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)), F.xxhash64(text_of(text))
-    held = df.select(F.struct(*df.columns).alias("row"), own_id.alias("id"), own_hash.alias("hash")).join(new, ["id", "hash"], "left")
-    return held.select(F.col("row").withField(text, F.coalesce("_text", F.col("row")[text])).alias("row")).select("row.*")
+    held = df.select(F.struct(*df.columns).alias("row"), own_id.alias("id"), own_hash.alias("hash")).join(cuts, ["id", "hash"], "left")
+    return held.select("row", "spans").mapInArrow(_cut_rows(text), T.StructType([T.StructField("row", df.schema)])).select("row.*")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirefold.llm import repeats
-from tests.llm.helpers import documents, odd_texts
+from tests.llm.helpers import documents, odd_texts, prose
 
 
 def brute(rows, width):
@@ -97,3 +97,13 @@ def test_odd_texts(spark):
     rows = [(i, t) for i, t in odd_texts() if i is not None and i != 5]
     expected = sorted(((i, *r) for (i, _), r in zip(rows, brute([t for _, t in rows], 100))), key=repr)
     assert found(documents(spark, rows), 100) == expected
+
+
+def test_copies_go_as_a_whole(spark):
+    """Sizes whose bytes are above 127, zero and 255; other columns stay as they are."""
+    texts = [prose(n, n, 5000)[:n] for n in (128, 150, 255, 256, 400, 40_000)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10 + i, t) for i, t in enumerate(texts)] + [(None, "no id"), (30, None)]
+    found = repeats.remove_repeats(documents(spark, rows, clashing=True))
+    kept = {r["doc_id"]: (r["text"], r["row"], r["hash"]) for r in found.collect()}
+    assert found.columns == documents(spark, rows, clashing=True).columns
+    assert kept == {i: ("" if i is not None and 10 <= i < 20 else t, "x", "x") for i, t in rows}
