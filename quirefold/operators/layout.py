@@ -30,6 +30,7 @@ BROADCAST_VIEWPORTS = 1000
 # Rectangles are filed by size in grids of cell size 4**level.
 CELL_BASE = 4.0
 TOP_LEVEL = 30
+FARTHEST = float(1 << 60)
 
 
 def _node(node_id: Column, title: Column, x: Column, y: Column, width: float, height: float) -> list[Column]:
@@ -86,17 +87,22 @@ def mindmap_nodes(documents: DataFrame, sections: DataFrame, limit: int | None =
 
 
 def _level(rect: Rect) -> Column:
-    """Smallest grid whose cells are at least as long as the rectangle, so it meets at most 2 x 2."""
+    """Smallest grid whose cells are at least as long as the rectangle, so it meets at most 2 x 2.
+
+    Longer rectangles than a cell of the top grid go to the one above, which is a single cell.
+    """
     longest = F.greatest(rect.width, rect.height, F.lit(1.0))
-    return F.least(F.ceil(F.log(CELL_BASE, longest)).cast("int"), F.lit(TOP_LEVEL))
+    return F.least(F.ceil(F.log(CELL_BASE, longest)), F.lit(TOP_LEVEL + 1)).cast("int")
 
 
 def _cell(value: Column, level: Column) -> Column:
-    return F.floor(value / F.pow(F.lit(CELL_BASE), level)).cast("long")
+    # Places that are too far off for a number of a cell share the last one.
+    place = F.greatest(F.least(value / F.pow(F.lit(CELL_BASE), level), F.lit(FARTHEST)), F.lit(-FARTHEST))
+    return F.when(level > TOP_LEVEL, F.lit(0).cast("long")).otherwise(F.floor(place).cast("long"))
 
 
 def _filed(df: DataFrame, rect: Rect, levels: Column) -> DataFrame:
-    """Explode a rectangle to the cells it meets in every grid of ``levels``."""
+    """Explode a rectangle to the cells it meets in every grid of ``levels``, none of them below its own: four at most in each."""
     leveled = df.withColumn("_own", _level(rect)).withColumn("_grid", F.explode(levels))
     columns = leveled.withColumn(
         "_cx", F.explode(F.sequence(_cell(rect.x, F.col("_grid")), _cell(rect.right, F.col("_grid"))))
@@ -116,13 +122,17 @@ def viewport_join(nodes: DataFrame, viewports: DataFrame, broadcast_bound: int =
     """
     view = viewports.select("viewport_id", *[F.col(n).alias("v_" + n) for n in ("x", "y", "width", "height")])
     v_rect, n_rect = Rect.named("v_"), Rect.named()
-    # At most TOP_LEVEL + 1 values.
+    # At most TOP_LEVEL + 2 values each.
     sizes = sorted(row[0] for row in view.select(_level(v_rect)).distinct().collect())
+    node_sizes = sorted(row[0] for row in nodes.select(_level(n_rect)).distinct().collect())
     node_levels = F.array_distinct(
         F.transform(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda size: F.greatest(size, _level(n_rect)))
     )
     filed_nodes = _filed(nodes, n_rect, node_levels).withColumnRenamed("_own", "_node_level")
-    filed_views = _filed(view, v_rect, F.sequence(_level(v_rect), F.lit(TOP_LEVEL))).withColumnRenamed("_own", "_view_level")
+    view_levels = F.array_distinct(
+        F.transform(F.array(*map(F.lit, node_sizes)).cast("array<int>"), lambda size: F.greatest(size, _level(v_rect)))
+    )
+    filed_views = _filed(view, v_rect, view_levels).withColumnRenamed("_own", "_view_level")
     if len(viewports.select("viewport_id").limit(broadcast_bound + 1).take(broadcast_bound + 1)) <= broadcast_bound:
         filed_views = F.broadcast(filed_views)
     grid = F.col("_grid")

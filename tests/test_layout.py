@@ -48,6 +48,20 @@ def test_grid_join_equals_nested_loop(spark, bound):
     assert len([v for v, _ in expected if v == 60]) == 600
 
 
+@pytest.mark.parametrize("bound", [1000, 0])
+def test_huge_and_far_rectangles(spark, bound):
+    """Whatever the size, a rectangle is filed in four cells of a grid at most."""
+    sides = [0.0, 1.0, 1e3, 1e18, 1.2e18, 1e22, 1e30, 1e300]
+    nodes = [(f"n{i}", "t", x, x, side, 1.0) for i, (x, side) in enumerate((x, s) for s in sides for x in (-1e300, -1e25, -5.0, 0.0, 7.0, 1e25, 1e300))]
+    views = [(i, x, -1e301, side, 2e301) for i, (x, side) in enumerate((x, s) for s in sides for x in (-1e30, -3.0, 2.0, 1e26))]
+    expected = sorted((v[0], n[0]) for n in nodes for v in views if n[2] <= v[1] + v[3] and n[2] + n[4] >= v[1] and n[3] <= v[2] + v[4] and n[3] + n[5] >= v[2])
+    joined = L.viewport_join(spark.createDataFrame(nodes, RECTS), spark.createDataFrame(views, VIEWS), broadcast_bound=bound)
+    assert sorted((r["viewport_id"], r["node_id"]) for r in joined.collect()) == expected
+    rects = spark.createDataFrame(nodes, RECTS)
+    filed = L._filed(rects, Rect.named(), F.array(L._level(Rect.named())))
+    assert filed.groupBy("node_id").count().agg(F.max("count")).first()[0] <= 4
+
+
 DOCS = "document_id string, title string, low_quality_pages array<int>, imported_at long"
 SECTIONS = "document_id string, level int, title string, chunk_start_ordinal int"
 
