@@ -51,7 +51,7 @@ FAN = 32
 MAX_BITS = 1 << 15
 UNIT_BYTES = 1 << 24
 BLOCK = 2048
-SALTS = 32
+HOT_CLASSES = 1024
 FINGERPRINT = 32
 
 
@@ -408,7 +408,7 @@ def _members(df: DataFrame, key: str, text: str, tag: Column, size: int, percent
     drop_chunks(chunks)
     same_set = ["low", "high", "n"]
     linking = sets.where(F.col("tokens").isNotNull())
-    groups = cut_lineage(linking.groupBy(*same_set).agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least")))
+    groups = cut_lineage(linking.groupBy(*same_set).agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")))
     classes = cut_lineage(linking.join(groups.select("uid"), "uid", "left_semi").select("uid", "n", "low", "tokens", "prefix"))
     keys = classes.agg(F.sum("prefix")).first()[0] or 0
     clusters = components(possible_edges(classes, bucket_bits(keys), percent))
@@ -418,10 +418,18 @@ def _members(df: DataFrame, key: str, text: str, tag: Column, size: int, percent
     release(member)
     of_class = groups.join(linked.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     least = of_class.groupBy("root").agg(F.min("least").alias("component"))
-    named = of_class.join(least, "root").select(*same_set, "component", "root", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = sets.select("doc_id", "tag", *same_set, F.col("tokens").isNotNull().alias("links"), F.pmod("uid", F.lit(SALTS)).cast("int").alias("salt"))
-    found = salted.where("links").join(named, [*same_set, "salt"]).select("doc_id", "tag", "n", "component", "root")
-    alone = salted.where(~F.col("links")).select("doc_id", "tag", "n", F.col("doc_id").alias("component"), F.lit(None).cast("bigint").alias("root"))
+    named = cut_lineage(of_class.join(least, "root").select(*same_set, "component", "root", "rows"))
+    # Fewer than HOT_CLASSES classes can have more than this share of the rows each: these are broadcast.
+    share = (groups.agg(F.sum("rows")).first()[0] or 0) / HOT_CLASSES
+    release(groups)
+    rows = sets.select("doc_id", "tag", *same_set, F.col("tokens").isNotNull().alias("links"))
+    hot = named.where(F.col("rows") > share).drop("rows")
+    seldom = rows.where("links").join(F.broadcast(hot.select(*same_set)), same_set, "left_anti")
+    columns = ["doc_id", "tag", "n", "component", "root"]
+    found = rows.where("links").join(F.broadcast(hot), same_set).select(*columns).unionByName(
+        seldom.join(named.where(F.col("rows") <= share).drop("rows"), same_set).select(*columns)
+    )
+    alone = rows.where(~F.col("links")).select("doc_id", "tag", "n", F.col("doc_id").alias("component"), F.lit(None).cast("bigint").alias("root"))
     return found.unionByName(alone)
 
 
