@@ -280,9 +280,9 @@ ORACLE["upsert_chunks"] = sql(
 UNION ALL SELECT 'new/' || document_id || '/0', document_id, ordinal, md5(text), {EPOCH + 3600}, {EPOCH + 3600} FROM chunks
   WHERE document_id % 2 = 1 AND ordinal = 0""", "chunks")
 ORACLE["upsert_documents"] = sql(
-    """SELECT document_id, source_path, CASE WHEN document_id % 2 = 1 THEN title || ' v1' ELSE title END AS title, source_type,
-  to_json(pages)::VARCHAR AS low_pages, imported FROM recs
-UNION ALL SELECT document_id + 1000000000, source_path, title, source_type, to_json(pages)::VARCHAR, imported FROM recs WHERE document_id % 2 = 1""", "recs")
+    f"""SELECT document_id, source_path, CASE WHEN document_id % 2 = 1 THEN title || ' v1' ELSE title END AS title, source_type,
+  to_json(pages)::VARCHAR AS low_pages, imported, (CASE WHEN document_id % 2 = 1 THEN {EPOCH + 10**8} ELSE imported END)::BIGINT AS updated FROM recs
+UNION ALL SELECT document_id + 1000000000, source_path, title, source_type, to_json(pages)::VARCHAR, imported, {EPOCH + 10**8} FROM recs WHERE document_id % 2 = 1""", "recs")
 ORACLE["replace_sections"] = sql(
     """SELECT * FROM sections WHERE document_id % 3 <> 0
 UNION ALL SELECT document_id, 1, 'Redone', 0 FROM docs WHERE document_id % 6 = 0""", "sections", "docs")

@@ -126,16 +126,16 @@ def upsert_chunks(spark, sf_dir):
 
 @query
 def upsert_documents(spark, sf_dir):
-    stored = X.record_heads(spark, sf_dir)
+    stored = X.record_heads(spark, sf_dir).withColumn("updated_at", F.col("imported_at"))
     changed = stored.where(F.col("document_id") % 2 == 1)
     repeated = changed.withColumn("position", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
         "title", F.concat("title", F.lit(" v"), F.col("position").cast("string"))
     )
     fresh = changed.withColumn("document_id", F.col("document_id") + 1000000000).withColumn("position", F.lit(0))
-    merged = upsert.upsert_documents(stored, repeated.unionByName(fresh), "position")
+    merged = upsert.upsert_documents(stored, repeated.unionByName(fresh), "position", F.timestamp_seconds(F.lit(X.EPOCH + 10**8)))
     return longs(merged.select(
         "document_id", "source_path", "title", "source_type", _json("low_quality_pages", "low_pages"),
-        F.unix_seconds("imported_at").alias("imported"),
+        F.unix_seconds("imported_at").alias("imported"), F.unix_seconds("updated_at").alias("updated"),
     ))
 
 

@@ -31,11 +31,11 @@ def upsert_chunks(existing: DataFrame, batch: DataFrame, position: str, now: Col
     return merge_latest(existing, batch, ["chunk_id"], position, now)
 
 
-def upsert_documents(existing: DataFrame, batch: DataFrame, position: str) -> DataFrame:
-    """Same by document id; a record has no creation time of its own."""
-    names = [name for name in batch.columns if name not in ("document_id", position)]
+def upsert_documents(existing: DataFrame, batch: DataFrame, position: str, now: Column) -> DataFrame:
+    """Same by document id; a record has no creation time of its own, and ``updated_at`` when it was written last."""
+    names = [name for name in batch.columns if name not in ("document_id", "updated_at", position)] + ["updated_at"]
     rows = existing.select("document_id", *names, F.lit(-1).cast("long").alias(position)).unionByName(
-        batch.withColumn(position, F.col(position).cast("long"))
+        batch.withColumn(position, F.col(position).cast("long")).withColumn("updated_at", now)
     )
     merged = rows.groupBy("document_id").agg(F.max_by(F.struct(*names), position).alias("_last"))
     return merged.select("document_id", "_last.*")

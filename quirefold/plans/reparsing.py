@@ -64,7 +64,7 @@ def store_outcomes(store: CorpusStore, workspace_id: str, ran: DataFrame, now: C
     sections = cut_lineage(store.table("sections", workspace_id).join(own, "document_id", "left_semi"))
     before = stored.join(ran.select("document_id", "low_quality_pages", now.alias("_now")), "document_id")
     applied = reparse.reparse_apply(before, ran, F.col("_now")).drop("_now")
-    store.upsert_documents(applied.withColumn("position", F.lit(0).cast("long")), sections)
+    store.upsert_documents(applied.withColumn("position", F.lit(0).cast("long")), sections, now=F.col("imported_at"))
     release(stored, sections)
 
 

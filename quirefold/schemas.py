@@ -30,6 +30,8 @@ DOCUMENTS = T.StructType([
     T.StructField("chunk_count", T.IntegerType(), False),
     T.StructField("low_quality_pages", T.ArrayType(T.IntegerType()), False),
     T.StructField("imported_at", T.TimestampType(), False),
+    # When the record was written last; null in files from before the column.
+    T.StructField("updated_at", T.TimestampType(), True),
 ])
 
 # The two kinds of source document.

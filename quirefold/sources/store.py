@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirefold import schemas
-from quirefold.operators.upsert import evolve_schema, replace_sections, upsert_chunks, upsert_documents
+from quirefold.operators.upsert import replace_sections, upsert_chunks, upsert_documents
 
 KEYS = {"chunks": "document_id", "documents": "document_id", "sections": "document_id"}
 ROW_IDS = {"chunks": "chunk_id", "documents": "document_id", "sections": "section_id"}
@@ -157,15 +157,16 @@ class CorpusStore:
             fresh = upsert_chunks(self._stored("chunks").limit(0).drop("text_lc"), fresh, position, now)
         self._write(fresh, "chunks", "append")
 
-    def upsert_documents(self, batch: DataFrame, sections: DataFrame, position: str = "position") -> None:
+    def upsert_documents(self, batch: DataFrame, sections: DataFrame, position: str = "position", now: Column | None = None) -> None:
         """Document records and their sections; sections of a batch document are replaced as a whole."""
+        now = F.current_timestamp() if now is None else now
         filed = self._filed(batch, "documents")
         conflict = self._conflicts(filed, "documents", [*PARTITION, "document_id"])
         fresh = filed if conflict is None else filed.where(~conflict)
         if conflict is not None:
-            merged = upsert_documents(self._stored("documents").where(conflict), filed.where(conflict), position)
+            merged = upsert_documents(self._stored("documents").where(conflict), filed.where(conflict), position, now)
             self._write(merged, "documents", "overwrite")
-        self._write(upsert_documents(self._stored("documents").limit(0), fresh, position), "documents", "append")
+        self._write(upsert_documents(self._stored("documents").limit(0), fresh, position, now), "documents", "append")
         self._replace_sections(batch, sections)
 
     def _replace_sections(self, batch: DataFrame, sections: DataFrame) -> None:
@@ -180,10 +181,6 @@ class CorpusStore:
         self._overwrite(old, kept, "sections")
         self._write(new.where(~conflict), "sections", "append")
 
-    def evolve(self, table: str, rows: DataFrame) -> DataFrame:
-        """Rows written under an earlier version, with today's columns."""
-        return evolve_schema(rows, SCHEMAS[table])
-
     def mark_commit(self, import_batch_id: str, workspace_id: str) -> None:
         row = self.spark.createDataFrame([(import_batch_id, workspace_id)], "import_batch_id string, workspace_id string")
         row.withColumn("committed_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(self._path("commits"))

@@ -109,6 +109,16 @@ def test_sections_are_replaced_as_a_whole(spark, tmp_path):
     assert {r["source_path"] for r in store.table("documents").collect()} == {"p2"} and store.table("documents").count() == 3
 
 
+def test_records_say_when_they_were_written(spark, tmp_path):
+    store = CorpusStore(spark, str(tmp_path / "s"), buckets=1)
+    none = spark.createDataFrame([], SECTION)
+    at = lambda n: F.timestamp_seconds(F.lit(n))
+    store.upsert_documents(record(spark, [("a", "p", "t", "markdown", 1, [], 5, "w", 0), ("b", "p", "t", "markdown", 1, [], 5, "w", 0)]), none, now=at(10))
+    store.upsert_documents(record(spark, [("b", "p", "t2", "markdown", 1, [], 6, "w", 0)]), none, now=at(20))
+    rows = store.table("documents").withColumn("u", F.unix_seconds("updated_at")).withColumn("i", F.unix_seconds("imported_at")).collect()
+    assert {r["document_id"]: (r["i"], r["u"]) for r in rows} == {"a": (5, 10), "b": (6, 20)}
+
+
 def test_workspace_partitions_are_pruned(spark, tmp_path):
     store = CorpusStore(spark, str(tmp_path / "s"), buckets=2)
     store.upsert_chunks(spark.createDataFrame([("c", "d", 0, "t", None, w, 0) for w in ("one", "two/three")], CHUNK))
