@@ -359,7 +359,7 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width:
     ``copied`` says that an earlier document has exactly this text. The second table
     (``id``, ``hash``, ``spans``: pairs of 64-bit numbers, to be united by ``_union``) has each document with removed bytes once; those
     absent keep all bytes. The third has their ``bytes``, and those of others. ``id`` is the key with null as the smallest
-    number, ``hash`` the text's hash.
+    number, ``hash`` the text's hash. The first and the third are written tables, for ``release``.
     """
     source = df.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_of(text)).alias("hash"), text_of(text).cast("binary").alias("bytes"))
     rows = cut_lineage(source.select("id", "hash", F.octet_length("bytes").cast("bigint").alias("n_bytes"), F.sha2("bytes", 256).alias("sha256")))
@@ -379,13 +379,13 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width:
     entries = candidates.agg(F.sum(F.octet_length("trigger") / 8)).first()[0] or 0
     spans = repeated_spans(candidates, bits, _bits(int(entries), BUCKET_ENTRIES), width)
     spans = spans.groupBy("id", "hash").agg(F.collect_list("spans").alias("spans"))
-    return rows, spans, candidates.select("id", "hash", "bytes")
+    return rows, spans, candidates
 
 
 def report(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """One row per input row: ``key``, sizes, removed spans and the SHA-256 of the kept bytes."""
     rows, found, texts = find_repeats(df, key, text, width)
-    changed = texts.dropDuplicates(["id", "hash"]).join(found, ["id", "hash"]).mapInArrow(_cut, KEPT)
+    changed = texts.select("id", "hash", "bytes").dropDuplicates(["id", "hash"]).join(found, ["id", "hash"]).mapInArrow(_cut, KEPT)
     spans = F.coalesce(F.col("spans"), F.array().cast("array<struct<start:bigint,end:bigint>>"))
     whole = F.col("copied") & (F.col("n_bytes") >= width)
     spans = F.when(whole, F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").alias("end")))).otherwise(spans)
@@ -420,14 +420,16 @@ def _cut_rows(text: str):
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """The rows of ``df`` with repeated bytes cut out of ``text``; bytes of a character that is cut in two go as well.
 
-    The spans, which are narrow, are written and joined to the rows; each text is cut where it is met.
+    The spans, which are narrow, are written and joined to the rows; each text is cut where it is met. The texts
+    of the search are deleted before that join moves the rows.
     """
-    rows, found, _ = find_repeats(df, key, text, width)
+    rows, found, texts = find_repeats(df, key, text, width)
     # A copy of an earlier text goes as a whole: one span, in the form of the others.
     digits = lambda value: F.lpad(F.hex(value), 16, "0")
     number = lambda value: F.unhex(F.concat(*(F.substring(digits(value), at, 2) for at in range(15, 0, -2))))
     copies = rows.where(F.col("copied") & (F.col("n_bytes") >= width)).select("id", "hash", F.array(F.concat(number(F.lit(0)), number(F.col("n_bytes")))).alias("spans"))
     cuts = cut_lineage(found.unionByName(copies.dropDuplicates(["id", "hash"])))
+    release(rows, texts)
     own_id, own_hash = F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)), F.xxhash64(text_of(text))
     held = df.select(F.struct(*df.columns).alias("row"), own_id.alias("id"), own_hash.alias("hash")).join(cuts, ["id", "hash"], "left")
     return held.select("row", "spans").mapInArrow(_cut_rows(text), T.StructType([T.StructField("row", df.schema)])).select("row.*")
