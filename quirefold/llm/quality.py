@@ -7,11 +7,12 @@ is not judged by them alone. The host verdict goes back to the documents:
 
 * ``rejected``: the shrunk rate of documents that fail any rule is above ``REJECT``; all
   documents of the host go;
-* ``strict``: the shrunk rate of the symbol rule is above ``STRICT``; documents that fail
-  the symbol rule go;
-* ``lenient``: else; documents go by the base rules only.
+* ``strict``: the host's posterior rate of soft failures is above the corpus rate by more than
+  ``MARGIN`` posterior deviations; documents with any soft failure go;
+* ``lenient``: else; only documents with heavy symbol use go.
 
-A base rule failure (few words, repeated windows) always rejects the document.
+Soft failures are symbols, duplicate lines and a mean word length out of range. A base rule failure (few
+words, repeated windows) always rejects the document. A host on its own has the corpus rate and is lenient.
 
 For a report, measures are written, so texts are measured once. To keep whole documents they
 are measured twice instead, which spares a copy of all texts. Host counts combine before
@@ -35,10 +36,14 @@ WINDOW = 5
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 SYMBOL_PERCENT = 10
+HEAVY_PERCENT = 30
+LINE_PERCENT = 30
+WORD_LENGTH = (3, 10)
 REJECT = 0.8
-STRICT = 0.01
+MARGIN = 0.5
 MAX_STRENGTH = 1e6
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+RULES = ("base_failed", "symbols_failed", "lines_failed", "length_failed", "heavy")
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -65,26 +70,50 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(words) <= window, F.lit(0).cast("bigint")).otherwise(let(hashes, repeats))
 
 
-def duplicate_lines(text: Column) -> Column:
-    """Lines with a word that equal an earlier line."""
+def line_counts(text: Column) -> Column:
+    """Struct of the lines with a word, and of those that equal an earlier line."""
     lines = F.filter(F.split(text, "\n", -1), lambda line: F.rlike(line, F.lit(WORD)))
-    return let(lines, lambda kept: (F.size(kept) - F.size(F.array_distinct(kept))).cast("bigint"))
+    return let(
+        lines,
+        lambda kept: F.struct(
+            F.size(kept).cast("bigint").alias("n"), (F.size(kept) - F.size(F.array_distinct(kept))).cast("bigint").alias("dup")
+        ),
+    )
 
 
 def measures(text: Column) -> Column:
     """Struct of the measures of a text."""
     return let(
-        F.regexp_extract_all(text, F.lit(WORD), F.lit(0)),
-        lambda words: F.struct(
-            F.size(words).cast("bigint").alias("n_words"),
-            F.length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
-            F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
-            duplicate_lines(text).alias("n_dup_lines"),
-            repeated_words(words).alias("n_repeat_words"),
-        ),
+        F.struct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"), line_counts(text).alias("lines")),
+        lambda parts: _measured(text, parts["words"], parts["lines"]),
     )
 
 
+def _measured(text: Column, words: Column, lines: Column) -> Column:
+    return F.struct(
+        F.size(words).cast("bigint").alias("n_words"),
+        F.length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
+        F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
+        lines["dup"].alias("n_dup_lines"),
+        repeated_words(words).alias("n_repeat_words"),
+        lines["n"].alias("n_lines"),
+    )
+
+
+def rules() -> list[Column]:
+    """Columns ``RULES`` over the measures."""
+    words, least, most = F.col("n_words"), *WORD_LENGTH
+    symbols = 100 * F.col("n_symbols")
+    conditions = (
+        (words < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * words),
+        symbols > SYMBOL_PERCENT * words,
+        100 * F.col("n_dup_lines") > LINE_PERCENT * F.col("n_lines"),
+        (F.col("word_chars") < least * words) | (F.col("word_chars") > most * words),
+        symbols > HEAVY_PERCENT * words,
+    )
+    return [condition.alias(name) for name, condition in zip(RULES, conditions)]
+
+
 def host_of(url: Column) -> Column:
     """Host of an address in lower case; a value that is no address is its own host."""
     named = F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#]*)", 1)
@@ -104,17 +133,21 @@ def host_verdicts(judged: DataFrame) -> DataFrame:
         judged.groupBy("host").agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(F.col("failed").cast("bigint")).alias("n_failed"),
-            F.sum(F.col("symbols_failed").cast("bigint")).alias("n_symbols_failed"),
+            F.sum(F.col("soft_failed").cast("bigint")).alias("n_soft_failed"),
         )
     )
-    rates = {"failed_rate": F.col("n_failed") / F.col("n"), "symbols_rate": F.col("n_symbols_failed") / F.col("n")}
-    # One row: mean and variance over all hosts.
-    found = hosts.agg(*(f(rate).alias(f"{f.__name__}_{name}") for name, rate in rates.items() for f in (F.avg, F.var_pop))).first()
-    for name, count in (("failed_rate", "n_failed"), ("symbols_rate", "n_symbols_failed")):
+    counts = {"failed_rate": "n_failed", "soft_rate": "n_soft_failed"}
+    # One row: mean and variance over all hosts, and the rate over all documents.
+    moments = (f(F.col(count) / F.col("n")).alias(f"{f.__name__}_{name}") for name, count in counts.items() for f in (F.avg, F.var_pop))
+    found = hosts.agg(*moments, (F.sum("n_soft_failed") / F.sum("n")).alias("corpus_rate")).first()
+    for name, count in counts.items():
         alpha, beta = strength(found[f"avg_{name}"], found[f"var_pop_{name}"])
         hosts = hosts.withColumn(name, (F.col(count) + alpha) / (F.col("n") + alpha + beta))
-    verdict = F.when(F.col("failed_rate") > REJECT, "rejected").when(F.col("symbols_rate") > STRICT, "strict").otherwise("lenient")
-    return hosts.withColumn("verdict", verdict)
+    rate, weight = F.col("soft_rate"), F.col("n") + alpha + beta
+    # Deviation of the posterior, a beta distribution.
+    deviation = F.sqrt(rate * (1 - rate) / (weight + 1))
+    above = rate - F.lit(found["corpus_rate"]) > MARGIN * deviation
+    return hosts.withColumn("verdict", F.when(F.col("failed_rate") > REJECT, "rejected").when(above, "strict").otherwise("lenient"))
 
 
 def judge(df: DataFrame, keep: list[str], host: str = "source", text: str = "text", written: bool = True) -> DataFrame:
@@ -125,14 +158,13 @@ def judge(df: DataFrame, keep: list[str], host: str = "source", text: str = "tex
     measured = df.select(
         F.struct(*keep).alias("row"), host_of(F.col(host)).alias("host"), measures(text_of(text)).alias("m")
     ).select("row", "host", "m.*")
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    symbols = 100 * F.col("n_symbols") > SYMBOL_PERCENT * F.col("n_words")
-    judged = (cut_lineage(measured) if written else measured).select(
-        "*", base.alias("base_failed"), symbols.alias("symbols_failed"), (base | symbols).alias("failed")
-    )
+    soft = F.col("symbols_failed") | F.col("lines_failed") | F.col("length_failed")
+    judged = (cut_lineage(measured) if written else measured).select("*", *rules()).withColumn("soft_failed", soft)
+    judged = judged.withColumn("failed", F.col("base_failed") | F.col("soft_failed"))
     verdicts = cut_lineage(host_verdicts(judged).select("host", "verdict"))
-    kept = ~F.col("base_failed") & (F.col("verdict") != "rejected") & ~((F.col("verdict") == "strict") & F.col("symbols_failed"))
-    return judged.join(verdicts, "host").select("row", *MEASURES, "base_failed", "symbols_failed", "verdict", kept.alias("kept"))
+    strict = F.col("verdict") == "strict"
+    kept = ~F.col("base_failed") & (F.col("verdict") != "rejected") & ~F.col("heavy") & ~(strict & F.col("soft_failed"))
+    return judged.join(verdicts, "host").select("row", *MEASURES, *RULES, "verdict", kept.alias("kept"))
 
 
 def keep_documents(df: DataFrame, host: str = "source", text: str = "text") -> DataFrame:

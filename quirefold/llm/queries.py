@@ -114,24 +114,27 @@ WITH texts AS (
 ), measured AS (
   SELECT doc_id, host, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines
   FROM texts LEFT JOIN covered USING (doc_id)
 ), judged AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-    100 * n_symbols > 10 * n_words AS symbols_failed FROM measured
+    100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 3 * n_words OR word_chars > 10 * n_words AS soft_failed,
+    100 * n_symbols > 30 * n_words AS heavy FROM measured
 ), hosts AS (
-  SELECT host, count(*) AS n, avg((base_failed OR symbols_failed)::INT) AS f, avg(symbols_failed::INT) AS s FROM judged GROUP BY host
+  SELECT host, count(*) AS n, avg((base_failed OR soft_failed)::INT) AS f, avg(soft_failed::INT) AS s FROM judged GROUP BY host
 ), moments AS (
   SELECT least(greatest(avg(f), 1e-6), 1 - 1e-6) AS fm, var_pop(f) AS fv,
-    least(greatest(avg(s), 1e-6), 1 - 1e-6) AS sm, var_pop(s) AS sv FROM hosts
+    least(greatest(avg(s), 1e-6), 1 - 1e-6) AS sm, var_pop(s) AS sv, (SELECT avg(soft_failed::INT) FROM judged) AS corpus_rate FROM hosts
 ), prior AS (
   SELECT *, CASE WHEN fv > 0 THEN least(greatest(fm * (1 - fm) / fv - 1, 1), 1e6) ELSE 1e6 END AS ft,
     CASE WHEN sv > 0 THEN least(greatest(sm * (1 - sm) / sv - 1, 1), 1e6) ELSE 1e6 END AS st FROM moments
+), posteriors AS (
+  SELECT host, (f * n + fm * ft) / (n + ft) AS failed_rate, (s * n + sm * st) / (n + st) AS soft_rate, n + st AS weight, corpus_rate FROM hosts, prior
 ), verdicts AS (
-  SELECT host, (f * n + fm * ft) / (n + ft) > 0.8 AS rejected, (s * n + sm * st) / (n + st) > 0.01 AS strict FROM hosts, prior
+  SELECT host, failed_rate > 0.8 AS rejected, soft_rate - corpus_rate > 0.5 * sqrt(soft_rate * (1 - soft_rate) / (weight + 1)) AS strict FROM posteriors
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT rejected AND NOT (strict AND symbols_failed) AS kept
+  NOT base_failed AND NOT rejected AND NOT heavy AND NOT (strict AND soft_failed) AS kept
 FROM judged JOIN verdicts USING (host)
 """
 
