@@ -309,7 +309,7 @@ def import_batch_(spark, sf_dir):
     """The whole import job into a fresh store; its document table joined with stored counts."""
     store = CorpusStore(spark, scratch_path(spark, "import"), buckets=8)
     files, pages = _import_inputs(spark, sf_dir)
-    import_batch(store, files, pages, "w1", "b1", F.timestamp_seconds(F.lit(X.EPOCH)))
+    import_batch(store, files, pages, "w1", "b1", F.timestamp_seconds(F.lit(X.EPOCH))).release()
     chunks = store.table("chunks").groupBy("document_id").agg(F.count(F.lit(1)).alias("stored_chunks"))
     sections = store.table("sections").groupBy("document_id").agg(F.count(F.lit(1)).alias("stored_sections"))
     joined = store.table("documents").join(chunks, "document_id", "left").join(sections, "document_id", "left")

@@ -1,7 +1,8 @@
 """Documents and pages to chunks, sections, page scores and document records.
 
 A Markdown document is parsed inside its own row and exploded, without a shuffle.
-Pages of one document are separate rows; their ordinals come from blocked sums.
+Pages of one document are separate rows. They are parsed once into a written table; their
+ordinals come from blocked sums over its narrow columns and meet the pieces by row number.
 """
 
 from __future__ import annotations
@@ -12,11 +13,15 @@ from pyspark.sql import functions as F
 from quirefold.functions import pages as P
 from quirefold.functions import text as X
 from quirefold.operators.blocks import running_offset
+from quirefold.session import cut_lineage
 
 # Reject reasons.
 EMPTY_MARKDOWN = "Empty markdown document"
 NO_PAGE_TEXT = "PDF has no extractable text"
 
+#: Pages whose first ordinals, two numbers each, are broadcast.
+BROADCAST_PAGES = 1 << 18
+
 
 def md_segments(docs: DataFrame, text: str = "md") -> DataFrame:
     """One row per paragraph: ``(…, segment_index, segment)``."""
@@ -80,8 +85,13 @@ def md_outline(
     unit: str = "grapheme",
     first_line_only: bool = False,
     keep: tuple[str, ...] = (),
+    texts: bool = False,
 ) -> DataFrame:
-    """Per document: ``chunk_count`` and ``sections`` as an array, without any chunk text."""
+    """Per document: ``chunk_count`` and ``sections`` as an array, without any chunk text.
+
+    ``texts`` adds the chunk texts as an array, from the same parse.
+    """
+    held = ["texts"] if texts else []
 
     def summary(pieces: Column) -> Column:
         starts = F.transform(
@@ -93,11 +103,17 @@ def md_outline(
         return F.struct(
             F.size(pieces).alias("chunk_count"),
             F.filter(starts, lambda start: start["title"].isNotNull()).alias("sections"),
+            *(pieces["text"].alias(name) for name in held),
         )
 
     return docs.select(
         "document_id", *keep, X.let(_pieces(F.col(text), limit, unit, first_line_only), summary).alias("_o")
-    ).select("document_id", *keep, "_o.chunk_count", "_o.sections")
+    ).select("document_id", *keep, "_o.chunk_count", "_o.sections", *(f"_o.{name}" for name in held))
+
+
+def outline_chunks(outlines: DataFrame) -> DataFrame:
+    """Chunk rows of ``md_outline`` with ``texts``."""
+    return chunks_of(outlines.select("document_id", F.posexplode("texts").alias("ordinal", "text")))
 
 
 def chunks_of(pieces: DataFrame) -> DataFrame:
@@ -148,15 +164,44 @@ def route_pages(scores: DataFrame, threshold: float = P.FALLBACK_THRESHOLD) -> D
     return scores.withColumn("requires_fallback", P.requires_fallback(F.col("quality_score"), threshold))
 
 
-def page_chunks(pages: DataFrame, limit: int = X.DEFAULT_CHUNK_LIMIT, unit: str = "grapheme") -> DataFrame:
-    """Chunks of all non-empty pages; ordinals run on over the pages of a document."""
-    pieces = page_source(pages).where(~F.col("is_empty")).select(
-        "document_id", "page_index", X.pack_words(F.col("text"), limit, unit).alias("pieces")
+def parsed_pages(
+    pages: DataFrame,
+    limit: int = X.DEFAULT_CHUNK_LIMIT,
+    unit: str = "grapheme",
+    threshold: float = P.FALLBACK_THRESHOLD,
+) -> DataFrame:
+    """One parse of all pages: ``(document_id, page_index, requires_fallback, n_pieces, tie, page_no, pieces)``.
+
+    Write the result before using it: ``page_no`` tells the rows of one run apart. An empty page has no piece.
+    """
+    text = F.col("text")
+    pieces = F.when(text == "", F.array().cast("array<string>")).otherwise(X.pack_words(text, limit, unit))
+    trimmed = pages.select("document_id", "page_index", X.trim_unicode(text).alias("text"))
+    packed = trimmed.select(
+        "document_id",
+        "page_index",
+        P.requires_fallback(P.page_quality(text, unit), threshold).alias("requires_fallback"),
+        F.coalesce(pieces, F.array().cast("array<string>")).alias("pieces"),
     )
     # Rows of one page index are ordered by their text, so that a retry numbers them alike.
-    tied = pieces.withColumn("_tie", F.xxhash64("pieces"))
-    placed = running_offset(tied, ["document_id"], "page_index", F.size("pieces"), "first_ordinal", ties=["_tie"])
-    exploded = placed.select(
+    return packed.select(
+        "document_id", "page_index", "requires_fallback", F.size("pieces").alias("n_pieces"),
+        F.xxhash64("pieces").alias("tie"), F.monotonically_increasing_id().alias("page_no"), "pieces",
+    )
+
+
+def numbered_chunks(parsed: DataFrame) -> DataFrame:
+    """Chunks of a written ``parsed_pages`` table; ordinals run on over the pages of a document.
+
+    Only numbers are sorted. Pieces stay where they were read if there are few pages, and move once,
+    by page, into hash tables of the numbers if there are many.
+    """
+    filled = parsed.where(F.col("n_pieces") > 0)
+    sizes = filled.select("document_id", "page_index", "tie", "page_no", "n_pieces")
+    placed = running_offset(sizes, ["document_id"], "page_index", F.col("n_pieces"), "first_ordinal", ties=["tie", "page_no"])
+    firsts = placed.select("page_no", "first_ordinal")
+    firsts = F.broadcast(firsts) if sizes.count() <= BROADCAST_PAGES else firsts.hint("shuffle_hash")
+    exploded = filled.select("page_no", "document_id", "page_index", "pieces").join(firsts, "page_no").select(
         "document_id", "page_index", "first_ordinal", F.posexplode("pieces").alias("piece_index", "text")
     )
     return exploded.select(
@@ -167,6 +212,11 @@ def page_chunks(pages: DataFrame, limit: int = X.DEFAULT_CHUNK_LIMIT, unit: str
     )
 
 
+def page_chunks(pages: DataFrame, limit: int = X.DEFAULT_CHUNK_LIMIT, unit: str = "grapheme") -> DataFrame:
+    """Chunks of all non-empty pages, parsed once into a table in the shared folder."""
+    return numbered_chunks(cut_lineage(parsed_pages(pages, limit, unit)))
+
+
 def page_sections(docs: DataFrame, path: str = "source_path") -> DataFrame:
     """One section per paged document: level 1, titled by the file stem, from chunk 0."""
     return docs.select(
@@ -177,11 +227,10 @@ def page_sections(docs: DataFrame, path: str = "source_path") -> DataFrame:
     )
 
 
-def page_piece_counts(pages: DataFrame, limit: int = X.DEFAULT_CHUNK_LIMIT, unit: str = "grapheme") -> DataFrame:
-    """Chunks per paged document; documents without any text give no row."""
-    texts = page_source(pages).where(~F.col("is_empty"))
-    sizes = texts.select("document_id", F.size(X.pack_words(F.col("text"), limit, unit)).alias("n"))
-    return sizes.groupBy("document_id").agg(F.sum("n").cast("int").alias("chunk_count"))
+def page_piece_counts(parsed: DataFrame) -> DataFrame:
+    """Chunks per document of ``parsed_pages``; documents without any text give no row."""
+    sizes = parsed.where(F.col("n_pieces") > 0)
+    return sizes.groupBy("document_id").agg(F.sum("n_pieces").cast("int").alias("chunk_count"))
 
 
 def low_pages(pages: DataFrame, threshold: float = P.FALLBACK_THRESHOLD) -> DataFrame:

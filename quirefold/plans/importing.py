@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from quirefold.functions import pages as P
 from quirefold.functions import text as X
 from quirefold.operators import chunking as C
 from quirefold.operators.jobs import import_outcomes
-from quirefold.session import cut_lineage
+from quirefold.session import cut_lineage, release
 from quirefold.sources.corpus import route_source_type
 from quirefold.sources.store import CorpusStore
 
@@ -21,16 +21,23 @@ FILE_COLUMNS = "source_path string, text string, reject_reason string"
 
 @dataclass
 class ParsedBatch:
-    """Tables of one parsed batch; every file is in ``documents`` or in ``rejects``."""
+    """Tables of one parsed batch; every file is in ``documents`` or in ``rejects``.
+
+    They are read from ``written``, which ``release`` deletes when the batch is done with.
+    """
 
     documents: DataFrame
     chunks: DataFrame
     sections: DataFrame
     rejects: DataFrame
+    written: list[DataFrame] = field(default_factory=list)
 
     def outcomes(self) -> DataFrame:
         return import_outcomes(self.documents, self.rejects)
 
+    def release(self) -> None:
+        release(*self.written)
+
 
 def parse_batch(
     files: DataFrame,
@@ -43,10 +50,9 @@ def parse_batch(
 ) -> ParsedBatch:
     """``files(source_path, text, reject_reason)``, ``pages(source_path, page_index, text)``.
 
-    ``files`` lists paged files too, with null text. A first pass over the text gives
-    the verdict, title, chunk count and outline of each file; this narrow result is
-    written out and records, sections and rejects come from it. Chunks are a second
-    pass, made when they are stored, so no text is written to the side.
+    ``files`` lists paged files too, with null text. Each text is parsed once: its verdict, title,
+    chunk count, outline and pieces are written out, and records, sections, rejects and chunks
+    read the columns that they need.
     """
     listed = (
         route_source_type(files.withColumnRenamed("reject_reason", "_given"))
@@ -58,7 +64,7 @@ def parse_batch(
     texts = listed.where(open_markdown)
     parsed = C.md_outline(
         texts.withColumn("title", X.document_title(X.normalize_newlines(F.col("text")), F.col("source_path"))),
-        "text", limit, keep=("source_path", "source_type", "title"),
+        "text", limit, keep=("source_path", "source_type", "title"), texts=True,
     )
     # A text gives no chunk only if it is blank or missing.
     blank = F.when(F.coalesce(F.col("chunk_count"), F.lit(0)) <= 0, F.lit(C.EMPTY_MARKDOWN))
@@ -69,18 +75,19 @@ def parse_batch(
         "document_id", "source_path", "source_type", X.file_stem(F.col("source_path")).alias("title")
     )
     page_rows = pages.join(paged.select("source_path", "document_id"), "source_path").select("document_id", "page_index", "text")
-    counts = cut_lineage(C.page_piece_counts(page_rows, limit))
+    parsed_pages = cut_lineage(C.parsed_pages(page_rows, limit, threshold=threshold))
+    counts = C.page_piece_counts(parsed_pages)
     readable = paged.join(counts.select("document_id"), "document_id", "left_semi")
     unreadable = paged.join(counts.select("document_id"), "document_id", "left_anti")
 
-    chunks = C.chunks_of(C.md_pieces(texts, "text", limit)).unionByName(C.page_chunks(page_rows, limit))
+    chunks = C.outline_chunks(markdown).unionByName(C.numbered_chunks(parsed_pages))
     outlines = markdown.select("document_id", F.inline("sections"))
     sections = outlines.unionByName(C.page_sections(readable))
     columns = ["document_id", "source_path", "source_type", "title"]
     documents = cut_lineage(C.document_record(
         markdown.select(*columns).unionByName(readable.select(*columns)),
         markdown.select("document_id", "chunk_count").unionByName(counts),
-        C.low_pages(page_rows, threshold),
+        parsed_pages.where("requires_fallback").select("document_id", "page_index"),
         imported_at,
     ))
     rejects = (
@@ -99,6 +106,7 @@ def parse_batch(
         chunks=with_id(chunks, "chunk_id", "chunk", "ordinal"),
         sections=with_id(sections, "section_id", "section", "chunk_start_ordinal"),
         rejects=rejects,
+        written=[judged, parsed_pages, documents],
     )
 
 
@@ -113,7 +121,8 @@ def import_batch(
 ) -> ParsedBatch:
     """Parse and store a batch: chunks, then documents with sections, then the commit row.
 
-    Ids depend on the batch id, so running a batch again rewrites its own rows.
+    Ids depend on the batch id, so running a batch again rewrites its own rows. The caller releases
+    the batch once its outcomes are read.
     """
     if imported_at is None:
         imported_at = F.current_timestamp()

@@ -40,13 +40,14 @@ def import_stream(
 
     def store_batch(arrived: DataFrame, epoch: int) -> None:
         no_pages = arrived.sparkSession.createDataFrame([], "source_path string, page_index int, text string")
-        # Files are fetched and decoded once for verdicts, rejects and chunks.
+        # Files are fetched and decoded once for their parse and for rejects.
         kept = arrived.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             batch = import_batch(store, kept, no_pages, workspace_id, f"{workspace_id}-{stream}-{epoch}")
             if outcomes_path:
                 rows = batch.outcomes().withColumn("epoch", F.lit(epoch))
                 rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(outcomes_path)
+            batch.release()
         finally:
             kept.unpersist()
 

@@ -72,3 +72,29 @@ def test_recent_and_sections(spark):
     assert sorted((r["document_id"], r["title"]) for r in joined.collect() if r["title"]) == [(4, "x"), (4, "y")]
     assert joined.count() == 4
     assert [r["title"] for r in S.sections_of_document(sections, 4).collect()] == ["x", "y"]
+
+
+def formatted(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_page_texts_are_parsed_once_and_never_sorted(spark, monkeypatch):
+    pages = spark.createDataFrame(
+        [(1, 0, "a b"), (1, 0, "a b"), (1, 0, "c"), (2, 3, None), (2, 4, "x " * 300), (2, 9000, "y")],
+        "document_id long, page_index int, text string",
+    )
+    found = {}
+    for bound in (0, 1 << 18):
+        monkeypatch.setattr(C, "BROADCAST_PAGES", bound)
+        chunks = C.page_chunks(pages, limit=200)
+        found[bound] = sorted(map(tuple, chunks.collect()))
+        plan = formatted(chunks)
+        assert "pack" not in plan and "regexp" not in plan  # the chunks read the written parse
+        sorts = [block for block in plan.split("\n\n") if ") Sort" in block]
+        assert sorts and not any("pieces#" in block.replace("n_pieces#", "") for block in sorts)
+    assert found[0] == found[1 << 18]
+    ordinals = {}
+    for document, ordinal, _, _ in found[0]:
+        ordinals.setdefault(document, []).append(ordinal)
+    # Repeated rows of a page are numbered apart; a page without text has no chunk.
+    assert ordinals == {1: [0, 1, 2], 2: list(range(len(ordinals[2])))}
