@@ -210,12 +210,21 @@ def _best_of_batch(scores: np.ndarray, k: int) -> np.ndarray:
     return above | (tied & (np.cumsum(tied, axis=0) <= k - above.sum(axis=0)))
 
 
+def _best_by_limit(scores: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """``_best_of_batch`` with a ``k`` of its own for every column."""
+    mask = np.zeros(scores.shape, dtype=bool)
+    for k in np.unique(limits[limits > 0]):
+        same = limits == k
+        mask[:, same] = _best_of_batch(scores[:, same], int(k))
+    return mask
+
+
 def vector_matches(vectors: DataFrame, queries: DataFrame, bound: int = INLINE_VECTORS) -> DataFrame:
     """Candidates for the top-k by cosine: ``(query_id, k, document_id, ordinal, score)``.
 
     Every Arrow batch of vectors is multiplied with the query vectors of a slice. A task
     keeps the best rows of each query over all its batches and gives them out once, so what
-    leaves it is at most k rows per query. Vectors of another length than the query's
+    leaves it is at most k rows per query, by the query's own k. Vectors of another length than the query's
     are not comparable and never match, nor do vectors with a component that is no
     finite number. Scores are rounded to 6 places, before ranking.
     """
@@ -242,24 +251,24 @@ def vector_matches(vectors: DataFrame, queries: DataFrame, bound: int = INLINE_V
 def _scorer(rows: list, size: int):
     ids = np.array([row["query_id"] for row in rows], dtype=np.int64)
     limits = np.array([row["k"] for row in rows], dtype=np.int32)
-    k_max = max([0, *(row["k"] for row in rows)])
+    wanted = int(np.maximum(limits, 0).sum())
     matrix = np.array([row["embedding"] for row in rows], dtype=np.float64).reshape(len(rows), size)
     lengths = np.linalg.norm(matrix, axis=1)
     matrix = matrix / np.where(lengths == 0, 1.0, lengths)[:, None]
     names = ["_query", *CHUNK_KEY, "score"]
 
     def best(hits: pa.Table) -> pa.Table:
-        """The first ``k_max`` rows of each query."""
+        """The first rows of each query, as many as it asks for."""
         order = [("_query", "ascending"), ("score", "descending"), *((name, "ascending") for name in CHUNK_KEY)]
         ordered = hits.sort_by(order).combine_chunks()
         query = ordered["_query"].to_numpy()
         first = np.searchsorted(query, query)
-        return ordered.filter(pa.array(np.arange(len(query)) - first < k_max))
+        return ordered.filter(pa.array(np.arange(len(query)) - first < limits[query]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, kept = [], 0
         for batch in batches:
-            if batch.num_rows == 0 or len(ids) == 0 or k_max == 0:
+            if batch.num_rows == 0 or wanted == 0:
                 continue
             table = pa.Table.from_batches([batch]).sort_by([(name, "ascending") for name in CHUNK_KEY]).combine_chunks()
             values = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
@@ -268,11 +277,11 @@ def _scorer(rows: list, size: int):
             keys = table.select(CHUNK_KEY)
             for start in range(0, len(ids), 128):
                 scores = np.round(unit @ matrix[start : start + 128].T, 6)
-                row_no, query_no = np.nonzero(_best_of_batch(scores, k_max))
+                row_no, query_no = np.nonzero(_best_by_limit(scores, limits[start : start + 128]))
                 hits = keys.take(pa.array(row_no))
                 held.append(pa.table([start + query_no, *hits.columns, scores[row_no, query_no]], names=names))
                 kept += len(row_no)
-            if kept > 4 * k_max * len(ids):
+            if kept > 4 * wanted:
                 held = [best(pa.concat_tables(held))]
                 kept = len(held[0])
         if held:

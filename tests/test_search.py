@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,3 +233,20 @@ def test_a_task_gives_out_its_best_rows_once(spark):
         assert S.vector_matches(vectors, queries).count() == 3
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_a_task_keeps_rows_by_each_query_s_own_k():
+    """One query with a large k leaves the rows held for the others as they are."""
+    chosen = np.random.default_rng(3)
+    vectors = chosen.integers(-3, 4, (600, 4)).astype(float)
+    asked = [{"query_id": i, "k": k, "embedding": chosen.integers(-3, 4, 4).astype(float).tolist()} for i, k in enumerate([500, 1, 2, 0, 3, 3])]
+    batches = [
+        pa.RecordBatch.from_pydict({"document_id": pa.array(range(at, at + 50)), "ordinal": pa.array([0] * 50, pa.int32()), "embedding": pa.array(vectors[at : at + 50].tolist())})
+        for at in range(0, 600, 50)
+    ]
+    rows = [row for out in S._scorer(asked, 4)(iter(batches)) for row in out.to_pylist()]
+    norm = lambda m: m / np.where(np.linalg.norm(m, axis=-1) == 0, 1.0, np.linalg.norm(m, axis=-1))[..., None]
+    for query in asked:
+        scores = np.round(norm(vectors) @ norm(np.array(query["embedding"])), 6)
+        best = sorted(range(600), key=lambda i: (-scores[i], i))[: query["k"]]
+        assert [r["document_id"] for r in rows if r["query_id"] == query["query_id"]] == best
