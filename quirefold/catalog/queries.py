@@ -94,7 +94,8 @@ def _text_files(documents: DataFrame) -> DataFrame:
 def import_files_stream(spark, sf_dir):
     """Documents arriving as a stream, stored, and read back from the store's outcome rows."""
     schema = X.table(spark, sf_dir, "documents").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    # A pattern, because a stream takes a plain path for a folder; a table may be one file or a folder of files.
+    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")
     root = scratch_path(spark, "stream")
     store = CorpusStore(spark, f"{root}/store", buckets=8)
     stream = stream_imports.import_stream(_text_files(arriving), store, "w", f"{root}/checkpoint", f"{root}/outcomes")

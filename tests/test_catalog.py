@@ -30,3 +30,12 @@ def test_entry(spark):
 @pytest.mark.parametrize("key", list(REGISTRY))
 def test_query(spark, oracle, key):
     assert difference(spark, oracle, REGISTRY[key], ORACLE[key], SF_DIR) is None
+
+
+def test_import_stream_reads_a_table_of_several_files(spark, tmp_path):
+    documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    documents.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    found = REGISTRY["import_files_stream"](spark, str(tmp_path))
+    whole = REGISTRY["import_files_stream"](spark, SF_DIR)
+    assert found.count() == whole.count() == documents.count()
+    assert found.exceptAll(whole).isEmpty()
