@@ -100,6 +100,22 @@ def test_rows_are_kept_by_id_and_text(spark):
     assert jaccard.keep_one(df).columns == df.columns
 
 
+@pytest.mark.parametrize("bound", [1 << 21, 0])
+def test_texts_stay_where_they_are_while_few_rows_are_dropped(spark, monkeypatch, bound):
+    monkeypatch.setattr(jaccard, "BROADCAST_GONE", bound)
+    some = lambda word: " ".join(f"{word}{i}" for i in range(100))
+    df = documents(spark, [(1, some("a")), (2, some("a") + " x"), (3, some("b")), (4, some("c")), (4, some("c")), (5, None)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard.keep_one(df)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 5]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert ("SortMergeJoin" in plan) == (bound == 0) and ("BroadcastHashJoin" in plan) == (bound > 0)
+
+
 @pytest.mark.parametrize("bits, fan", [(1 << 15, 32), (64, 2), (128, 3)])
 def test_tree_search_finds_the_components(monkeypatch, bits, fan):
     monkeypatch.setattr(jaccard, "MAX_BITS", bits)
