@@ -21,6 +21,8 @@ NO_PAGE_TEXT = "PDF has no extractable text"
 
 #: Pages whose first ordinals, two numbers each, are broadcast.
 BROADCAST_PAGES = 1 << 18
+# Pieces that a task gets at most, about, where pieces move to their numbers.
+PIECES_OF_TASK = 1 << 16
 
 
 def md_segments(docs: DataFrame, text: str = "md") -> DataFrame:
@@ -190,18 +192,27 @@ def parsed_pages(
     )
 
 
-def numbered_chunks(parsed: DataFrame) -> DataFrame:
+def numbered_chunks(parsed: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """Chunks of a written ``parsed_pages`` table; ordinals run on over the pages of a document.
 
-    Only numbers are sorted. Pieces stay where they were read if there are few pages, and move once,
-    by page, into hash tables of the numbers if there are many.
+    Only numbers are sorted. Pieces stay where they were read if there are few pages. If there are many they move once,
+    by page, into hash tables of the numbers, in as many tasks as the pieces need. ``documents`` names the
+    documents to number; pages of others are left out.
     """
     filled = parsed.where(F.col("n_pieces") > 0)
     sizes = filled.select("document_id", "page_index", "tie", "page_no", "n_pieces")
+    if documents is not None:
+        sizes = sizes.join(documents.select("document_id"), "document_id", "left_semi")
     placed = running_offset(sizes, ["document_id"], "page_index", F.col("n_pieces"), "first_ordinal", ties=["tie", "page_no"])
     firsts = placed.select("page_no", "first_ordinal")
-    firsts = F.broadcast(firsts) if sizes.count() <= BROADCAST_PAGES else firsts.hint("shuffle_hash")
-    exploded = filled.select("page_no", "document_id", "page_index", "pieces").join(firsts, "page_no").select(
+    held = filled.select("page_no", "document_id", "page_index", "pieces")
+    pages, pieces = filled.agg(F.count(F.lit(1)), F.sum("n_pieces")).first()
+    if pages <= BROADCAST_PAGES:
+        firsts = F.broadcast(firsts)
+    else:
+        tasks = -(-pieces // PIECES_OF_TASK)
+        held, firsts = held.repartition(tasks, "page_no"), firsts.repartition(tasks, "page_no").hint("shuffle_hash")
+    exploded = held.join(firsts, "page_no").select(
         "document_id", "page_index", "first_ordinal", F.posexplode("pieces").alias("piece_index", "text")
     )
     return exploded.select(

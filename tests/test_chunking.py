@@ -98,3 +98,14 @@ def test_page_texts_are_parsed_once_and_never_sorted(spark, monkeypatch):
         ordinals.setdefault(document, []).append(ordinal)
     # Repeated rows of a page are numbered apart; a page without text has no chunk.
     assert ordinals == {1: [0, 1, 2], 2: list(range(len(ordinals[2])))}
+
+
+def test_pieces_move_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    pages = spark.createDataFrame([(d, p, f"page {p}") for d in range(5) for p in range(9)], "document_id long, page_index int, text string")
+    few = sorted(map(tuple, C.page_chunks(pages).collect()), key=repr)
+    monkeypatch.setattr(C, "BROADCAST_PAGES", 0)
+    monkeypatch.setattr(C, "PIECES_OF_TASK", 4)
+    chunks = C.page_chunks(pages)
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 12), REPARTITION_BY_NUM") == 2
+    assert sorted(map(tuple, chunks.collect()), key=repr) == few
