@@ -27,15 +27,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth line of a document becomes a heading; lines are set apart as paragraphs."""
+def markdown(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """Every fifth line of a document becomes a heading; lines are set apart as paragraphs. Columns of ``keep`` stay."""
 
     def mark(line, index):
         level = (1 + (index / 5).cast("int") % 3).cast("int")
         return F.when(index % 5 == 0, F.concat(F.repeat(F.lit("#"), level), F.lit(" "), line)).otherwise(line)
 
     md = F.array_join(F.transform(F.split("text", "\n", -1), mark), "\n\n")
-    return documents(spark, sf_dir).select(F.col("doc_id").alias("document_id"), md.alias("md"))
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("document_id"), md.alias("md"), *keep)
 
 
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,10 +69,10 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Large page table: lines of documents."""
+def pages(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """Large page table: lines of documents. Columns of ``keep`` stay."""
     return documents(spark, sf_dir).select(
-        F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n", -1)).alias("page_index", "text")
+        F.col("doc_id").alias("document_id"), *keep, F.posexplode(F.split("text", "\n", -1)).alias("page_index", "text")
     )
 
 
@@ -87,12 +87,18 @@ def is_paged(document: Column) -> Column:
     return document % 3 == 0
 
 
+def source_path(document: Column) -> Column:
+    """Path of a document, from its id and the column ``source``."""
+    extension = F.when(is_paged(document), F.lit(".pdf")).otherwise(F.lit(".md"))
+    return F.concat("source", F.lit("/"), document.cast("string"), extension)
+
+
 def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source path and type per document."""
     paged = is_paged(F.col("doc_id"))
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("document_id"),
-        F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.when(paged, F.lit(".pdf")).otherwise(F.lit(".md"))).alias("source_path"),
+        source_path(F.col("doc_id")).alias("source_path"),
         F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"),
         F.when(paged, F.lit("pdf")).otherwise(F.lit("markdown")).alias("source_type"),
     )
@@ -102,8 +108,8 @@ def imported_at():
     return F.timestamp_seconds(F.lit(EPOCH) + F.col("document_id") * 60)
 
 
-def paged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).where(is_paged(F.col("document_id")))
+def paged_pages(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    return pages(spark, sf_dir, *keep).where(is_paged(F.col("document_id")))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

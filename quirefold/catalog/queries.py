@@ -297,11 +297,13 @@ def document_record(spark, sf_dir):
 
 
 def _import_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = X.document_rows(spark, sf_dir)
-    md = X.markdown(spark, sf_dir).join(rows, "document_id")
-    text = F.when(F.col("source_type") == "markdown", F.col("md"))
-    files = md.select("source_path", text.alias("text"), F.lit(None).cast("string").alias("reject_reason"))
-    pages = X.paged_pages(spark, sf_dir).join(rows, "document_id").select("source_path", "page_index", "text")
+    # A path is made in the row of its text, so no text moves to its path.
+    document = F.col("document_id")
+    paged = X.is_paged(document)
+    path = X.source_path(document)
+    md = X.markdown(spark, sf_dir, "source").where(document.isNotNull())
+    files = md.select(path.alias("source_path"), F.when(~paged, F.col("md")).alias("text"), F.lit(None).cast("string").alias("reject_reason"))
+    pages = X.paged_pages(spark, sf_dir, "source").select(path.alias("source_path"), "page_index", "text")
     return files, pages
 
 

@@ -74,13 +74,19 @@ def parse_batch(
     paged = listed.where(F.col("reject_reason").isNull() & (F.col("source_type") == "pdf")).select(
         "document_id", "source_path", "source_type", X.file_stem(F.col("source_path")).alias("title")
     )
-    page_rows = pages.join(paged.select("source_path", "document_id"), "source_path").select("document_id", "page_index", "text")
-    parsed_pages = cut_lineage(C.parsed_pages(page_rows, limit, threshold=threshold))
-    counts = C.page_piece_counts(parsed_pages)
+    # Page texts do not move to the list of files: a short list is sent to them, and of a long one only keys meet, after the parse.
+    page_rows = pages.where(F.col("source_path").isNotNull()).withColumn(
+        "document_id", ids.document_id(F.lit(workspace_id), F.col("source_path"), F.lit(import_batch_id))
+    )
+    own = paged.select("document_id")
+    if own.count() <= C.BROADCAST_PAGES:
+        page_rows = page_rows.join(F.broadcast(own), "document_id", "left_semi")
+    parsed_pages = cut_lineage(C.parsed_pages(page_rows.select("document_id", "page_index", "text"), limit, threshold=threshold))
+    counts = C.page_piece_counts(parsed_pages).join(own, "document_id", "left_semi")
     readable = paged.join(counts.select("document_id"), "document_id", "left_semi")
     unreadable = paged.join(counts.select("document_id"), "document_id", "left_anti")
 
-    chunks = C.outline_chunks(markdown).unionByName(C.numbered_chunks(parsed_pages))
+    chunks = C.outline_chunks(markdown).unionByName(C.numbered_chunks(parsed_pages, own))
     outlines = markdown.select("document_id", F.inline("sections"))
     sections = outlines.unionByName(C.page_sections(readable))
     columns = ["document_id", "source_path", "source_type", "title"]

@@ -76,14 +76,18 @@ class CorpusStore:
     def _filed(self, df: DataFrame, table: str) -> DataFrame:
         return df.withColumn("bucket", F.pmod(F.xxhash64(KEYS[table]), F.lit(self.buckets)).cast("int"))
 
-    def _write(self, df: DataFrame, table: str, mode: str) -> None:
+    def _dealt(self, df: DataFrame, table: str) -> DataFrame:
+        """The rows as they are written. Rebalancing splits a crowded partition over several tasks and files."""
         columns = [f.name for f in SCHEMAS[table]] + PARTITION
+        dealt = df.select(*(c for c in columns if c != "text_lc")).hint("rebalance", *PARTITION)
         if table == "chunks":
-            # Written with every row, so a row of an old file gets it as soon as it is written again.
-            df = df.withColumn("text_lc", F.lower("text"))
-        # Rebalancing splits a crowded partition over several tasks and files.
+            # Written with every row, so a row of an old file gets it as soon as it is written again. It does not move with the rows.
+            dealt = dealt.withColumn("text_lc", F.lower("text"))
+        return dealt.select(*columns)
+
+    def _write(self, df: DataFrame, table: str, mode: str) -> None:
         (
-            df.select(*columns).hint("rebalance", *PARTITION).write.mode(mode)
+            self._dealt(df, table).write.mode(mode)
             .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(self._path(table))
         )
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import ids
 from quirefold.operators import audit, upsert
+from quirefold.operators import chunking as C
 from quirefold.operators import sections as S
 from quirefold.operators.search import keyword_topk
-from quirefold.plans.importing import import_batch
+from quirefold.plans.importing import import_batch, parse_batch
 from quirefold.plans.reparsing import reparse_batch
 from quirefold.schemas import CHUNKS
 from quirefold.sources import corpus, export
@@ -211,6 +212,35 @@ def test_import_is_idempotent(spark, folder, tmp_path):
     assert good.count() == 8
 
 
+@pytest.mark.parametrize("bound", [1 << 18, 0])
+def test_page_texts_do_not_move_to_the_list_of_files(spark, folder, monkeypatch, bound):
+    monkeypatch.setattr(C, "BROADCAST_PAGES", bound)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    listed, pages = imported(spark, folder)
+    foreign = spark.createDataFrame([("/in/unlisted.pdf", 0, "z"), (None, 0, "n")], "source_path string, page_index int, text string")
+    planned, parse = [], C.parsed_pages
+    monkeypatch.setattr(C, "parsed_pages", lambda rows, *a, **k: planned.append(rows._jdf.queryExecution().executedPlan().toString()) or parse(rows, *a, **k))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        batch = parse_batch(listed, pages.unionByName(foreign), "w", "b", F.timestamp_seconds(F.lit(50)))
+        paged = batch.chunks.where(F.col("source_page_index").isNotNull())
+        assert sorted((r["ordinal"], r["source_page_index"], r["text"]) for r in paged.collect()) == [(0, 0, "short"), (1, 2, "x" * 300)]
+        assert {name_of(r["source_path"]): r["chunk_count"] for r in batch.documents.collect()}["p.pdf"] == 2
+        assert batch.documents.count() == 4 and batch.rejects.count() == 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning" not in planned[0]
+
+
+def test_lower_cased_text_does_not_move(spark, tmp_path):
+    store = CorpusStore(spark, str(tmp_path / "s"), buckets=2)
+    rows = spark.range(1).selectExpr("'c' AS chunk_id", "cast(id AS string) AS document_id", "0 AS ordinal", "concat('AB', id) AS text", "0 AS source_page_index", "'w' AS workspace_id", "cast(id AS int) AS bucket", "now() AS created_at", "now() AS updated_at")
+    dealt = store._dealt(rows, "chunks")
+    tree = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "lower(" in tree[: tree.index("Exchange")] and "lower(" not in tree[tree.index("Exchange") :]
+    assert dealt.first()["text_lc"] == "ab0"
+
+
 def test_import_stream_takes_each_file_once(spark, folder, tmp_path):
     store = CorpusStore(spark, str(tmp_path / "s"), buckets=4)
 
