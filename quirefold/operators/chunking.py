@@ -210,7 +210,8 @@ def numbered_chunks(parsed: DataFrame, documents: DataFrame | None = None) -> Da
     if pages <= BROADCAST_PAGES:
         firsts = F.broadcast(firsts)
     else:
-        tasks = -(-pieces // PIECES_OF_TASK)
+        # Fewer tasks than the session's shuffle partitions would be dealt again by the join.
+        tasks = max(-(-pieces // PIECES_OF_TASK), int(parsed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         held, firsts = held.repartition(tasks, "page_no"), firsts.repartition(tasks, "page_no").hint("shuffle_hash")
     exploded = held.join(firsts, "page_no").select(
         "document_id", "page_index", "first_ordinal", F.posexplode("pieces").alias("piece_index", "text")

@@ -109,3 +109,8 @@ def test_pieces_move_to_as_many_tasks_as_they_need(spark, monkeypatch):
     plan = chunks._jdf.queryExecution().executedPlan().toString()
     assert plan.count(", 12), REPARTITION_BY_NUM") == 2
     assert sorted(map(tuple, chunks.collect()), key=repr) == few
+    monkeypatch.setattr(C, "PIECES_OF_TASK", 1 << 16)
+    moved = C.page_chunks(pages)
+    moved.collect()
+    ran = moved._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert ran.count("REPARTITION_BY_NUM") == 2  # the pieces once, the numbers once
