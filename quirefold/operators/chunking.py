@@ -269,20 +269,22 @@ def low_page_lists(low: DataFrame, block: int = 1 << 16) -> DataFrame:
 
 
 def document_record(
-    docs: DataFrame, chunks: DataFrame, low: DataFrame, imported_at: Column, title: Column | None = None
+    docs: DataFrame, chunks: DataFrame | None, low: DataFrame, imported_at: Column, title: Column | None = None
 ) -> DataFrame:
     """Document rows ``(document_id, source_path, title, source_type)`` with counts and page lists.
 
-    ``chunks`` are chunk rows, or one row per document with its ``chunk_count``.
+    ``chunks`` are chunk rows, or one row per document with its ``chunk_count``; None if ``docs`` has that column.
     """
-    if "chunk_count" in chunks.columns:
-        counts = chunks.select("document_id", "chunk_count")
-    else:
-        counts = chunks.groupBy("document_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
+    counted = docs
+    if chunks is not None:
+        if "chunk_count" in chunks.columns:
+            counts = chunks.select("document_id", "chunk_count")
+        else:
+            counts = chunks.groupBy("document_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
+        counted = docs.join(counts, "document_id", "left")
     no_pages = F.array().cast("array<int>")
     return (
-        docs.join(counts, "document_id", "left")
-        .join(low_page_lists(low), "document_id", "left")
+        counted.join(low_page_lists(low), "document_id", "left")
         .select(
             "document_id",
             "source_path",

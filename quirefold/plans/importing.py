@@ -89,10 +89,11 @@ def parse_batch(
     chunks = C.outline_chunks(markdown).unionByName(C.numbered_chunks(parsed_pages, own))
     outlines = markdown.select("document_id", F.inline("sections"))
     sections = outlines.unionByName(C.page_sections(readable))
-    columns = ["document_id", "source_path", "source_type", "title"]
+    # A text keeps the count of its own row: joined by id, a path that arrives twice would give each row the counts of both.
+    columns = ["document_id", "source_path", "source_type", "title", "chunk_count"]
     documents = cut_lineage(C.document_record(
-        markdown.select(*columns).unionByName(readable.select(*columns)),
-        markdown.select("document_id", "chunk_count").unionByName(counts),
+        markdown.select(*columns).unionByName(paged.join(counts, "document_id").select(*columns)),
+        None,
         parsed_pages.where("requires_fallback").select("document_id", "page_index"),
         imported_at,
     ))

@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+import duckdb
 import pytest
 
 from __spark_entry__ import entry
@@ -39,3 +40,15 @@ def test_import_stream_reads_a_table_of_several_files(spark, tmp_path):
     whole = REGISTRY["import_files_stream"](spark, SF_DIR)
     assert found.count() == whole.count() == documents.count()
     assert found.exceptAll(whole).isEmpty()
+
+
+def test_import_stream_gives_one_row_per_row_of_the_table(spark, tmp_path):
+    """A document id that comes twice is two rows, as in SQL."""
+    documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    # Indexed, blank and unsupported ones.
+    twice = documents.where("doc_id % 10 = 3 OR doc_id = 5 OR doc_id = 6")
+    documents.unionByName(twice).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    database = duckdb.connect()
+    database.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    key = "import_files_stream"
+    assert difference(spark, database, REGISTRY[key], ORACLE[key], str(tmp_path)) is None
